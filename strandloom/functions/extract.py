@@ -1,0 +1,241 @@
+"""Rule-based extraction from text.
+
+Conditions, assay, target and the plain affinity form are native expressions.
+Exact character offsets need Python's own ``re``; those two extractors run as
+Arrow-batched pandas UDFs that return arrays of structs.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from strandloom import fixed_values as fv
+from strandloom.functions import measure, sequence, text
+
+
+def _first_number(c: Column, pattern: str) -> Column:
+    return measure.group(c, "(?iU)" + pattern, 1).try_cast("double")
+
+
+def _buffer_of(sentence: Column) -> Column:
+    out = None
+    for name, pattern in fv.BUFFER_PATTERNS:
+        hit = sentence.rlike("(?iU)" + pattern)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out
+
+
+def extract_conditions(c: Column) -> Column:
+    """struct of pH, Na, Mg, temperature, the two buffers and all buffers."""
+    ph = _first_number(c, fv.PH_TEXT)
+    temp = _first_number(c, fv.TEMP_TEXT)
+    sentences = F.transform(
+        F.split(c, "(?U)" + fv.SENTENCE_BREAK),
+        lambda s: F.struct(
+            _buffer_of(s).alias("buffer"),
+            s.rlike("(?iU)" + fv.SELECTION_BUFFER).alias("sel"),
+            s.rlike("(?iU)" + fv.BINDING_BUFFER).alias("bind"),
+        ),
+    )
+    found = F.filter(sentences, lambda s: s["buffer"].isNotNull())
+
+    def first(flag):
+        return F.get(F.filter(found, lambda s: s[flag]), F.lit(0))["buffer"]
+
+    undecided = first("sel").isNull() & first("bind").isNull()
+    default = F.when(undecided, F.get(found, F.lit(0))["buffer"])
+    return F.struct(
+        F.when(ph.between(0.0, 14.0), ph).alias("ph"),
+        F.coalesce(_first_number(c, fv.NA_TEXT), _first_number(c, fv.IONIC_TEXT)).alias("na"),
+        _first_number(c, fv.MG_TEXT).alias("mg"),
+        F.when(temp.between(0.0, 100.0), temp).alias("temperature"),
+        F.coalesce(first("sel"), default).alias("selection_buffer"),
+        F.coalesce(first("bind"), default).alias("binding_buffer"),
+        F.array_distinct(F.transform(found, lambda s: s["buffer"])).alias("all_buffers"),
+    )
+
+
+def extract_assay(c: Column) -> Column:
+    out = None
+    for name, pattern in fv.ASSAY_PATTERNS:
+        hit = c.rlike("(?iU)" + pattern)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return F.coalesce(out, F.lit(""))
+
+
+def guess_target(c: Column) -> Column:
+    phrase = F.trim(F.regexp_extract(c, "(?iU)" + fv.TARGET_PHRASE, 1))
+    size = F.length(phrase)
+    known = measure.group(c, "(?iU)" + fv.KNOWN_TARGETS, 1)
+    return F.when((size > 3) & (size < 80), phrase).otherwise(
+        F.coalesce(known, F.lit("unknown"))
+    )
+
+
+def kd_values_native(c: Column) -> Column:
+    """Plain 'Kd = v unit' values in nM in text order, without offsets."""
+    values = F.regexp_extract_all(c, F.lit("(?iU)" + fv.KD_TEXT), F.lit(1))
+    units = F.regexp_extract_all(c, F.lit("(?iU)" + fv.KD_TEXT), F.lit(2))
+    paired = F.arrays_zip(values.alias("v"), units.alias("u"))
+    return F.filter(
+        F.transform(
+            paired,
+            lambda p: measure.to_nanomolar(p["v"].try_cast("double"), p["u"], molar=True),
+        ),
+        lambda x: x.isNotNull(),
+    )
+
+
+def best_kd(hits: Column) -> Column:
+    """A real Kd before IC50/EC50/Ki, then the smallest value, then the first."""
+    ranked = F.transform(
+        hits,
+        lambda h, i: F.struct(
+            F.when(h["measure_type"] == "kd", 0).otherwise(1).alias("rank"),
+            h["value_nM"].alias("value"), i.alias("at"), h.alias("hit"),
+        ),
+    )
+    return F.array_min(ranked)["hit"]
+
+
+# --- offset-exact extraction (Arrow) ----------------------------------------
+
+_SEQUENCE_FORMS = (
+    ("rna_prime", re.compile(fv.SEQ_RNA_PRIME)),
+    ("prime", re.compile(fv.SEQ_PRIME)),
+    ("primary", re.compile(fv.SEQ_PRIMARY)),
+    ("spaced", re.compile(fv.SEQ_SPACED)),
+    ("rna", re.compile(fv.SEQ_RNA)),
+)
+_AFFINITY_FORMS = (
+    ("plain", re.compile(fv.KD_TEXT, re.IGNORECASE)),
+    ("power", re.compile(fv.KD_SCIENTIFIC, re.IGNORECASE)),
+    ("proxy", re.compile(fv.KD_PROXY, re.IGNORECASE)),
+)
+
+
+def _spans(body: str, faithful: bool):
+    """(form, start, end, is_rna) of every candidate, each span once."""
+    taken = set()
+    for form, pattern in _SEQUENCE_FORMS:
+        for m in pattern.finditer(body):
+            at, letters = m.span(1), re.sub("[ \t]", "", m.group(1)).upper()
+            rna = "U" in letters
+            if form == "rna_prime":
+                if not rna and not faithful:
+                    continue
+                rna = True
+            elif form == "rna" and not rna:
+                continue
+            elif form == "spaced" and not 20 <= len(letters) <= 120:
+                continue
+            if at not in taken:
+                taken.add(at)
+                yield form, at[0], at[1], rna
+
+
+def _raw_sequences(bodies: pd.Series, faithful: bool) -> pd.Series:
+    return bodies.map(
+        lambda b: [
+            {"raw": b[s:e], "start": s, "end": e, "pattern": form, "rna": rna}
+            for form, s, e, rna in _spans(b, faithful)
+        ]
+        if isinstance(b, str) else []
+    )
+
+
+_RAW_SEQUENCE = "array<struct<raw:string,start:int,end:int,pattern:string,rna:boolean>>"
+
+
+@F.pandas_udf(_RAW_SEQUENCE)
+def _find_sequences(bodies: pd.Series) -> pd.Series:
+    return _raw_sequences(bodies, False)
+
+
+@F.pandas_udf(_RAW_SEQUENCE)
+def _find_sequences_faithful(bodies: pd.Series) -> pd.Series:
+    return _raw_sequences(bodies, True)
+
+
+def extract_sequences(c: Column, valid_only: bool = True, faithful: bool = False) -> Column:
+    """All sequences of a text as array<struct>, one per stored sequence.
+
+    Python finds the spans; normalising, checking and context are native.
+    ``faithful=True`` lets a 5'-…-3' string without U count as RNA.
+    """
+    found = (_find_sequences_faithful if faithful else _find_sequences)(c)
+    packed = F.transform(
+        found,
+        lambda h: F.struct(
+            F.when(h["rna"], F.translate(sequence.normalise_match(h["raw"], True), "T", "U"))
+            .otherwise(sequence.normalise_match(h["raw"])).alias("sequence"),
+            h["raw"].alias("raw_match"), h["start"].alias("start"), h["end"].alias("end"),
+            h["pattern"].alias("pattern"),
+            F.when(h["rna"], "ssRNA").otherwise("ssDNA").alias("nucleic_acid_type"),
+            text.text_context(c, h["start"], h["end"]).alias("context"),
+        ),
+    )
+    checked = F.transform(
+        packed,
+        lambda h: h.withField(
+            "fail_reason",
+            F.when(h["nucleic_acid_type"] == "ssRNA", sequence.rna_fault(h["sequence"]))
+            .otherwise(sequence.sequence_fault(h["sequence"])),
+        ),
+    )
+    names = F.transform(checked, lambda h: h["sequence"])
+    firsts = F.filter(
+        checked, lambda h, i: F.array_position(names, h["sequence"]) == i + 1
+    )
+    out = F.transform(firsts, lambda h: h.withField("valid", h["fail_reason"] == ""))
+    return F.filter(out, lambda h: h["valid"]) if valid_only else out
+
+
+def _affinities(body: str):
+    for form, pattern in _AFFINITY_FORMS:
+        for m in pattern.finditer(body):
+            if form == "plain":
+                kind, value, unit = "kd", float(m.group(1)), m.group(2)
+                scale = fv.UNIT_TO_NM_WITH_MOLAR.get(unit.lower())
+                nm = None if scale is None else float(f"{value * scale:.4g}")
+            elif form == "power":
+                kind, value, power = "kd", float(m.group(1)), int(m.group(2))
+                unit, nm = "nM", value * 10.0 ** power * 1e9
+            else:
+                kind, value, unit = m.group(1).lower(), float(m.group(2)), m.group(3)
+                scale = fv.UNIT_TO_NM.get(unit.lower())
+                nm = None if scale is None else float(f"{value * scale:.4g}")
+            if nm is not None:
+                yield kind, nm, value, unit, m.start(), m.end()
+
+
+@F.pandas_udf(
+    "array<struct<measure_type:string,value_nM:double,original_value:double,"
+    "original_unit:string,start:int,end:int>>"
+)
+def _find_affinities(bodies: pd.Series) -> pd.Series:
+    keys = ("measure_type", "value_nM", "original_value", "original_unit", "start", "end")
+    return bodies.map(
+        lambda b: [dict(zip(keys, hit)) for hit in _affinities(b)] if isinstance(b, str) else []
+    )
+
+
+def extract_kd(c: Column, deduplicate: bool = True) -> Column:
+    """All affinities of a text as array<struct>; the unit stored is canonical."""
+    found = F.transform(
+        _find_affinities(c),
+        lambda h: h.withField(
+            "canonical_unit",
+            F.coalesce(measure.canonical_unit(h["original_unit"]), F.lit("nM")),
+        ).withField("context", text.text_context(c, h["start"], h["end"])),
+    )
+    if not deduplicate:
+        return found
+    keys = F.transform(
+        found, lambda h: F.struct(F.round(h["value_nM"], 6).alias("v"), h["measure_type"].alias("m"))
+    )
+    return F.filter(found, lambda h, i: F.array_position(keys, F.get(keys, i)) == i + 1)
