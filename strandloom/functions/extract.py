@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
+from strandloom import schemas
 from strandloom.functions import measure, sequence, text
+from strandloom.functions.bind import bind
 
 
 def _first_number(c: Column, pattern: str) -> Column:
@@ -29,10 +31,12 @@ def _buffer_of(sentence: Column) -> Column:
     return out
 
 
-def extract_conditions(c: Column) -> Column:
-    """struct of pH, Na, Mg, temperature, the two buffers and all buffers."""
-    ph = _first_number(c, fv.PH_TEXT)
-    temp = _first_number(c, fv.TEMP_TEXT)
+def with_conditions(df: DataFrame, column: str = "text", name: str = "c") -> DataFrame:
+    """Add a struct of pH, Na, Mg, temperature, the two buffers and all buffers.
+
+    Staged columns: every sentence is classified once and used by name after.
+    """
+    c = F.col(column)
     sentences = F.transform(
         F.split(c, "(?U)" + fv.SENTENCE_BREAK),
         lambda s: F.struct(
@@ -41,22 +45,30 @@ def extract_conditions(c: Column) -> Column:
             s.rlike("(?iU)" + fv.BINDING_BUFFER).alias("bind"),
         ),
     )
-    found = F.filter(sentences, lambda s: s["buffer"].isNotNull())
 
     def first(flag):
-        return F.get(F.filter(found, lambda s: s[flag]), F.lit(0))["buffer"]
-
-    undecided = first("sel").isNull() & first("bind").isNull()
-    default = F.when(undecided, F.get(found, F.lit(0))["buffer"])
-    return F.struct(
-        F.when(ph.between(0.0, 14.0), ph).alias("ph"),
+        return F.get(F.filter("_found", lambda s: s[flag]), F.lit(0))["buffer"]
+
+    x = (
+        df.withColumn("_found", F.filter(sentences, lambda s: s["buffer"].isNotNull()))
+        .withColumns({
+            "_ph": _first_number(c, fv.PH_TEXT), "_temp": _first_number(c, fv.TEMP_TEXT),
+            "_sel": first("sel"), "_bind": first("bind"),
+        })
+    )
+    default = F.when(
+        F.col("_sel").isNull() & F.col("_bind").isNull(), F.get("_found", F.lit(0))["buffer"]
+    )
+    packed = F.struct(
+        F.when(F.col("_ph").between(0.0, 14.0), F.col("_ph")).alias("ph"),
         F.coalesce(_first_number(c, fv.NA_TEXT), _first_number(c, fv.IONIC_TEXT)).alias("na"),
         _first_number(c, fv.MG_TEXT).alias("mg"),
-        F.when(temp.between(0.0, 100.0), temp).alias("temperature"),
-        F.coalesce(first("sel"), default).alias("selection_buffer"),
-        F.coalesce(first("bind"), default).alias("binding_buffer"),
-        F.array_distinct(F.transform(found, lambda s: s["buffer"])).alias("all_buffers"),
+        F.when(F.col("_temp").between(0.0, 100.0), F.col("_temp")).alias("temperature"),
+        F.coalesce("_sel", default).alias("selection_buffer"),
+        F.coalesce("_bind", default).alias("binding_buffer"),
+        F.array_distinct(F.transform("_found", lambda s: s["buffer"])).alias("all_buffers"),
     )
+    return x.withColumn(name, packed).drop("_found", "_ph", "_temp", "_sel", "_bind")
 
 
 def extract_assay(c: Column) -> Column:
@@ -148,15 +160,12 @@ def _raw_sequences(bodies: pd.Series, faithful: bool) -> pd.Series:
     )
 
 
-_RAW_SEQUENCE = "array<struct<raw:string,start:int,end:int,pattern:string,rna:boolean>>"
-
-
-@F.pandas_udf(_RAW_SEQUENCE)
+@F.pandas_udf(schemas.RAW_SEQUENCES)
 def _find_sequences(bodies: pd.Series) -> pd.Series:
     return _raw_sequences(bodies, False)
 
 
-@F.pandas_udf(_RAW_SEQUENCE)
+@F.pandas_udf(schemas.RAW_SEQUENCES)
 def _find_sequences_faithful(bodies: pd.Series) -> pd.Series:
     return _raw_sequences(bodies, True)
 
@@ -187,11 +196,15 @@ def extract_sequences(c: Column, valid_only: bool = True, faithful: bool = False
             .otherwise(sequence.sequence_fault(h["sequence"])),
         ),
     )
-    names = F.transform(checked, lambda h: h["sequence"])
-    firsts = F.filter(
-        checked, lambda h, i: F.array_position(names, h["sequence"]) == i + 1
-    )
-    out = F.transform(firsts, lambda h: h.withField("valid", h["fail_reason"] == ""))
+
+    def firsts(hits):
+        names = F.transform(hits, lambda h: h["sequence"])
+        return bind(
+            names,
+            lambda n: F.filter(hits, lambda h, i: F.array_position(n, h["sequence"]) == i + 1),
+        )
+
+    out = F.transform(bind(checked, firsts), lambda h: h.withField("valid", h["fail_reason"] == ""))
     return F.filter(out, lambda h: h["valid"]) if valid_only else out
 
 
@@ -213,10 +226,7 @@ def _affinities(body: str):
                 yield kind, nm, value, unit, m.start(), m.end()
 
 
-@F.pandas_udf(
-    "array<struct<measure_type:string,value_nM:double,original_value:double,"
-    "original_unit:string,start:int,end:int>>"
-)
+@F.pandas_udf(schemas.RAW_AFFINITIES)
 def _find_affinities(bodies: pd.Series) -> pd.Series:
     keys = ("measure_type", "value_nM", "original_value", "original_unit", "start", "end")
     return bodies.map(
@@ -235,7 +245,14 @@ def extract_kd(c: Column, deduplicate: bool = True) -> Column:
     )
     if not deduplicate:
         return found
-    keys = F.transform(
-        found, lambda h: F.struct(F.round(h["value_nM"], 6).alias("v"), h["measure_type"].alias("m"))
-    )
-    return F.filter(found, lambda h, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+    def distinct(hits):
+        keys = F.transform(
+            hits,
+            lambda h: F.struct(F.round(h["value_nM"], 6).alias("v"), h["measure_type"].alias("m")),
+        )
+        return bind(
+            keys, lambda k: F.filter(hits, lambda h, i: F.array_position(k, F.get(k, i)) == i + 1)
+        )
+
+    return bind(found, distinct)

@@ -8,24 +8,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
+from strandloom.functions.bind import bind
 
 
-def four_digits(x: Column) -> Column:
+def four_digits(value: Column) -> Column:
     """Round to 4 significant digits, ties to even."""
-    e = F.floor(F.log10(x))
-    out = None
-    scaled_up = F.bround(x * F.pow(F.lit(10.0), F.lit(3) - e)) / F.pow(F.lit(10.0), F.lit(3) - e)
-    scaled_down = F.bround(x / F.pow(F.lit(10.0), e - 3)) * F.pow(F.lit(10.0), e - 3)
-    out = F.when(x == 0, F.lit(0.0)).when(e <= 3, scaled_up).otherwise(scaled_down)
-    return out
+    ten = F.lit(10.0)
+
+    def rounded(x):
+        e = F.floor(F.log10(x))
+        return (
+            F.when(x == 0, F.lit(0.0))
+            .when(e <= 3, F.bround(x * F.pow(ten, 3 - e)) / F.pow(ten, 3 - e))
+            .otherwise(F.bround(x / F.pow(ten, e - 3)) * F.pow(ten, e - 3))
+        )
+
+    return bind(value, rounded)
 
 
 def _factor(unit: Column, table: dict[str, float]) -> Column:
-    key = F.lower(F.trim(unit))
-    out = F.lit(None).cast("double")
-    for name, factor in table.items():
-        out = F.when(key == name, F.lit(factor)).otherwise(out)
-    return out
+    pairs = [F.lit(x) for item in table.items() for x in item]
+    return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(unit)))
 
 
 def to_nanomolar(value: Column, unit: Column, molar: bool = False) -> Column:
@@ -35,11 +38,8 @@ def to_nanomolar(value: Column, unit: Column, molar: bool = False) -> Column:
 
 
 def canonical_unit(unit: Column) -> Column:
-    key = F.lower(F.trim(unit))
-    out = F.lit(None).cast("string")
-    for name, shown in fv.UNIT_NAME.items():
-        out = F.when(key == name, F.lit(shown)).otherwise(out)
-    return out
+    pairs = [F.lit(x) for item in fv.UNIT_NAME.items() for x in item]
+    return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(unit)))
 
 
 def kd_convert(value: Column, unit: Column) -> Column:
@@ -64,7 +64,7 @@ def group(c: Column, pattern: str, n: int = 1) -> Column:
 
 
 def number(c: Column) -> Column:
-    return F.try_cast(c, "double") if hasattr(F, "try_cast") else c.try_cast("double")
+    return c.try_cast("double")
 
 
 def kd_parse(c: Column) -> Column:
@@ -89,13 +89,15 @@ def kd_cell_parse(c: Column, header: Column, faithful: bool = False) -> Column:
     header_unit = F.lit(None).cast("string") if faithful else group(
         header, "(?iU)" + fv.KD_HEADER_UNIT, 1
     )
-    return F.struct(
-        F.when(unit.isNotNull(), to_nanomolar(value, unit))
-        .when(header_unit.isNotNull(), F.coalesce(to_nanomolar(bare, header_unit), bare))
-        .otherwise(bare).alias("value_nM"),
-        F.when(unit.isNotNull(), F.when(to_nanomolar(value, unit).isNotNull(), unit))
-        .when(bare.isNotNull() & canonical_unit(header_unit).isNotNull(), header_unit)
-        .alias("unit"),
+    # one conversion serves both cases: own unit, or a bare number in the header's
+    used = F.coalesce(unit, F.when(bare.isNotNull(), header_unit))
+    converted = to_nanomolar(F.when(unit.isNotNull(), value).otherwise(bare), used)
+    return bind(
+        F.struct(converted.alias("nm"), bare.alias("bare"), used.alias("unit")),
+        lambda k: F.struct(
+            F.coalesce(k["nm"], k["bare"]).alias("value_nM"),
+            F.when(k["nm"].isNotNull(), k["unit"]).alias("unit"),
+        ),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
+from strandloom.functions.bind import bind
 
 
 def reverse_complement(c: Column) -> Column:
@@ -53,16 +54,17 @@ def longest_run_base(c: Column) -> Column:
     return F.get(F.filter(runs, lambda r: F.length(r) == size), F.lit(0))
 
 
-def _windows(c: Column, k: int, build) -> Column:
-    """Apply ``build`` to every start position; guards against short input."""
-    last = F.length(c) - (k - 1)
-    return F.when(
-        last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: build(i))
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def kmer_set(c: Column, k: int = 6) -> Column:
-    return F.array_distinct(_windows(c, k, lambda i: F.substring(c, i, F.lit(k))))
+    def build(s):
+        last = F.length(s) - (k - 1)
+        return F.when(
+            last >= 1,
+            F.array_distinct(
+                F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(s, i, F.lit(k)))
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return bind(c, build)
 
 
 def kmer_tokens(c: Column) -> Column:
@@ -71,21 +73,23 @@ def kmer_tokens(c: Column) -> Column:
     Three-mers sort as A<C<G<T, so the id is positional arithmetic; anything
     with another letter is the unknown id.
     """
-    seq = F.upper(F.trim(c))
+    digits = F.transform(
+        F.split(F.upper(F.trim(c)), ""), lambda b: F.instr(F.lit("ACGT"), b)
+    )
 
-    def digit(i):
-        return F.instr(F.lit("ACGT"), F.substring(seq, i, F.lit(1)))
+    def tokens(d):
+        def token(i):
+            x, y, z = F.get(d, i), F.get(d, i + 1), F.get(d, i + 2)
+            return F.when(
+                (x > 0) & (y > 0) & (z > 0), (x - 1) * 16 + (y - 1) * 4 + z + 1
+            ).otherwise(F.lit(fv.UNK_ID))
 
-    def token(i):
-        a, b, d = digit(i), digit(i + 1), digit(i + 2)
+        last = F.size(d) - fv.KMER_SIZE
         return F.when(
-            (a > 0) & (b > 0) & (d > 0), (a - 1) * 16 + (b - 1) * 4 + d + 1
-        ).otherwise(F.lit(fv.UNK_ID))
+            last >= 0, F.transform(F.sequence(F.lit(0), last), token)
+        ).otherwise(F.array().cast("array<int>"))
 
-    last = F.length(seq) - (fv.KMER_SIZE - 1)
-    return F.when(
-        last >= 1, F.transform(F.sequence(F.lit(1), last), token)
-    ).otherwise(F.array().cast("array<int>"))
+    return bind(digits, tokens)
 
 
 def kmer_tokens_padded(c: Column, size: int = fv.SEQ_MAX_LEN) -> Column:
@@ -96,7 +100,6 @@ def kmer_tokens_padded(c: Column, size: int = fv.SEQ_MAX_LEN) -> Column:
 
 def kmer_decode(ids: Column) -> Column:
     """First letter of every token but the last, then the last one whole."""
-    kept = F.filter(ids, lambda i: i != fv.PAD_ID)
 
     def letter(code):
         return F.substring(F.lit("ACGT"), code.cast("int") + 1, F.lit(1))
@@ -114,12 +117,15 @@ def kmer_decode(ids: Column) -> Column:
             .otherwise(F.lit("?"))
         )
 
-    words = F.transform(kept, word)
-    head = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-                       lambda w: F.substring(w, 1, 1))
-    return F.when(F.size(words) == 0, F.lit("")).otherwise(
-        F.concat(F.array_join(head, ""), F.element_at(words, -1))
-    )
+    def join(words):
+        head = F.transform(
+            F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.substring(w, 1, 1)
+        )
+        return F.when(F.size(words) == 0, F.lit("")).otherwise(
+            F.concat(F.array_join(head, ""), F.element_at(words, -1))
+        )
+
+    return bind(F.transform(F.filter(ids, lambda i: i != fv.PAD_ID), word), join)
 
 
 def bounded_levenshtein(a: Column, b: Column, bound: int = fv.MAX_EDIT_DISTANCE) -> Column:
@@ -217,17 +223,22 @@ def scramble(c: Column, key: Column, seed: int = 42) -> Column:
 
     Order key is ``md5(seed|key|position)``, so any engine can repeat it.
     """
-    upper = F.upper(c)
-    letters = F.transform(
-        F.sequence(F.lit(1), F.length(upper)),
-        lambda i: F.struct(
-            F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), i.cast("string")).cast("binary"))
-            .alias("o"),
-            F.substring(upper, i, F.lit(1)).alias("b"),
-        ),
-    )
-    return F.when(F.length(upper) == 0, F.lit("")).otherwise(
-        F.array_join(F.transform(F.array_sort(letters), lambda x: x["b"]), "")
+
+    def shuffle(letters):
+        placed = F.transform(
+            letters,
+            lambda b, i: F.struct(
+                F.md5(
+                    F.concat_ws("|", F.lit(str(seed)), key.cast("string"), (i + 1).cast("string"))
+                    .cast("binary")
+                ).alias("o"),
+                b.alias("b"),
+            ),
+        )
+        return F.array_join(F.transform(F.array_sort(placed), lambda x: x["b"]), "")
+
+    return F.when(F.length(c) == 0, F.lit("")).otherwise(
+        bind(F.split(F.upper(c), ""), shuffle)
     )
 
 

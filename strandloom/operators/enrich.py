@@ -34,7 +34,7 @@ def interaction_pairs(aptamers: DataFrame, interactions: DataFrame) -> DataFrame
     )
 
 
-def label_lookup(pairs: DataFrame, order=("ord",)) -> DataFrame:
+def label_lookup(pairs: DataFrame, order) -> DataFrame:
     """First pair of every lower-cased, trimmed label."""
     keyed = pairs.withColumn("label_key", F.lower(F.trim("label")))
     first = skew.keep_first(keyed, [F.col("label_key")], order=order)
@@ -60,14 +60,14 @@ def backfill_sequences(master: DataFrame, lookup: DataFrame) -> DataFrame:
     )
 
 
-def new_rows(pairs: DataFrame, master: DataFrame) -> DataFrame:
+def new_rows(pairs: DataFrame, master: DataFrame, order) -> DataFrame:
     """Unmodified trainable pairs whose sequence is not in the master yet."""
     clean = pairs.where(
         F.col("has_modification_details").isNull()
         & sequence.is_trainable_dna(F.col("sequence_clean"))
     )
     first = skew.keep_first(
-        clean, [F.col("sequence_clean"), F.col("target_name")], order=("ord",)
+        clean, [F.col("sequence_clean"), F.col("target_name")], order=order
     )
     known = master.select(F.upper(F.trim("sequence")).alias("sequence_clean")).distinct()
     fresh = anti_by_key(first, known, "sequence_clean")

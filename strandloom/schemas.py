@@ -58,13 +58,38 @@ PROVENANCE = T.StructType(
     ]
 )
 
-SEQUENCE_HIT = (
-    "struct<sequence:string,raw_match:string,start:int,end:int,pattern:string,"
-    "nucleic_acid_type:string,context:string,valid:boolean,fail_reason:string>"
+
+
+def _hits(*fields):
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields]))
+
+
+_TEXT, _INT, _REAL = T.StringType(), T.IntegerType(), T.DoubleType()
+ROWS = T.ArrayType(T.ArrayType(_TEXT))
+
+# spans found by the offset-exact extractors
+RAW_SEQUENCES = _hits(
+    ("raw", _TEXT), ("start", _INT), ("end", _INT), ("pattern", _TEXT), ("rna", T.BooleanType())
+)
+RAW_AFFINITIES = _hits(
+    ("measure_type", _TEXT), ("value_nM", _REAL), ("original_value", _REAL),
+    ("original_unit", _TEXT), ("start", _INT), ("end", _INT),
 )
-KD_HIT = (
-    "struct<value_nM:double,original_value:double,original_unit:string,canonical_unit:string,"
-    "start:int,end:int,context:string,measure_type:string>"
+PAGE = T.StructType(
+    [
+        T.StructField("title", _TEXT), T.StructField("raw", _TEXT),
+        T.StructField("tables", T.ArrayType(ROWS)),
+    ]
+)
+ARTICLE = T.StructType(
+    [
+        T.StructField("title", _TEXT), T.StructField("abstract", _TEXT), T.StructField("body", _TEXT),
+        T.StructField("tables", _hits(("label", _TEXT), ("caption", _TEXT), ("rows", ROWS))),
+        T.StructField("captions", T.ArrayType(_TEXT)),
+        T.StructField("supplements", T.ArrayType(_TEXT)),
+        T.StructField("doi", _TEXT), T.StructField("parse_ok", T.BooleanType()),
+        T.StructField("error", _TEXT),
+    ]
 )
 STRUCTURE_FEATURES = T.StructType(
     [

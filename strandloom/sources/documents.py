@@ -16,13 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
+from strandloom import schemas
 from strandloom.functions import text
 
 # --- web pages --------------------------------------------------------------
 
-_PAGE = "struct<title:string,raw:string,tables:array<array<array<string>>>>"
-
-
 class _Page(HTMLParser):
     """Collects title, text with line breaks at blocks, and table cells."""
 
@@ -99,7 +97,7 @@ def _page(html):
     return page.result()
 
 
-@F.pandas_udf(_PAGE)
+@F.pandas_udf(schemas.PAGE)
 def _parse_pages(html: pd.Series) -> pd.DataFrame:
     rows = [_page(h) if isinstance(h, str) else {"title": "", "raw": "", "tables": []} for h in html]
     return pd.DataFrame(rows, columns=["title", "raw", "tables"])
@@ -143,11 +141,6 @@ def parse_text(df: DataFrame, column: str = "text") -> DataFrame:
 
 # --- article XML ------------------------------------------------------------
 
-_ARTICLE = (
-    "struct<title:string,abstract:string,body:string,"
-    "tables:array<struct<label:string,caption:string,rows:array<array<string>>>>,"
-    "captions:array<string>,supplements:array<string>,doi:string,parse_ok:boolean,error:string>"
-)
 _XLINK = "{http://www.w3.org/1999/xlink}href"
 
 
@@ -213,7 +206,7 @@ _ARTICLE_FIELDS = ["title", "abstract", "body", "tables", "captions", "supplemen
                    "parse_ok", "error"]
 
 
-@F.pandas_udf(_ARTICLE)
+@F.pandas_udf(schemas.ARTICLE)
 def _parse_articles(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_article(x or "") for x in xml], columns=_ARTICLE_FIELDS)
 
@@ -234,7 +227,7 @@ def parse_articles(df: DataFrame, xml: str = "xml") -> DataFrame:
 # --- delimited files --------------------------------------------------------
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(schemas.ROWS)
 def _cells(body: pd.Series, sep: pd.Series) -> pd.Series:
     return pd.Series(
         [list(csv.reader(io.StringIO(b), delimiter=s)) if isinstance(b, str) else [] for b, s in zip(body, sep)]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
+from strandloom.functions.bind import bind
 from strandloom.functions.text import keyword_gate
 from strandloom.operators.skew import keep_first
 
@@ -47,9 +48,11 @@ def rebuild_abstract(index: Column) -> Column:
             )
         )
     )
-    kept = F.filter(
+    kept = bind(
         placed,
-        lambda x, n: F.coalesce(F.get(placed, n + 1)["p"] != x["p"], F.lit(True)),
+        lambda a: F.filter(
+            a, lambda x, n: F.coalesce(F.get(a, n + 1)["p"] != x["p"], F.lit(True))
+        ),
     )
     return F.coalesce(F.array_join(F.transform(kept, lambda x: x["w"]), " "), F.lit(""))
 
