@@ -41,17 +41,21 @@ def homopolymer_flag(c: Column, limit: int = fv.MAX_HOMOPOLYMER, bases: str = "A
     return c.rlike("|".join(f"{b}{{{limit + 1},}}" for b in bases))
 
 
+def _runs(c: Column) -> Column:
+    return F.regexp_extract_all(F.upper(c), F.lit("(A+|C+|G+|T+)"), F.lit(1))
+
+
 def longest_run(c: Column) -> Column:
     """Length of the longest run of one base, 0 for an empty string."""
-    runs = F.regexp_extract_all(F.upper(c), F.lit("(A+|C+|G+|T+)"), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(_runs(c), F.length)), F.lit(0))
 
 
 def longest_run_base(c: Column) -> Column:
     """The first of the longest runs, as text."""
-    runs = F.regexp_extract_all(F.upper(c), F.lit("(A+|C+|G+|T+)"), F.lit(1))
-    size = F.array_max(F.transform(runs, F.length))
-    return F.get(F.filter(runs, lambda r: F.length(r) == size), F.lit(0))
+    ranked = F.transform(
+        _runs(c), lambda r, i: F.struct(F.length(r).alias("n"), (-i).alias("at"), r.alias("run"))
+    )
+    return F.array_max(ranked)["run"]
 
 
 def kmer_set(c: Column, k: int = 6) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
 from strandloom.operators import skew
+from strandloom.session import durable
 
 TIERS = (4, 12, 30)
 BUCKET_PAIRS = 4_000_000
@@ -92,24 +93,23 @@ def near_dupe_sequences(
     tiers: Sequence[int] = TIERS,
     bucket_pairs: int = BUCKET_PAIRS,
 ) -> DataFrame:
-    """Distinct pairs (seq_a < seq_b, dist) with 1 <= edit distance <= 2."""
+    """Distinct pairs (seq_a < seq_b, dist) with 1 <= edit distance <= 2.
+
+    Runs its jobs when called: whether a tier has hot keys decides if another
+    tier is needed, and the result is written out because every consumer reads
+    it more than once.
+    """
     if not 1 <= distance <= 2:
         raise ValueError("distance must be 1 or 2")
-    pool = df.where(F.col(seq).isNotNull()).select(F.col(seq).alias("seq")).distinct()
+    pool = durable(df.where(F.col(seq).isNotNull()).select(F.col(seq).alias("seq")).distinct())
     found = None
     for tier, k in enumerate(tiers):
         index, probe = _index_keys(pool, k), _probe_keys(pool, k)
-        last = tier == len(tiers) - 1
-        if not last:
-            sizes = (
-                index.select("bkey", F.lit(1).alias("a"), F.lit(0).alias("b"))
-                .unionByName(probe.select("bkey", F.lit(0).alias("a"), F.lit(1).alias("b")))
-                .groupBy("bkey").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-            )
-            hot = sizes.where(F.col("a") * F.col("b") > bucket_pairs).select(
-                "bkey", (F.col("a") + F.col("b")).alias("n")
-            )
-            deferred = (
+        deferred = None
+        hot = _hot_keys(index, probe, bucket_pairs) if tier < len(tiers) - 1 else None
+        if hot is not None and not hot.isEmpty():
+            hot = durable(hot)
+            deferred = durable(
                 skew.spread_join(index.unionByName(probe), hot, ["bkey"], "n", how="semi")
                 .select("seq").distinct()
             )
@@ -124,10 +124,24 @@ def near_dupe_sequences(
             .select(F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b"))
         )
         found = near if found is None else found.unionByName(near)
-        if last:
+        if deferred is None:
             break
         pool = deferred
-    return found.distinct().withColumn("dist", F.levenshtein("seq_a", "seq_b", distance))
+    return durable(
+        found.distinct().withColumn("dist", F.levenshtein("seq_a", "seq_b", distance))
+    )
+
+
+def _hot_keys(index: DataFrame, probe: DataFrame, bucket_pairs: int) -> DataFrame:
+    """Keys whose candidate product is too large, with their row counts."""
+    sizes = (
+        index.select("bkey", F.lit(1).alias("a"), F.lit(0).alias("b"))
+        .unionByName(probe.select("bkey", F.lit(0).alias("a"), F.lit(1).alias("b")))
+        .groupBy("bkey").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    )
+    return sizes.where(F.col("a") * F.col("b") > bucket_pairs).select(
+        "bkey", (F.col("a") + F.col("b")).alias("n")
+    )
 
 
 def near_dupe_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "rows")
+MODULES = ("scalars", "rows", "groups")
 
 
 def load():
