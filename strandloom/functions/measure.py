@@ -92,11 +92,14 @@ def kd_cell_parse(c: Column, header: Column, faithful: bool = False) -> Column:
     # one conversion serves both cases: own unit, or a bare number in the header's
     used = F.coalesce(unit, F.when(bare.isNotNull(), header_unit))
     converted = to_nanomolar(F.when(unit.isNotNull(), value).otherwise(bare), used)
+    parts = F.named_struct(
+        F.lit("nm"), converted, F.lit("bare"), bare, F.lit("unit"), used
+    )
     return bind(
-        F.struct(converted.alias("nm"), bare.alias("bare"), used.alias("unit")),
-        lambda k: F.struct(
-            F.coalesce(k["nm"], k["bare"]).alias("value_nM"),
-            F.when(k["nm"].isNotNull(), k["unit"]).alias("unit"),
+        parts,
+        lambda k: F.named_struct(
+            F.lit("value_nM"), F.coalesce(k["nm"], k["bare"]),
+            F.lit("unit"), F.when(k["nm"].isNotNull(), k["unit"]),
         ),
     )
 

@@ -1,8 +1,9 @@
 """The cleaning phases end to end: legacy rows in, cleaned rows out.
 
 Phases are pure functions; side tables (review queue, removed rows) are derived
-frames, never driver lists.  Pass ``snapshots`` to write every phase and go on
-from the written table, as one would on a cluster for a long run.
+frames, never driver lists.  Every operator reads its input more than once (a
+key count and the rows), so each phase ends in a written table: a checkpoint, or
+a phase table under ``snapshots`` when one is named.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import names
 from strandloom.operators import audit, dedup, enrich, mapping, validate
+from strandloom.session import durable
 from strandloom.sources.sinks import phase_snapshot
 
 
@@ -41,22 +43,21 @@ def clean(
 ) -> Cleaned:
     """legacy: row_id + legacy columns; splits: sequence, target_protein, split,
     augmented; compounds: name, cid; curated: row_id + record columns."""
-    keep = (lambda df, n: phase_snapshot(df, snapshots, n)) if snapshots else (lambda df, n: df)
+    keep = (lambda df, n: phase_snapshot(df, snapshots, n)) if snapshots else (lambda df, n: durable(df))
 
-    unique = dedup.exact_dedup(legacy)
+    unique = durable(dedup.exact_dedup(legacy))
     rows, complements = dedup.rc_dedup(unique)
     rows = keep(rows, 1)
 
-    rows = enrich.assign_existing(rows, splits)
+    rows = durable(enrich.assign_existing(rows, splits))
     renamed = rows.withColumnsRenamed({"sequence": "aptamer_sequence", "target_protein": "target_name"})
     repaired, moved = audit.repair_leakage(renamed)
     rows = repaired.withColumnsRenamed({"aptamer_sequence": "sequence", "target_name": "target_protein"})
     rows = keep(rows, 3)
 
     rows, removed = validate.quarantine(rows)
-    rows = keep(rows.withColumn("modifications", F.lit("none")), 4)
-
-    typed = rows.withColumn(
+    typed = keep(rows.withColumn("modifications", F.lit("none")), 4)
+    typed = typed.withColumn(
         "target_type", names.classify_clean(F.col("target_protein"), F.col("protein_sequence"))
     )
     typed = mapping.clear_wrong_ids(typed)

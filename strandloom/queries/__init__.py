@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "rows", "groups")
+MODULES = ("scalars", "rows", "groups", "docs")
 
 
 def load():

@@ -204,6 +204,13 @@ SHARED = {
   FROM @part@""",
     "compound_ids": """
   SELECT DISTINCT nm AS name, CAST(LENGTH(nm) * 17 AS STRING) AS cid FROM base_part WHERE nm <> 'ATP'""",
+    # one article per customer: a table of its orders, sequences repeat between documents
+    "table_cells": """
+  SELECT o_custkey AS doc_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS table_no, o_orderkey AS row_no, s AS seq,
+    CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 6 = 1 THEN '> 5 nM' WHEN o_orderkey % 6 = 2 THEN CONCAT(CAST(CAST(o_orderkey % 90 + 1 AS INT) AS STRING), 'uM')
+      ELSE CAST(CAST(o_orderkey % 50 + 1 AS INT) AS STRING) END AS kd_cell,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' ELSE nm END AS target_cell
+  FROM base_orders JOIN @orders@ ON o_orderkey = src""",
     "predictions": """
   SELECT o_orderkey AS row_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS INT) AS y_true,
     (CAST(INSTR('0123456789abcdef', SUBSTR(h,1,1)) - 1 AS DOUBLE) * 256 + (INSTR('0123456789abcdef', SUBSTR(h,2,1)) - 1) * 16

@@ -294,7 +294,7 @@ def resolve_url(href: Column, base: Column) -> Column:
 
 def file_extension(url: Column) -> Column:
     path = F.regexp_replace(url, r"[?#].*$", "")
-    return F.lower(F.regexp_extract(path, r"[^./](\.[^./]*)$", 1))
+    return F.lower(F.regexp_extract(path, r"[^./][^/]*(\.[^./]*)$", 1))
 
 
 def select_supplements(
