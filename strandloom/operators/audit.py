@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
+from strandloom.functions import names, sequence
 from strandloom.operators import skew
 from strandloom.operators.validate import split_membership
 
@@ -104,10 +105,8 @@ def split_share(df: DataFrame) -> DataFrame:
         df.where(F.col("split").isin(*fv.SPLITS)).groupBy("split")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    total = counts.agg(F.sum("n").alias("_t"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        "split", "n", F.round(F.col("n") * 100.0 / F.col("_t"), 4).alias("pct")
-    )
+    total = F.sum("n").over(Window.partitionBy())
+    return counts.select("split", "n", F.round(F.col("n") * 100.0 / total, 4).alias("pct"))
 
 
 def target_counts(df: DataFrame, column: str = "target_name") -> DataFrame:
@@ -127,8 +126,6 @@ def enrichment_gap(df: DataFrame) -> DataFrame:
     The cause is what the name says it is; a protein name without an id is a
     lookup miss.
     """
-    from strandloom.functions import names
-
     kind = names.classify_rules(F.col("target_name"))
     cause = (
         F.when(kind != "protein", F.concat(F.lit("not a protein: "), kind))
@@ -168,8 +165,6 @@ def merge_stats(df: DataFrame, valid: str = "valid", new: str = "is_new", in_bat
 
 def homopolymer_audit(df: DataFrame, k: int, seq: str = "aptamer_sequence") -> DataFrame:
     """The k rows with the longest runs of at least 3 (a top-k report)."""
-    from strandloom.functions import sequence
-
     run = sequence.longest_run_base(F.col(seq))
     return (
         df.select("row_id", "target_name", seq, run.alias("run"))
@@ -180,8 +175,6 @@ def homopolymer_audit(df: DataFrame, k: int, seq: str = "aptamer_sequence") -> D
 
 
 def homopolymer_counts(df: DataFrame, seq: str = "aptamer_sequence") -> DataFrame:
-    from strandloom.functions import sequence
-
     n = sequence.longest_run(F.col(seq))
     return df.select(n.alias("n"), F.col(seq).alias("s")).agg(
         F.count_if(F.col("n") >= 3).alias("run_3"), F.count_if(F.col("n") >= 5).alias("run_5"),
@@ -196,8 +189,6 @@ def limit_per_source(df: DataFrame, n: int, source: str = "source_type", buckets
     The cut-off id per source comes from per-bucket smallest ids, so one big
     source is ranked in many small groups before the final n * buckets rows.
     """
-    from pyspark.sql import Window
-
     salted = df.withColumn("_b", F.pmod(F.xxhash64("row_id"), F.lit(buckets)))
     local = Window.partitionBy(source, "_b").orderBy("row_id")
     final = Window.partitionBy(source).orderBy("row_id")

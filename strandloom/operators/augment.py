@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom import fixed_values as fv
 from strandloom.functions import sequence
 from strandloom.operators import audit, dedup, mapping, skew
+from strandloom.session import durable
 
 # order in which the variants of one method come (first copy wins)
 GENERATION = {
@@ -73,7 +74,7 @@ def cross_negatives(df: DataFrame, seed: int = 42) -> DataFrame:
     Targets are numbered 0..m-1; the partner is (own + 1 + hash mod (m-1)) mod m,
     so it always differs and no cross product is needed.
     """
-    ring = target_ring(df)
+    ring = durable(target_ring(df))
     m = ring.count()
     if m < 2:
         return df.limit(0).withColumn("gen_rank", F.lit(GENERATION["cross_neg"]))
@@ -123,8 +124,8 @@ def augment_train(
     ready = mapping.fill_defaults(mapping.training_ready(df, "augment")).withColumn(
         "split", F.coalesce("split", F.lit("unassigned"))
     )
-    guarded = audit.holdout_guard(ready)
+    guarded = durable(audit.holdout_guard(ready))
     held = guarded.where(F.col("split").isin(*fv.HOLDOUT))
     train = guarded.where(~F.col("split").isin(*fv.HOLDOUT)).withColumn("split", F.lit("train"))
-    rows = augment_rows(train, seed, cross_neg)
+    rows = durable(augment_rows(train, seed, cross_neg))
     return audit.guard_against(rows, held), held

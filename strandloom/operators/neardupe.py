@@ -101,7 +101,12 @@ def near_dupe_sequences(
     """
     if not 1 <= distance <= 2:
         raise ValueError("distance must be 1 or 2")
-    pool = durable(df.where(F.col(seq).isNotNull()).select(F.col(seq).alias("seq")).distinct())
+    # every string turns into dozens of keys, so the few bytes of the distinct
+    # strings are spread over all partitions instead of being coalesced
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pool = durable(
+        df.where(F.col(seq).isNotNull()).select(F.col(seq).alias("seq")).distinct().repartition(width)
+    )
     found = None
     for tier, k in enumerate(tiers):
         index, probe = _index_keys(pool, k), _probe_keys(pool, k)
@@ -111,7 +116,7 @@ def near_dupe_sequences(
             hot = durable(hot)
             deferred = durable(
                 skew.spread_join(index.unionByName(probe), hot, ["bkey"], "n", how="semi")
-                .select("seq").distinct()
+                .select("seq").distinct().repartition(width)
             )
             index = skew.spread_join(index, hot, ["bkey"], "n", how="anti")
             probe = skew.spread_join(probe, hot, ["bkey"], "n", how="anti")

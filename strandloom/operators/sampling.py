@@ -42,12 +42,18 @@ def balanced_sample(df: DataFrame, n: int, label: str = "label", seed: int = 42)
     for c in classes:  # rows are ranked class by class, so ranks of a class are a range
         offsets[c], start = start, start + counts[c]
     ranked = skew.global_rank(df, [F.col(label), F.col("row_id")], "_pos")
-    draw = df.sparkSession.range(n).withColumn(
-        "_c", F.pmod(F.xxhash64(F.lit(seed), "id", F.lit("class")), F.lit(len(classes)))
-    ).withColumn("_u", F.xxhash64(F.lit(seed), "id", F.lit("rank")))
+    draw = df.sparkSession.range(n).select(
+        F.col("id").alias("draw"), _digits(seed, "class").alias("_c"), _digits(seed, "rank").alias("_u")
+    )
     pos = F.lit(None).cast("bigint")
     for i, c in enumerate(classes):
         pos = F.when(
-            F.col("_c") == i, F.pmod("_u", F.lit(counts[c])) + offsets[c] + 1
+            F.pmod("_c", F.lit(len(classes))) == i, F.pmod("_u", F.lit(counts[c])) + offsets[c] + 1
         ).otherwise(pos)
-    return draw.select(F.col("id").alias("draw"), pos.alias("_pos")).join(ranked, "_pos").drop("_pos")
+    return draw.select("draw", pos.alias("_pos")).join(ranked, "_pos").drop("_pos")
+
+
+def _digits(seed: int, salt: str) -> Column:
+    """A number from the first 15 hex digits of a hash of the draw."""
+    h = F.md5(F.concat(F.lit(f"{seed}|{salt}|"), F.col("id").cast("string")).cast("binary"))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")

@@ -206,10 +206,10 @@ SHARED = {
   SELECT DISTINCT nm AS name, CAST(LENGTH(nm) * 17 AS STRING) AS cid FROM base_part WHERE nm <> 'ATP'""",
     # one article per customer: a table of its orders, sequences repeat between documents
     "table_cells": """
-  SELECT o_custkey AS doc_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS INT) AS table_no, o_orderkey AS row_no, s AS seq,
-    CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 6 = 1 THEN '> 5 nM' WHEN o_orderkey % 6 = 2 THEN CONCAT(CAST(CAST(o_orderkey % 90 + 1 AS INT) AS STRING), 'uM')
-      ELSE CAST(CAST(o_orderkey % 50 + 1 AS INT) AS STRING) END AS kd_cell,
-    CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' ELSE nm END AS target_cell
+  SELECT o_custkey AS doc_id, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS table_no, id AS row_no, s AS seq,
+    CASE WHEN id % 6 = 0 THEN '' WHEN id % 6 = 1 THEN '> 5 nM' WHEN id % 6 = 2 THEN CONCAT(CAST(CAST(id % 90 + 1 AS INT) AS STRING), 'uM')
+      ELSE CAST(CAST(id % 50 + 1 AS INT) AS STRING) END AS kd_cell,
+    CASE WHEN id % 7 = 0 THEN 'N/A' ELSE nm END AS target_cell
   FROM base_orders JOIN @orders@ ON o_orderkey = src""",
     "predictions": """
   SELECT o_orderkey AS row_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS INT) AS y_true,
@@ -262,6 +262,9 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         text = with_clause(f"SELECT * FROM {name}", SHARED)
         tables = {t: table(spark, sf_dir, t) for t in TABLES if f"@{t}@" in text}
         path = scratch(spark)
-        spark.sql(re.sub(r"@(\w+)@", r"{\1}", text), **tables).write.parquet(path)
+        made = spark.sql(re.sub(r"@(\w+)@", r"{\1}", text), **tables)
+        # the shared tables are single files here; land one file per core
+        width = max(made.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+        made.repartition(width).write.parquet(path)
         _WRITTEN[at] = path
     return spark.read.parquet(_WRITTEN[at])

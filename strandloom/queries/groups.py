@@ -398,7 +398,13 @@ def stratified_pick(spark, sf):
     return sampling.pick_per_class(derived(spark, sf, "records"), 40).select("row_id", "label")
 
 
-@query("balanced_sample")
+@query(
+    "balanced_sample",
+    """WITH ranked AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY row_id) AS r, count(*) OVER (PARTITION BY label) AS c FROM records),
+         draws AS (SELECT i AS draw, CAST('0x' || substr(md5(concat('42|class|', i)), 1, 15) AS BIGINT) % 2 AS k, CAST('0x' || substr(md5(concat('42|rank|', i)), 1, 15) AS BIGINT) AS u
+           FROM range((SELECT count(*) FROM records)) t(i))
+       SELECT draw, row_id, label FROM draws JOIN ranked ON label = k AND r = u % c + 1""",
+)
 def balanced_sample(spark, sf):
     df = derived(spark, sf, "records")
     return sampling.balanced_sample(df, df.count()).select("draw", "row_id", "label")
