@@ -7,45 +7,64 @@ from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
 from strandloom.functions import sequence
+from strandloom.functions.bind import bind, once
 from strandloom.operators import skew
 
 
 def record_errors(df: DataFrame) -> Column:
-    """All violations of the record contract as array<string>."""
-
-    def shown(name):
-        if name not in df.columns:
-            return F.lit(None).cast("string")
-        return F.nullif(F.trim(F.col(name).cast("string")), F.lit(""))
-
-    checks = []
-    for name in fv.REQUIRED:
-        checks.append(F.when(shown(name).isNull(), f"required field missing or empty: {name}"))
-    for name, allowed in fv.VOCABULARY.items():
-        checks.append(
-            F.when(~shown(name).isin(*allowed),
-                   F.concat(F.lit(f"invalid value for {name}: "), shown(name)))
-        )
-    kd, unit = shown("kd_value"), shown("kd_unit")
-    kd_number = kd.try_cast("double")
-    checks += [
-        F.when(kd.isNotNull() & kd_number.isNull(), F.concat(F.lit("kd_value is not numeric: "), kd)),
-        F.when(kd_number < 0, "kd_value must be >= 0"),
-        F.when(kd.isNotNull() & unit.isNull(), "kd_value present but kd_unit is missing"),
-        F.when(unit.isNotNull() & kd.isNull(), "kd_unit present but kd_value is missing"),
-    ]
-    for name, (lo, hi) in fv.BOUNDS.items():
-        raw = shown(name)
-        value = raw.try_cast("double")
+    """All violations of the record contract as array<string>.
+
+    The columns are packed once and the rules read the packed row: a filter on
+    the result then mentions every input once, however many rules look at it.
+    """
+    names = [c for c in fv.RECORD_COLUMNS if c in df.columns]
+    packed = F.named_struct(
+        *[x for n in names for x in (F.lit(n), F.trim(F.col(n).cast("string")))]
+    )
+
+    def rules(row):
+        def shown(name):
+            return row[name] if name in names else F.lit(None).cast("string")
+
+        def given(name):
+            return shown(name) != ""
+
+        checks = []
+        for name in fv.REQUIRED:
+            checks.append(F.when(F.coalesce(shown(name), F.lit("")) == "",
+                                 f"required field missing or empty: {name}"))
+        for name, allowed in fv.VOCABULARY.items():
+            checks.append(
+                F.when(given(name) & ~shown(name).isin(*allowed),
+                       F.concat(F.lit(f"invalid value for {name}: "), shown(name)))
+            )
+        has_kd = F.coalesce(given("kd_value"), F.lit(False))
+        has_unit = F.coalesce(given("kd_unit"), F.lit(False))
+        number = shown("kd_value").try_cast("double")
         checks += [
-            F.when(raw.isNotNull() & value.isNull(), F.concat(F.lit(f"{name} is not numeric: "), raw)),
-            F.when(~value.between(lo, hi), f"{name} out of expected range [{lo}, {hi}]"),
+            F.when(has_kd & number.isNull(), F.concat(F.lit("kd_value is not numeric: "), shown("kd_value"))),
+            F.when(number < 0, "kd_value must be >= 0"),
+            F.when(has_kd & ~has_unit, "kd_value present but kd_unit is missing"),
+            F.when(has_unit & ~has_kd, "kd_unit present but kd_value is missing"),
         ]
-    return F.array_compact(F.array(*checks))
+        for name, (lo, hi) in fv.BOUNDS.items():
+            value = shown(name).try_cast("double")
+            checks += [
+                F.when(given(name) & value.isNull(), F.concat(F.lit(f"{name} is not numeric: "), shown(name))),
+                F.when(~value.between(lo, hi), f"{name} out of expected range [{lo}, {hi}]"),
+            ]
+        return F.array_compact(F.array(*checks))
+
+    return bind(packed, rules)
 
 
 def validate_record(df: DataFrame) -> DataFrame:
-    return df.withColumn("errors", record_errors(df)).withColumn("valid", F.size("errors") == 0)
+    return once(df, "errors", record_errors(df)).withColumn("valid", F.size("errors") == 0)
+
+
+def keep_valid(df: DataFrame) -> DataFrame:
+    """Only the rows without a violation."""
+    return validate_record(df).where("valid").select(*df.columns)
 
 
 def to_records(df: DataFrame) -> DataFrame:
@@ -62,7 +81,7 @@ def validate_sequences(
     df: DataFrame, seq: str = "sequence", target: str | None = "target_protein"
 ) -> DataFrame:
     """Add ``valid`` and ``fail_reason``; later copies of a valid key fail."""
-    tagged = df.withColumn("fail_reason", sequence.sequence_fault(F.col(seq)))
+    tagged = once(df, "fail_reason", sequence.sequence_fault(F.col(seq)))
     other = F.lower(F.trim(F.col(target))) if target else F.lit("")
     marked = skew.mark_first(
         tagged, [F.upper(F.trim(F.col(seq))), other], "_first", among=F.col("fail_reason") == ""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom import fixed_values as fv
 from strandloom.functions import measure, names, sequence
 from strandloom.operators.mapping import legacy_row
-from strandloom.operators.validate import record_errors
+from strandloom.operators.validate import keep_valid
 
 
 def from_assayed(df: DataFrame) -> DataFrame:
@@ -120,4 +120,4 @@ def load_curated(df: DataFrame, source: str) -> DataFrame:
     records = rows.where(
         target.isNotNull() & raw.rlike("^[ATGC]+$") & F.length(raw).between(fv.SEQ_MIN_LEN, fv.SEQ_MAX_LEN)
     ).select(*carried, *[c.alias(n) for n, c in out.items()])
-    return records.where(F.size(record_errors(records)) == 0)
+    return keep_valid(records)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,21 +25,24 @@ def unseen(batch: DataFrame, sink: DataFrame, keys: list[str], order: list[str])
 
 
 def append_new_keys(
-    stream: DataFrame, out_path: str, checkpoint: str, keys: list[str], order: list[str]
+    stream: DataFrame, out_path: str, checkpoint: str, keys: list[str], order: list[str],
+    prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
 ) -> StreamingQuery:
     """Stream into a table keeping the first row of every key.
 
     The sink is the state: every batch is compared with what has been written,
     so no state store grows with the keys.  Each batch goes to its own folder
     and overwrites it, so a batch that is run again leaves one copy.
+    ``prepare`` turns a batch of the stream into rows with the key columns.
     """
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        rows = prepare(batch)
+        schema = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.LongType())])
         spark.createDataFrame([], schema).write.mode("append").partitionBy("batch_id").parquet(out_path)
         done = spark.read.schema(schema).parquet(out_path).where(F.col("batch_id") < batch_id)
-        new = unseen(batch, done, keys, order)
+        new = unseen(rows, done, keys, order)
         new.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     return (
@@ -50,16 +55,22 @@ def ingest_records(
     stream: DataFrame, master: DataFrame, out_path: str, checkpoint: str
 ) -> StreamingQuery:
     """Validate records, drop what master or sink has, append the rest."""
-    valid = validate.validate_record(stream).where("valid").drop("valid", "errors")
-    s, t = dedup.record_key(F.col("aptamer_sequence"), F.col("target_name"))
-    keyed = valid.withColumn("key_seq", s).withColumn("key_target", t)
     ms, mt = dedup.record_key(
         F.col(dedup.alias_of(master, ("aptamer_sequence", "sequence"))),
         F.col(dedup.alias_of(master, ("target_name", "target_protein"))),
     )
-    known = master.select(ms.alias("key_seq"), mt.alias("key_target"), F.lit(True).alias("_k")).distinct()
-    fresh = keyed.join(known, ["key_seq", "key_target"], "left").where(F.col("_k").isNull()).drop("_k")
-    return append_new_keys(fresh, out_path, checkpoint, ["key_seq", "key_target"], ["row_id"])
+    known = master.select(ms.alias("key_seq"), mt.alias("key_target")).distinct()
+    s, t = dedup.record_key(F.col("aptamer_sequence"), F.col("target_name"))
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        keyed = validate.keep_valid(batch).withColumn("key_seq", s).withColumn("key_target", t)
+        # first row per key before the join: no key can be hot in it
+        first = skew.keep_first(keyed, [F.col("key_seq"), F.col("key_target")])
+        return first.join(known, ["key_seq", "key_target"], "left_anti")
+
+    return append_new_keys(
+        stream, out_path, checkpoint, ["key_seq", "key_target"], ["row_id"], prepare
+    )
 
 
 def stream_stats(stream: DataFrame, out_path: str, checkpoint: str, group: str = "source_type") -> StreamingQuery:
