@@ -183,17 +183,6 @@ def homopolymer_counts(df: DataFrame, seq: str = "aptamer_sequence") -> DataFram
     )
 
 
-def limit_per_source(df: DataFrame, n: int, source: str = "source_type", buckets: int = 64) -> DataFrame:
-    """At most n rows per source, lowest row_id first.
-
-    The cut-off id per source comes from per-bucket smallest ids, so one big
-    source is ranked in many small groups before the final n * buckets rows.
-    """
-    salted = df.withColumn("_b", F.pmod(F.xxhash64("row_id"), F.lit(buckets)))
-    local = Window.partitionBy(source, "_b").orderBy("row_id")
-    final = Window.partitionBy(source).orderBy("row_id")
-    return (
-        salted.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= n)
-        .withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= n)
-        .drop("_b", "_r")
-    )
+def limit_per_source(df: DataFrame, n: int, source: str = "source_type") -> DataFrame:
+    """At most n rows per source, lowest row_id first."""
+    return skew.first_n(df, [source], ["row_id"], n)

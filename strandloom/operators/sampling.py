@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators import skew
@@ -18,16 +18,9 @@ def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def pick_per_class(df: DataFrame, n: int, label: str = "label", seed: int = 42) -> DataFrame:
-    """n rows of every class in hash order.
-
-    Spark keeps only the first n rows of each class per task before shuffling
-    (window group limit), so a huge class costs no more than a small one.
-    """
-    w = Window.partitionBy(label).orderBy("_h", "row_id")
-    return (
-        df.withColumn("_h", hash_order(seed)).withColumn("_r", F.row_number().over(w))
-        .where(F.col("_r") <= n).drop("_h", "_r")
-    )
+    """n rows of every class in hash order."""
+    hashed = df.withColumn("_h", hash_order(seed))
+    return skew.first_n(hashed, [label], ["_h", "row_id"], n).drop("_h")
 
 
 def balanced_sample(df: DataFrame, n: int, label: str = "label", seed: int = 42) -> DataFrame:

@@ -57,6 +57,26 @@ def mark_first(
     )
 
 
+def first_n(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], n: int
+) -> DataFrame:
+    """The first n rows of every group.
+
+    A group is first cut down in as many buckets as the shuffle has partitions,
+    so a hot group is never sorted by one task; the second step sees at most
+    n rows per bucket.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(width)))
+    local = Window.partitionBy(*group, "_b").orderBy(*order)
+    final = Window.partitionBy(*group).orderBy(*order)
+    return (
+        bucketed.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= n)
+        .withColumn("_r", F.row_number().over(final)).where(F.col("_r") <= n)
+        .drop("_b", "_r")
+    )
+
+
 def spread_join(
     facts: DataFrame,
     lookup: DataFrame,
