@@ -59,7 +59,8 @@ class WordBpe:
         self.final = [self.vocab.get(s + suffix) for s in symbols]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(pattern.replace(r"\s", SPACE)).findall
-        self.blanks = re.compile(f"[{SPACE}]+")
+        # every run of blanks but a single space
+        self.blanks = re.compile(f"[{SPACE.replace(' ', '', 1)}][{SPACE}]*| [{SPACE}]+")
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.memo = Recent(self._word, MEMO)
 
@@ -115,8 +116,11 @@ class WordBpe:
 
     def decode(self, ids: bytes | None) -> str:
         """Ids without a vocabulary string are left out."""
-        strings = self.strings
-        return " ".join([strings[i] for i in array("I", ids or b"") if i in strings])
+        ids, strings = array("I", ids or b""), self.strings
+        try:
+            return " ".join(map(strings.__getitem__, ids))
+        except KeyError:
+            return " ".join([strings[i] for i in ids if i in strings])
 
 
 @lru_cache(maxsize=4)
