@@ -17,6 +17,7 @@ from strandloom import fixed_values as fv
 from strandloom import schemas
 from strandloom.functions import measure, sequence, text
 from strandloom.functions.bind import bind
+from strandloom.functions.space import strip
 
 
 def _first_number(c: Column, pattern: str) -> Column:
@@ -80,7 +81,7 @@ def extract_assay(c: Column) -> Column:
 
 
 def guess_target(c: Column) -> Column:
-    phrase = F.trim(F.regexp_extract(c, "(?iU)" + fv.TARGET_PHRASE, 1))
+    phrase = strip(F.regexp_extract(c, "(?iU)" + fv.TARGET_PHRASE, 1))
     size = F.length(phrase)
     known = measure.group(c, "(?iU)" + fv.KNOWN_TARGETS, 1)
     return F.when((size > 3) & (size < 80), phrase).otherwise(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
 from strandloom.functions.bind import bind
+from strandloom.functions.space import strip
 
 
 def four_digits(value: Column) -> Column:
@@ -28,7 +29,7 @@ def four_digits(value: Column) -> Column:
 
 def _factor(unit: Column, table: dict[str, float]) -> Column:
     pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(unit)))
+    return F.try_element_at(F.create_map(*pairs), F.lower(strip(unit)))
 
 
 def to_nanomolar(value: Column, unit: Column, molar: bool = False) -> Column:
@@ -39,7 +40,7 @@ def to_nanomolar(value: Column, unit: Column, molar: bool = False) -> Column:
 
 def canonical_unit(unit: Column) -> Column:
     pairs = [F.lit(x) for item in fv.UNIT_NAME.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(unit)))
+    return F.try_element_at(F.create_map(*pairs), F.lower(strip(unit)))
 
 
 def kd_convert(value: Column, unit: Column) -> Column:
@@ -52,7 +53,7 @@ def kd_convert(value: Column, unit: Column) -> Column:
     return F.struct(
         F.when(error.isNull(), to_nanomolar(value, unit)).alias("value_nM"),
         value.alias("original_value"),
-        F.trim(unit).alias("original_unit"),
+        strip(unit).alias("original_unit"),
         F.when(error.isNull(), name).alias("canonical_unit"),
         error.alias("error"),
     )
@@ -82,7 +83,7 @@ def kd_cell_parse(c: Column, header: Column, faithful: bool = False) -> Column:
     A bare number takes the header's unit.  ``faithful=True`` keeps the
     original behaviour, where a bare number always counted as nM.
     """
-    cell = F.regexp_replace(F.trim(c), r"(?U)^[<>≤≥~≈]\s*", "")
+    cell = F.regexp_replace(strip(c), r"(?U)^[<>≤≥~≈]\s*", "")
     value = number(group(cell, "(?iU)" + fv.KD_CELL, 1))
     unit = group(cell, "(?iU)" + fv.KD_CELL, 2)
     bare = number(group(cell, "(?U)" + fv.KD_BARE, 1))

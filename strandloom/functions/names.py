@@ -8,12 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
+from strandloom.functions.space import strip
 
 
 def deep_norm(c: Column) -> Column:
     """Trim, lower case, one blank for any run of (Unicode) blanks."""
     squeezed = F.regexp_replace(F.lower(c), r"(?U)\s+", " ")
-    return F.trim(squeezed)
+    return strip(squeezed)
 
 
 def name_key(c: Column) -> Column:
@@ -32,17 +33,17 @@ def assign_tier(c: Column) -> Column:
 
 
 def is_non_protein(c: Column) -> Column:
-    listed = F.lower(F.trim(c)).isin(*fv.NON_PROTEIN_EXCEPTIONS)
+    listed = F.lower(strip(c)).isin(*fv.NON_PROTEIN_EXCEPTIONS)
     hit = c.rlike("(?iU)" + "|".join(fv.NON_PROTEIN_PATTERNS))
     return F.coalesce(F.when(listed, False).otherwise(hit), F.lit(False))
 
 
 def classify_clean(name: Column, protein_sequence: Column) -> Column:
     """Target class of the cleaning step."""
-    n = F.trim(F.lower(name))
+    n = strip(F.lower(name))
     return (
         F.when(F.length(protein_sequence) > 10, "protein")
-        .when(name.isNull() | (F.trim(name) == ""), "other")
+        .when(name.isNull() | (strip(name) == ""), "other")
         .when(contains_any(n, fv.GARBAGE_PHRASES) | (n == "unknown"), "other")
         .when(n.isin(*fv.SMALL_MOLECULES), "small_molecule")
         .when(contains_any(n, fv.SMALL_MOLECULE_PARTS), "small_molecule")
@@ -55,7 +56,7 @@ def classify_clean(name: Column, protein_sequence: Column) -> Column:
 
 def classify_rules(name: Column) -> Column:
     """Target class of the extraction step: first matching pattern wins."""
-    out = F.when(name.isNull() | (F.trim(name) == ""), "other")
+    out = F.when(name.isNull() | (strip(name) == ""), "other")
     for kind, pattern in fv.TARGET_TYPE_PATTERNS:
         out = out.when(name.rlike("(?iU)" + pattern), kind)
     return out.otherwise("protein")
@@ -82,7 +83,7 @@ def matches_targets(c: Column, names) -> Column:
     hit = contains_any(text, wanted)
     for w in wanted:
         hit = hit | F.lit(w).contains(text)
-    return F.coalesce((F.trim(text) != "") & hit, F.lit(False))
+    return F.coalesce((strip(text) != "") & hit, F.lit(False))
 
 
 def strip_noise(c: Column) -> Column:
@@ -115,7 +116,7 @@ def confidence(source: Column, target: Column, kd: Column) -> Column:
 
 
 def map_values(c: Column, table: dict[str, str], default: str | None) -> Column:
-    key = F.lower(F.trim(c))
+    key = F.lower(strip(c))
     out = F.lit(default)
     for name, value in table.items():
         out = F.when(key == name, F.lit(value)).otherwise(out)
@@ -124,8 +125,8 @@ def map_values(c: Column, table: dict[str, str], default: str | None) -> Column:
 
 def format_source_id(c: Column, source: Column) -> Column:
     """DOI as it is, patent id as it is, a number as PMID:n."""
-    s = F.trim(c)
-    bare = F.trim(F.regexp_replace(s, "https://doi\\.org/", ""))
+    s = strip(c)
+    bare = strip(F.regexp_replace(s, "https://doi\\.org/", ""))
     digits = F.translate(s, ".", "")
     as_number = s.try_cast("double")
     return (
@@ -145,4 +146,4 @@ def pmid_from_url(c: Column) -> Column:
 
 
 def pmid_prefix(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.trim(c), r"^(\d+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(strip(c), r"^(\d+)", 1), F.lit(""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
 from strandloom.functions.bind import bind
+from strandloom.functions.space import strip
 
 
 def reverse_complement(c: Column) -> Column:
@@ -22,7 +23,7 @@ def reverse_complement_iupac(c: Column) -> Column:
 
 def clean_sequence(c: Column) -> Column:
     """Upper case, nucleotides only, U as T; an empty result is NULL."""
-    letters = F.regexp_replace(F.upper(F.trim(c)), "[^ATGCU]", "")
+    letters = F.regexp_replace(F.upper(strip(c)), "[^ATGCU]", "")
     return F.nullif(F.translate(letters, "U", "T"), F.lit(""))
 
 
@@ -78,7 +79,7 @@ def kmer_tokens(c: Column) -> Column:
     with another letter is the unknown id.
     """
     digits = F.transform(
-        F.split(F.upper(F.trim(c)), ""), lambda b: F.instr(F.lit("ACGT"), b)
+        F.split(F.upper(strip(c)), ""), lambda b: F.instr(F.lit("ACGT"), b)
     )
 
     def tokens(d):
@@ -150,7 +151,7 @@ def nucleic_acid_type(c: Column) -> Column:
     return (
         F.when(c.isNull() | (c == "") | (c == "nan"), "unknown")
         .when(c.rlike("[Uu]"), "ssRNA")
-        .when(F.trim(c).rlike("^[ATGCatgc]+$"), "ssDNA")
+        .when(strip(c).rlike("^[ATGCatgc]+$"), "ssDNA")
         .otherwise("other")
     )
 
@@ -166,7 +167,7 @@ def is_augment_valid(c: Column) -> Column:
 
 
 def is_trainable_dna(c: Column) -> Column:
-    seq = F.upper(F.trim(c))
+    seq = F.upper(strip(c))
     return F.coalesce(
         seq.rlike("^[ATGC]+$") & F.length(seq).between(fv.SEQ_MIN_LEN, fv.SEQ_MAX_LEN),
         F.lit(False),
@@ -175,7 +176,7 @@ def is_trainable_dna(c: Column) -> Column:
 
 def sequence_fault(c: Column, bases: str = "ATGC") -> Column:
     """Message of the first rule a sequence breaks, '' when it breaks none."""
-    seq = F.upper(F.trim(c))
+    seq = F.upper(strip(c))
     size = F.length(seq)
     strangers = F.array_sort(
         F.array_distinct(F.split(F.regexp_replace(seq, f"[{bases}]", ""), ""))

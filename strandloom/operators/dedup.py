@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from strandloom import fixed_values as fv
 from strandloom.functions import sequence
 from strandloom.operators import skew
+from strandloom.functions.space import strip
 
 
 def record_key(seq: Column, target: Column) -> list[Column]:
-    return [F.upper(F.trim(seq)), F.lower(F.trim(target))]
+    return [F.upper(strip(seq)), F.lower(strip(target))]
 
 
 def exact_dedup(df: DataFrame, seq: str = "sequence", target: str = "target_protein") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom import fixed_values as fv
 from strandloom.functions import names, sequence
 from strandloom.operators import mapping, skew
+from strandloom.functions.space import strip
 
 
 def interaction_pairs(aptamers: DataFrame, interactions: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def interaction_pairs(aptamers: DataFrame, interactions: DataFrame) -> DataFrame
 
 def label_lookup(pairs: DataFrame, order) -> DataFrame:
     """First pair of every lower-cased, trimmed label."""
-    keyed = pairs.withColumn("label_key", F.lower(F.trim("label")))
+    keyed = pairs.withColumn("label_key", F.lower(strip("label")))
     first = skew.keep_first(keyed, [F.col("label_key")], order=order)
     return first.select("label_key", "sequence_clean", "pmid", "target_name", "kd_molar")
 
@@ -47,7 +48,7 @@ def backfill_sequences(master: DataFrame, lookup: DataFrame) -> DataFrame:
         "label_key", F.col("sequence_clean").alias("_seq"), F.col("kd_molar").alias("_kd")
     )
     keyed = master.withColumn(
-        "label_key", F.when(F.col("needs_sequence_enrichment"), F.lower(F.trim("label_key")))
+        "label_key", F.when(F.col("needs_sequence_enrichment"), F.lower(strip("label_key")))
     )
     joined = skew.attach(keyed, hits, ["label_key"])
     hit = F.col("_seq").isNotNull()
@@ -69,7 +70,7 @@ def new_rows(pairs: DataFrame, master: DataFrame, order) -> DataFrame:
     first = skew.keep_first(
         clean, [F.col("sequence_clean"), F.col("target_name")], order=order
     )
-    known = master.select(F.upper(F.trim("sequence")).alias("sequence_clean")).distinct()
+    known = master.select(F.upper(strip("sequence")).alias("sequence_clean")).distinct()
     fresh = anti_by_key(first, known, "sequence_clean")
     return fresh.select(
         *mapping.legacy_row(
@@ -92,14 +93,14 @@ def merge_scraped(df: DataFrame, master: DataFrame) -> DataFrame:
     (sequence, target) pair is made distinct.
     """
     wanted = df.where(
-        (F.trim("nucleic_acid_type") == "ssDNA") & (F.trim("target_type") == "protein")
+        (strip("nucleic_acid_type") == "ssDNA") & (strip("target_type") == "protein")
     )
     mapped = mapping.to_legacy(wanted).where(
         sequence.is_trainable_dna(F.col("sequence")) & (F.col("target_protein") != "")
     )
     first = skew.keep_first(mapped, [F.col("sequence"), F.col("target_protein")])
     known = master.select(
-        F.upper(F.trim("sequence")).alias("_s"), F.lower(F.trim("target_protein")).alias("_t")
+        F.upper(strip("sequence")).alias("_s"), F.lower(strip("target_protein")).alias("_t")
     ).distinct()
     keyed = first.withColumn("_s", F.col("sequence")).withColumn("_t", F.lower("target_protein"))
     return keyed.join(known, ["_s", "_t"], "left_anti").select(*first.columns)
@@ -193,7 +194,7 @@ def resolve_override(df: DataFrame, overrides: DataFrame, proteins: DataFrame) -
     """name -> accession -> sequence; adds ``accession`` and ``found_sequence``."""
     table = skew.keep_first(
         overrides.where(F.col("accession").isNotNull())
-        .select(names.name_key(F.col("name")).alias("_key"), F.trim("accession").alias("accession")),
+        .select(names.name_key(F.col("name")).alias("_key"), strip("accession").alias("accession")),
         [F.col("_key")], order=("accession",),
     ).join(proteins.select("accession", F.col("protein_sequence").alias("found_sequence")), "accession")
     keyed = df.withColumn("_key", names.name_key(F.col("target_name")))

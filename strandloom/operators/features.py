@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from strandloom import fixed_values as fv
 from strandloom import schemas
 from strandloom.operators import skew
+from strandloom.functions.space import strip
 
 
 def cache_missing(df: DataFrame, cache: DataFrame, seq: str = "aptamer_sequence") -> DataFrame:
     """Distinct normalised sequences that are not in the cache."""
-    keys = df.select(F.upper(F.trim(seq)).alias("sequence")).where("sequence IS NOT NULL").distinct()
+    keys = df.select(F.upper(strip(seq)).alias("sequence")).where("sequence IS NOT NULL").distinct()
     return keys.join(cache.select("sequence"), "sequence", "left_anti")
 
 
@@ -23,7 +24,7 @@ def attach_features(df: DataFrame, cache: DataFrame, seq: str = "aptamer_sequenc
     """Five structure features (zero when absent) and length/120."""
     names = ["mfe", "stem_count", "loop_count", "bp_prob_mean", "bp_prob_max"]
     table = cache.select(F.col("sequence").alias("_key"), *names)
-    joined = skew.attach(df.withColumn("_key", F.upper(F.trim(seq))), table, ["_key"])
+    joined = skew.attach(df.withColumn("_key", F.upper(strip(seq))), table, ["_key"])
     present = F.col("mfe").isNotNull()
     out = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names]
     return joined.select(
@@ -36,9 +37,9 @@ def attach_features(df: DataFrame, cache: DataFrame, seq: str = "aptamer_sequenc
 def cache_coverage(df: DataFrame, cache: DataFrame, seq: str = "aptamer_sequence") -> DataFrame:
     """Rows and rows without a cached sequence per split."""
     per = df.groupBy(
-        F.upper(F.trim(seq)).alias("sequence"), F.coalesce("split", F.lit("unassigned")).alias("split")
+        F.upper(strip(seq)).alias("sequence"), F.coalesce("split", F.lit("unassigned")).alias("split")
     ).agg(F.count(F.lit(1)).alias("n"))
-    known = cache.select("sequence", F.lit(True).alias("_hit"))
+    known = cache.select("sequence").distinct().withColumn("_hit", F.lit(True))
     return (
         per.join(known, "sequence", "left").groupBy("split")
         .agg(

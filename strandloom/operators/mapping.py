@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
 from strandloom.functions import measure, names
+from strandloom.functions.space import strip
 
 
 def blank_to_null(c: Column) -> Column:
-    text = F.trim(c.cast("string"))
+    text = strip(c.cast("string"))
     return F.when(~F.lower(text).isin("", "nan", "n/a", "na"), text)
 
 
@@ -68,10 +69,10 @@ def to_legacy(df: DataFrame) -> DataFrame:
     return df.select(
         *carried,
         *legacy_row(
-            sequence=F.upper(F.trim(F.col("aptamer_sequence"))),
-            target_protein=F.trim(F.col("target_name")),
+            sequence=F.upper(strip(F.col("aptamer_sequence"))),
+            target_protein=strip(F.col("target_name")),
             uniprot_id=F.when(
-                F.trim(F.col("target_id_source")) == "UniProt", blank_to_null(F.col("target_id"))
+                strip(F.col("target_id_source")) == "UniProt", blank_to_null(F.col("target_id"))
             ),
             Kd_nM=F.when(kd >= 0, kd),
             pH=default("ph", fv.DEFAULT_PH),

@@ -27,7 +27,16 @@ MAX_HOT = 10_000
 def keep_first(
     df: DataFrame, keys: Sequence[Column], order: Sequence[str] = ("row_id",)
 ) -> DataFrame:
-    """The first row of every key; NULL keys are equal to each other."""
+    """The first row of every key; NULL keys are equal to each other.
+
+    In the order of a unique ``row_id`` only ids are aggregated, so the rows may
+    have columns of any type and are not sorted by their keys.
+    """
+    if tuple(order) == ("row_id",):
+        firsts = df.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], "row_id").groupBy(
+            *[f"_k{i}" for i in range(len(keys))]
+        ).agg(F.min("row_id").alias("row_id"))
+        return df.join(firsts.select("row_id"), "row_id", "left_semi").select(*df.columns)
     columns = list(order) + [c for c in df.columns if c not in order]
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
     return (
@@ -125,19 +134,23 @@ def spread_join(
 
 
 def attach(
-    facts: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", **kw
+    facts: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Join ``facts`` with a one-row-per-key ``table`` of unknown hotness.
+    """Join ``facts`` with a lookup ``table`` of unknown hotness.
 
-    Work is done once per distinct key: facts are counted per key (combined on
-    the map side), only keys with a hit go on, and the hits carry their counts
-    into ``spread_join``.
+    The lookup is reduced to one row per key first, the least one, so a key that
+    was landed twice doubles no fact.  It is a plain join: a hot key is split by
+    the adaptive skew join, as the facts are on its streamed side.
     """
     on = list(on)
-    counts = facts.where(F.col(on[0]).isNotNull()).groupBy(*on).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    return spread_join(facts, counts.join(table, on), on, "_rows", how, **kw)
+    rest = [c for c in table.columns if c not in on]
+    if rest:
+        one = table.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_v")).select(*on, "_v.*")
+    else:
+        one = table.select(*on).distinct()
+    names = {"left": "left", "inner": "inner", "semi": "left_semi", "anti": "left_anti"}
+    joined = facts.join(one, on, names[how])
+    return joined.select(*facts.columns, *(rest if how in ("left", "inner") else []))
 
 
 def _ordered(df: DataFrame, order: Sequence[Column]) -> DataFrame:

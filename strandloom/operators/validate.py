@@ -9,6 +9,7 @@ from strandloom import fixed_values as fv
 from strandloom.functions import sequence
 from strandloom.functions.bind import bind, once
 from strandloom.operators import skew
+from strandloom.functions.space import strip
 
 
 def record_errors(df: DataFrame) -> Column:
@@ -19,7 +20,7 @@ def record_errors(df: DataFrame) -> Column:
     """
     names = [c for c in fv.RECORD_COLUMNS if c in df.columns]
     packed = F.named_struct(
-        *[x for n in names for x in (F.lit(n), F.trim(F.col(n).cast("string")))]
+        *[x for n in names for x in (F.lit(n), strip(F.col(n).cast("string")))]
     )
 
     def rules(row):
@@ -82,9 +83,9 @@ def validate_sequences(
 ) -> DataFrame:
     """Add ``valid`` and ``fail_reason``; later copies of a valid key fail."""
     tagged = once(df, "fail_reason", sequence.sequence_fault(F.col(seq)))
-    other = F.lower(F.trim(F.col(target))) if target else F.lit("")
+    other = F.lower(strip(F.col(target))) if target else F.lit("")
     marked = skew.mark_first(
-        tagged, [F.upper(F.trim(F.col(seq))), other], "_first", among=F.col("fail_reason") == ""
+        tagged, [F.upper(strip(F.col(seq))), other], "_first", among=F.col("fail_reason") == ""
     )
     return (
         marked.withColumn(
@@ -138,7 +139,7 @@ def export_audit(df: DataFrame) -> DataFrame:
     dna = F.col("nucleic_acid_type") == "ssDNA"
     assigned = F.col("split").isin(*fv.SPLITS)
     sums = {f"null:{c}": F.count_if(F.col(c).isNull()) for c in fv.REQUIRED}
-    sums["charset"] = F.count_if(dna & ~F.coalesce(F.upper(F.trim(seq)).rlike("^[ATGC]+$"), F.lit(False)))
+    sums["charset"] = F.count_if(dna & ~F.coalesce(F.upper(strip(seq)).rlike("^[ATGC]+$"), F.lit(False)))
     sums["too_short"] = F.count_if(dna & (F.length(seq) < fv.SEQ_MIN_LEN))
     sums["too_long"] = F.count_if(dna & (F.length(seq) > fv.SEQ_MAX_LEN))
     for name, allowed in fv.CLEANED_VOCABULARY.items():
@@ -159,7 +160,7 @@ def export_audit(df: DataFrame) -> DataFrame:
 def downgrade_bad_sequences(df: DataFrame) -> DataFrame:
     """ssDNA rows with foreign letters become uncertain."""
     bad = (F.col("nucleic_acid_type") == "ssDNA") & ~F.coalesce(
-        F.upper(F.trim(F.col("aptamer_sequence"))).rlike("^[ATGC]+$"), F.lit(False)
+        F.upper(strip(F.col("aptamer_sequence"))).rlike("^[ATGC]+$"), F.lit(False)
     )
     return df.withColumn(
         "confidence_score", F.when(bad, "uncertain").otherwise(F.col("confidence_score"))

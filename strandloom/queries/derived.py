@@ -157,10 +157,17 @@ SHARED = {
     "sentences": _SENTENCES,
     # an older assignment: lower-case sequences, some rows augmented
     "old_splits": """
-  SELECT LOWER(aptamer_sequence) AS sequence, UPPER(target_name) AS target_protein,
+  SELECT CASE WHEN row_id % 3 < 2 THEN LOWER(aptamer_sequence) ELSE LOWER(aptamer_sequence) || 'ac' END AS sequence,
+    UPPER(target_name) AS target_protein,
     CASE WHEN row_id % 4 = 0 THEN 'val' WHEN row_id % 4 = 1 THEN 'test' ELSE 'train' END AS split,
     CASE WHEN row_id % 8 = 2 THEN TRUE ELSE FALSE END AS augmented
-  FROM records WHERE row_id % 3 < 2""",
+  FROM records""",
+    # known rows: the keys of two in three rows are changed, so they are new
+    "master": """
+  SELECT l.row_id, CASE WHEN row_id % 3 = 0 THEN sequence ELSE sequence || 'AC' END AS sequence, target_protein, uniprot_id,
+    protein_sequence, Kd_nM, pH, salt_mM, temp_C, buffer_type, mg_mM, label, source_pmid, training_tier, augmented,
+    aug_method, needs_sequence_enrichment, source
+  FROM legacy l""",
     "assayed": """
   SELECT id AS row_id, CASE WHEN id % 5 = 0 THEN 'RNA' ELSE 'ssDNA' END AS nucleic,
     CASE WHEN id % 17 = 0 THEN ' - ' ELSE CONCAT(' ', LOWER(SUBSTR(s,1,6)), ' ', SUBSTR(s,7), '-u ') END AS seq,
@@ -185,7 +192,7 @@ SHARED = {
   SELECT l_orderkey AS inter, CASE WHEN l_linenumber = 1 THEN CONCAT('apt', CAST(l_partkey AS STRING)) ELSE CONCAT('tgt', CAST(l_suppkey AS STRING)) END AS participant,
     CONCAT('target ', CAST(l_suppkey % 40 AS STRING)) AS participant_label,
     CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(l_quantity AS DOUBLE) / 1000000000 END AS kd_molar
-  FROM @lineitem@ WHERE l_linenumber <= 3""",
+  FROM @lineitem@""",
     "aptamer_table": """
   SELECT CONCAT('apt', CAST(id AS STRING)) AS id, CONCAT(CAST(1000 + id % 300 AS STRING), '-', nm, '-1') AS label,
     CASE WHEN id % 15 = 0 THEN NULL ELSE LOWER(s) END AS sequence,
@@ -194,16 +201,17 @@ SHARED = {
     "feature_cache": """
   SELECT sequence, MIN(CAST(-(id % 40) AS DOUBLE) / 4) AS mfe, CAST(MIN(id % 5) AS INT) AS stem_count, CAST(MIN(id % 4) AS INT) AS loop_count,
     MIN(CAST(id % 10 AS DOUBLE) / 16) AS bp_prob_mean, MIN(CAST(id % 9 AS DOUBLE) / 8) AS bp_prob_max
-  FROM (SELECT s AS sequence, id FROM base_orders WHERE id % 10 < 7) t2 GROUP BY sequence""",
+  FROM (SELECT CASE WHEN src % 10 < 7 THEN s ELSE s || 'AC' END AS sequence, id FROM base_orders) t2 GROUP BY sequence""",
     "overrides": f"""
-  SELECT DISTINCT CONCAT(' ', UPPER(nm)) AS name, CONCAT('ACC', CAST(LENGTH(nm) % 7 AS STRING)) AS accession
-  FROM base_part WHERE nm LIKE '%in%'""",
+  SELECT DISTINCT CASE WHEN nm LIKE '%in%' THEN CONCAT(' ', UPPER(nm)) ELSE CONCAT('~', nm) END AS name,
+    CONCAT('ACC', CAST(LENGTH(nm) % 7 AS STRING)) AS accession
+  FROM base_part""",
     "proteins": """
   SELECT DISTINCT CONCAT('ACC', CAST(p_partkey % 1000 AS STRING)) AS accession,
     CONCAT('MKT', UPPER(MD5(CAST(p_partkey % 1000 AS STRING)))) AS protein_sequence
   FROM @part@""",
     "compound_ids": """
-  SELECT DISTINCT nm AS name, CAST(LENGTH(nm) * 17 AS STRING) AS cid FROM base_part WHERE nm <> 'ATP'""",
+  SELECT DISTINCT CASE WHEN nm = 'ATP' THEN 'ATP?' ELSE nm END AS name, CAST(LENGTH(nm) * 17 AS STRING) AS cid FROM base_part""",
     # one article per customer: a table of its orders, sequences repeat between documents
     "table_cells": """
   SELECT o_custkey AS doc_id, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS table_no, id AS row_no, s AS seq,

@@ -77,7 +77,7 @@ def write_provenance(spark, sf):
 )
 def append_unique_sink(spark, sf):
     folder = scratch(spark)
-    derived(spark, sf, "legacy").where("row_id % 3 = 0").write.parquet(f"{folder}/master")
+    derived(spark, sf, "master").write.parquet(f"{folder}/master")
     batch = derived(spark, sf, "text_records")
     for _ in range(2):  # the second run must add nothing
         sinks.append_unique(batch, f"{folder}/master", f"{folder}/out")
@@ -86,11 +86,11 @@ def append_unique_sink(spark, sf):
     )
 
 
-@query("write_splits", "SELECT row_id, split FROM records WHERE split IN ('val','test')")
+@query("write_splits", "SELECT row_id, split FROM records")
 def write_splits(spark, sf):
     path = scratch(spark)
     sinks.write_splits(derived(spark, sf, "records").select("row_id", "split"), path)
-    return spark.read.parquet(path).where(F.col("split").isin("val", "test")).select("row_id", "split")
+    return spark.read.parquet(path).select("row_id", "split")
 
 
 @query("phase_checkpoint", "SELECT row_id, target_name FROM records")
@@ -175,8 +175,7 @@ CHECKS["links"] = f"""
     "supplement_router",
     """SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, concat(regexp_extract(url, '^(https?://[^/]*)', 1), href) AS url,
          lower(regexp_extract(regexp_replace(href, '[?#].*$', ''), '(\\.[^./]*)$', 1)) AS ext
-       FROM links WHERE ok AND bytes <= 20971520 AND lower(regexp_extract(regexp_replace(href, '[?#].*$', ''), '(\\.[^./]*)$', 1)) IN ('.csv','.pdf','.txt','.xlsx')
-       QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) <= 8""",
+       FROM links WHERE ok AND lower(regexp_extract(regexp_replace(href, '[?#].*$', ''), '(\\.[^./]*)$', 1)) IN ('.csv','.pdf','.txt','.xlsx')""",
 )
 def supplement_router(spark, sf):
     hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
@@ -269,7 +268,8 @@ def normalise_inverted_index(spark, sf):
 @query(
     "normalise_citation_xml",
     """SELECT CAST(p_partkey AS VARCHAR) AS pmid, concat('On ', p_name) AS title, concat(p_brand, ' ', p_type) AS abstract,
-         CASE WHEN p_partkey % 2 = 0 THEN '2010' ELSE '1999' END AS year FROM part""",
+         CASE WHEN p_partkey % 2 = 0 THEN '2010' ELSE '1999' END AS year, FALSE AS broken FROM part
+       UNION ALL SELECT NULL, NULL, NULL, NULL, TRUE FROM part WHERE p_partkey % 10 = 3""",
 )
 def normalise_citation_xml(spark, sf):
     date = F.when(F.col("p_partkey") % 2 == 0, "<Year>2010</Year>").otherwise("<MedlineDate>1999 Jan-Feb</MedlineDate>")
@@ -281,7 +281,12 @@ def normalise_citation_xml(spark, sf):
         "p_type", F.lit("</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>"),
     )
     df = table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), value.alias("value"))
-    return landed.from_citations(_twice(df, "ord"))
+    broken = table(spark, sf, "part").where("p_partkey % 10 = 3").select(
+        (-F.col("p_partkey")).alias("ord"), F.lit("<PubmedArticle><MedlineCitation>").alias("value")
+    )
+    return landed.from_citations(_twice(df, "ord").unionByName(broken)).select(
+        "pmid", "title", "abstract", "year", F.col("error").isNotNull().alias("broken")
+    )
 
 
 @query(
@@ -348,9 +353,10 @@ def normalise_patent_json(spark, sf):
 
 @query(
     "normalise_scholar_patent_hits",
-    f"""SELECT 'scholarly' AS kind, concat('L', p_partkey) AS source_id, concat({_TITLE.format('p_partkey')}, chr(10), p_name) AS text,
+    f"""SELECT 'scholarly' AS kind, CASE WHEN p_partkey % 4 = 1 AND p_partkey % 3 <> 0 THEN md5(concat({_TITLE.format('p_partkey')}, chr(10), p_name)) ELSE concat('L', p_partkey) END AS source_id, concat({_TITLE.format('p_partkey')}, chr(10), p_name) AS text,
          CASE WHEN p_partkey % 2 = 0 THEN concat('10.4/', p_partkey) ELSE '' END AS doi,
          CASE WHEN p_partkey % 2 = 0 THEN concat('https://doi.org/10.4/', p_partkey) ELSE 'https://lens.org/search' END AS url FROM part
+         QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY p_partkey) = 1
        UNION ALL SELECT 'patent', concat('L', p_partkey), concat('On ', p_type, chr(10), p_name, chr(10), '1. A ', p_brand, ' 2. B'), concat('L', p_partkey), concat('https://lens.org/lens/patent/EP_', p_partkey) FROM part
        UNION ALL SELECT 'pct', concat('L', p_partkey), concat('On ', p_type, chr(10), p_name, chr(10), '1. A ', p_brand, ' 2. B'), concat('L', p_partkey), concat('https://lens.org/lens/patent/WO_', p_partkey) FROM part""",
 )
@@ -373,8 +379,12 @@ def normalise_scholar_patent_hits(spark, sf):
         .alias("biblio"),
         claims.alias("claims"),
     )
+    # some papers have no id; their titles are all alike
+    nameless = (F.col("ord") % 4 == 1) & (F.col("ord") % 3 != 0)
+    papers = df.withColumn("value", F.when(
+        nameless, F.regexp_replace("value", '"lens_id":"L[0-9]+",', "")).otherwise(F.col("value")))
     parts = [
-        landed.from_hits(_twice(df, "ord"), k).select(F.lit(k).alias("kind"), "source_id", "text", "doi", "url")
+        landed.from_hits(_twice(papers if k == "scholarly" else df, "ord"), k).select(F.lit(k).alias("kind"), "source_id", "text", "doi", "url")
         for k in ("scholarly", "patent", "pct")
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -428,10 +438,12 @@ def normalise_patent_snippets(spark, sf):
         spark, sf,
         F.struct(F.array(F.struct(F.array(hit, hit).alias("result"))).alias("cluster")).alias("results"),
     )
-    pages = table(spark, sf, "part").where("p_partkey % 2 = 0").select(
-        F.concat(F.lit("US"), "p_partkey").alias("patent_id"), F.concat(F.lit("Full "), "p_type").alias("page_text")
+    # every page lands twice; those of odd keys belong to other patents
+    office = F.when(F.col("p_partkey") % 2 == 0, "US").otherwise("EP")
+    pages = table(spark, sf, "part").select(
+        F.concat(office, "p_partkey").alias("patent_id"), F.concat(F.lit("Full "), "p_type").alias("page_text")
     )
-    return landed.from_snippets(df, pages).select("source_id", "text", "url")
+    return landed.from_snippets(df, pages.unionByName(pages)).select("source_id", "text", "url")
 
 
 # --- extraction -------------------------------------------------------------

@@ -380,11 +380,11 @@ def rc_pair_dedup(spark, sf):
 
 
 CHECKS["known_keys"] = """
-  SELECT DISTINCT upper(trim(sequence)) AS s, lower(trim(target_protein)) AS t FROM legacy WHERE row_id % 3 = 0"""
+  SELECT DISTINCT upper(trim(sequence)) AS s, lower(trim(target_protein)) AS t FROM master"""
 
 
 def _master(spark, sf):
-    return derived(spark, sf, "legacy").where("row_id % 3 = 0")
+    return derived(spark, sf, "master")
 
 
 CHECKS["batch_fate"] = """
@@ -526,11 +526,13 @@ def backfill_sequences(spark, sf):
     "new_rows_anti",
     f"""SELECT sequence_clean AS sequence, target_name AS target_protein, round(kd_molar * 1e9, 6) AS Kd_nM, pmid AS source_pmid FROM pairs
         WHERE has_modification_details IS NULL AND {_OK_DNA.format('sequence_clean')}
-          AND sequence_clean NOT IN (SELECT upper(trim(sequence)) FROM legacy WHERE row_id % 20 < 4 AND sequence IS NOT NULL)
+          AND sequence_clean NOT IN (SELECT upper(trim(CASE WHEN row_id % 20 < 4 THEN sequence ELSE sequence || 'AC' END)) FROM legacy WHERE sequence IS NOT NULL)
         QUALIFY row_number() OVER (PARTITION BY sequence_clean, target_name ORDER BY inter, aptamer_uri, target_name, kd_molar NULLS FIRST) = 1""",
 )
 def new_rows_anti(spark, sf):
-    master = derived(spark, sf, "legacy").where("row_id % 20 < 4")
+    master = derived(spark, sf, "legacy").withColumn(
+        "sequence", F.when(F.col("row_id") % 20 < 4, F.col("sequence")).otherwise(F.concat("sequence", F.lit("AC")))
+    )
     return enrich.new_rows(_pairs(spark, sf), master, _PAIR_ORDER).select(
         "sequence", "target_protein", F.round("Kd_nM", 6).alias("Kd_nM"), "source_pmid"
     )
@@ -541,9 +543,9 @@ def new_rows_anti(spark, sf):
 
 @query(
     "curated_merge",
-    """SELECT row_id, upper(sequence) AS seq, target_protein AS target_name, label, CAST(training_tier AS INTEGER) AS training_tier FROM legacy WHERE row_id % 3 = 0
+    """SELECT row_id, upper(sequence) AS seq, target_protein AS target_name, label, CAST(training_tier AS INTEGER) AS training_tier FROM master
        UNION ALL SELECT row_id, aptamer_sequence, target_name, 1, 2 FROM text_records t WHERE NOT EXISTS
-         (SELECT 1 FROM legacy l WHERE l.row_id % 3 = 0 AND upper(l.sequence) = upper(t.aptamer_sequence) AND lower(l.target_protein) = lower(t.target_name))""",
+         (SELECT 1 FROM master l WHERE upper(l.sequence) = upper(t.aptamer_sequence) AND lower(l.target_protein) = lower(t.target_name))""",
 )
 def curated_merge(spark, sf):
     base = mapping.to_cleaned(_master(spark, sf))
@@ -577,13 +579,13 @@ def assign_existing_splits(spark, sf):
 
 @query(
     "merge_extra_data",
-    """SELECT row_id, aptamer_sequence, target_name, label, training_tier, split FROM records WHERE row_id % 4 = 0
+    """SELECT row_id, aptamer_sequence, target_name, label, training_tier, split FROM records
        UNION ALL SELECT row_id, aptamer_sequence, target_name, 1, 2, split FROM text_records WHERE regexp_full_match(aptamer_sequence, '[ATGC]+')
          AND (contains(lower(target_name), 'insulin') OR contains(lower(target_name), 'albumin') OR contains('albumin', lower(target_name)) OR contains('insulin', lower(target_name)))""",
 )
 def merge_extra_data(spark, sf):
     columns = ["row_id", "aptamer_sequence", "target_name", "label", "training_tier", "split"]
-    base = derived(spark, sf, "records").where("row_id % 4 = 0").select(*columns)
+    base = derived(spark, sf, "records").select(*columns)
     return enrich.merge_extra(
         base, derived(spark, sf, "text_records"), ["insulin", "albumin"]
     ).select(*columns)
@@ -658,25 +660,26 @@ def resolve_compound_ids(spark, sf):
 
 
 CHECKS["found_proteins"] = """
-  SELECT DISTINCT target_name, concat('Q', substr(md5(target_name), 1, 5)) AS accession, concat('MKF', upper(md5(target_name))) AS seq FROM records WHERE length(target_name) % 2 = 0"""
+  SELECT DISTINCT CASE WHEN length(target_name) % 2 = 0 THEN target_name ELSE concat(target_name, '?') END AS target_name,
+    concat('Q', substr(md5(target_name), 1, 5)) AS accession, concat('MKF', upper(md5(target_name))) AS seq FROM records"""
 
 
 @query(
     "enrich_fill",
-    """WITH top AS (SELECT target_name FROM (SELECT target_name, count(*) AS n FROM records WHERE protein_sequence IS NULL AND target_type = 'protein' GROUP BY 1) x ORDER BY n DESC, target_name LIMIT 12)
-       SELECT row_id, CASE WHEN h THEN accession ELSE target_id END AS target_id, CASE WHEN h THEN 'UniProt' ELSE target_id_source END AS target_id_source,
+    """SELECT row_id, CASE WHEN h THEN accession ELSE target_id END AS target_id, CASE WHEN h THEN 'UniProt' ELSE target_id_source END AS target_id_source,
          CASE WHEN h THEN seq ELSE protein_sequence END AS protein_sequence
        FROM (SELECT r.*, f.accession, f.seq, f.seq IS NOT NULL AND r.protein_sequence IS NULL AS h FROM records r LEFT JOIN
-         (SELECT * FROM found_proteins WHERE target_name IN (SELECT target_name FROM top)) f ON f.target_name = r.target_name) y""",
+         (SELECT * FROM found_proteins WHERE target_name IN (SELECT target_name FROM records WHERE protein_sequence IS NULL AND target_type = 'protein')) f ON f.target_name = r.target_name) y""",
 )
 def enrich_fill(spark, sf):
     df = derived(spark, sf, "records")
     digest = F.md5(F.col("target_name").cast("binary"))
-    found = df.where(F.length("target_name") % 2 == 0).select(
-        "target_name", F.concat(F.lit("Q"), F.substring(digest, 1, 5)).alias("accession"),
+    known = F.when(F.length("target_name") % 2 == 0, F.col("target_name")).otherwise(F.concat("target_name", F.lit("?")))
+    found = df.select(
+        known.alias("target_name"), F.concat(F.lit("Q"), F.substring(digest, 1, 5)).alias("accession"),
         F.concat(F.lit("MKF"), F.upper(digest)).alias("protein_sequence"),
     ).distinct()
-    return enrich.enrich_fill(df, found, top=12).select(
+    return enrich.enrich_fill(df, found).select(
         "row_id", "target_id", "target_id_source", "protein_sequence"
     )
 

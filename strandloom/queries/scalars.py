@@ -75,11 +75,10 @@ def homopolymer_flag(spark, sf):
 @query(
     "kmer_set",
     """SELECT row_id, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT substr(sequence, i, 6) AS k
-         FROM (SELECT unnest(range(1, greatest(length(sequence) - 4, 1)))) r(i))) AS kmers FROM legacy
-       WHERE sequence IS NOT NULL""",
+         FROM (SELECT unnest(range(1, greatest(length(sequence) - 4, 1)))) r(i))) AS kmers FROM legacy""",
 )
 def kmer_set(spark, sf):
-    df = derived(spark, sf, "legacy").where("sequence IS NOT NULL")
+    df = derived(spark, sf, "legacy")
     joined = F.array_join(F.array_sort(sequence.kmer_set(F.col("sequence"), 6)), ",")
     return df.select("row_id", F.nullif(joined, F.lit("")).alias("kmers"))
 
@@ -94,10 +93,10 @@ _TOKEN = """list_transform(range(1, greatest(length(s) - 1, 1)), lambda i: CASE
 @query(
     "kmer_tokens",
     f"""SELECT row_id, array_to_string({_TOKEN}, ',') AS tokens
-        FROM (SELECT row_id, upper(trim(sequence)) AS s FROM legacy WHERE sequence IS NOT NULL) x""",
+        FROM (SELECT row_id, upper(trim(coalesce(sequence, ''))) AS s FROM legacy) x""",
 )
 def kmer_tokens(spark, sf):
-    df = derived(spark, sf, "legacy").where("sequence IS NOT NULL")
+    df = derived(spark, sf, "legacy")
     return df.select(
         "row_id", F.array_join(sequence.kmer_tokens(F.col("sequence")), ",").alias("tokens")
     )
@@ -106,10 +105,10 @@ def kmer_tokens(spark, sf):
 @query(
     "kmer_tokens_padded",
     f"""SELECT row_id, array_to_string(list_resize({_TOKEN}[1:120], 120, 0), ',') AS tokens
-        FROM (SELECT row_id, upper(trim(sequence)) AS s FROM legacy WHERE sequence IS NOT NULL) x""",
+        FROM (SELECT row_id, upper(trim(coalesce(sequence, ''))) AS s FROM legacy) x""",
 )
 def kmer_tokens_padded(spark, sf):
-    df = derived(spark, sf, "legacy").where("sequence IS NOT NULL")
+    df = derived(spark, sf, "legacy")
     return df.select(
         "row_id", F.array_join(sequence.kmer_tokens_padded(F.col("sequence")), ",").alias("tokens")
     )
@@ -219,12 +218,12 @@ def token_overlap(spark, sf):
 
 @query(
     "deep_norm",
-    """SELECT row_id, trim(regexp_replace(lower(concat(' ', target_protein, chr(9), '  x', chr(160), 'y ')), '[\\s\\x{a0}]+', ' ', 'g')) AS norm
-       FROM legacy WHERE target_protein IS NOT NULL""",
+    """SELECT row_id, CASE WHEN target_protein IS NOT NULL THEN trim(regexp_replace(lower(concat(' ', target_protein, chr(9), '  x', chr(160), 'y ')), '[\\s\\x{a0}]+', ' ', 'g')) END AS norm
+       FROM legacy""",
 )
 def deep_norm(spark, sf):
     raw = F.concat(F.lit(" "), "target_protein", F.lit("\t  x y "))
-    return derived(spark, sf, "legacy").where("target_protein IS NOT NULL").select(
+    return derived(spark, sf, "legacy").select(
         "row_id", names.deep_norm(raw).alias("norm")
     )
 
@@ -278,10 +277,10 @@ def text_context(spark, sf):
 
 @query(
     "md5_key",
-    "SELECT row_id, md5(concat('1024:', protein_sequence)) AS key FROM records WHERE protein_sequence IS NOT NULL",
+    "SELECT row_id, md5('1024:' || protein_sequence) AS key FROM records",
 )
 def md5_key(spark, sf):
-    return derived(spark, sf, "records").where("protein_sequence IS NOT NULL").select(
+    return derived(spark, sf, "records").select(
         "row_id", sequence.md5_key(F.col("protein_sequence")).alias("key")
     )
 

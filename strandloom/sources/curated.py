@@ -11,11 +11,12 @@ from strandloom import fixed_values as fv
 from strandloom.functions import measure, names, sequence
 from strandloom.operators.mapping import legacy_row
 from strandloom.operators.validate import keep_valid
+from strandloom.functions.space import strip
 
 
 def from_assayed(df: DataFrame) -> DataFrame:
     """Assayed binders: ssDNA rows only, cleaned sequence, label 1."""
-    target = F.trim("Target")
+    target = strip("Target")
     carried = ["row_id"] if "row_id" in df.columns else []
     return df.where(F.col("Type of Nucleic Acid") == "ssDNA").select(
         *carried,
@@ -34,14 +35,14 @@ def from_assayed(df: DataFrame) -> DataFrame:
 
 def from_benchmark(df: DataFrame) -> DataFrame:
     """Positive/negative pairs without sequences, flagged for enrichment."""
-    target = F.trim(F.translate("target_id", "_", " "))
+    target = strip(F.translate("target_id", "_", " "))
     carried = ["row_id"] if "row_id" in df.columns else []
     return df.select(
         *carried,
         *legacy_row(
             sequence=F.lit(None).cast("string"),
             target_protein=target,
-            label=F.when(F.lower(F.trim("class")) == "positive", 1).otherwise(0),
+            label=F.when(F.lower(strip("class")) == "positive", 1).otherwise(0),
             source_pmid=measure.group(F.col("aptamer_id"), r"^(\d+)-", 1),
             training_tier=names.assign_tier(target),
             needs_sequence_enrichment=F.lit(True),
@@ -72,12 +73,12 @@ def master_summary(df: DataFrame) -> DataFrame:
 
 
 def _first_alias(df: DataFrame, aliases) -> Column:
-    found = [F.nullif(F.trim(F.col(f"`{a}`")), F.lit("")) for a in aliases if a in df.columns]
+    found = [F.nullif(strip(F.col(f"`{a}`")), F.lit("")) for a in aliases if a in df.columns]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
 def _positive(c: Column) -> Column:
-    x = F.trim(c).try_cast("double")
+    x = strip(c).try_cast("double")
     return F.when(x > 0, x)
 
 
@@ -90,7 +91,7 @@ def load_curated(df: DataFrame, source: str) -> DataFrame:
     if source == "utexas":
         df = df.withColumnsRenamed({k: v for k, v in fv.CURATED_RENAMES.items() if k in df.columns})
     raw = F.upper(F.translate(_first_alias(df, fv.SEQUENCE_ALIASES), " -" if spec["strip_dash"] else " ", ""))
-    target = F.trim(_first_alias(df, fv.TARGET_ALIASES))
+    target = strip(_first_alias(df, fv.TARGET_ALIASES))
     kd = _positive(F.col("kd_value") if source == "utexas" and "kd_value" in df.columns
                    else _first_alias(df, fv.KD_ALIASES))
     null = F.lit(None).cast("string")
@@ -108,7 +109,7 @@ def load_curated(df: DataFrame, source: str) -> DataFrame:
         "target_name": target, "target_type": names.classify_rules(target), "target_id": null,
         "target_id_source": null, "kd_value": kd, "kd_unit": F.when(kd.isNotNull(), "nM"),
         "assay_type": null,
-        "selection_buffer": F.nullif(F.trim("selection_buffer"), F.lit(""))
+        "selection_buffer": F.nullif(strip("selection_buffer"), F.lit(""))
         if source == "utexas" and "selection_buffer" in df.columns else null,
         "binding_buffer": null, "ph": condition("ph"),
         "na_concentration_mM": condition("na_concentration_mM"),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from strandloom import fixed_values as fv
 from strandloom import schemas
 from strandloom.functions import text
+from strandloom.functions.space import strip
 
 # --- web pages --------------------------------------------------------------
 
@@ -242,7 +243,7 @@ def parse_delimited(df: DataFrame, body: str = "body", sep: str = ",", name: str
     """Add header, rows, sheet_text and seq_columns of a delimited file.
 
     Rows and columns without any value are dropped.  A column holds sequences
-    when its header says so or two of its first five values look like one.
+    when its header says so or two in five of all its values, and at least two, look like one.
     """
     x = df.withColumn("_c", _cells(F.col(body), F.lit(sep)))
     header = F.get("_c", F.lit(0))
@@ -260,8 +261,8 @@ def parse_delimited(df: DataFrame, body: str = "body", sep: str = ",", name: str
 
     def holds(h, j):
         values = F.filter(F.transform("rows", lambda r: F.get(r, j)), _filled)
-        hits = F.filter(F.slice(values, 1, 5), lambda v: F.trim(v).rlike("(?i)" + fv.SEQ_COLUMN_CELL))
-        return h.rlike("(?i)" + fv.SEQ_COLUMN_HEADER) | (F.size(hits) >= 2)
+        hits = F.size(F.filter(values, lambda v: strip(v).rlike("(?i)" + fv.SEQ_COLUMN_CELL)))
+        return h.rlike("(?i)" + fv.SEQ_COLUMN_HEADER) | ((hits >= 2) & (5 * hits >= 2 * F.size(values)))
 
     marked = F.transform("header", lambda h, j: F.struct(h.alias("h"), holds(h, j).alias("ok")))
     lines = F.concat(F.array(F.array_join("header", "\t")), F.transform("rows", lambda r: F.array_join(r, "\t")))
@@ -275,21 +276,39 @@ def parse_delimited(df: DataFrame, body: str = "body", sep: str = ",", name: str
 # --- supplements ------------------------------------------------------------
 
 
+def _fold(path: Column) -> Column:
+    """A path without its "." and ".." segments, however many there are."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    none = F.array().cast("array<string>")
+    folded = F.aggregate(
+        parts, none,
+        lambda done, p: F.when(p == ".", done)
+        .when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(p))),
+    )
+    ended = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(ended, "/")), "^//", "/")
+
+
 def resolve_url(href: Column, base: Column) -> Column:
-    """Absolute address of a link relative to a base address."""
+    """Absolute address of a link relative to a base address (RFC 3986)."""
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^(.*/)[^/]*$", 1)
-    folder = F.when(F.length(folder) <= F.length(origin), F.concat(origin, F.lit("/"))).otherwise(folder)
-    joined = (
-        F.when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .otherwise(F.concat(folder, href))
+    own = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    path = F.regexp_extract(href, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(F.concat(F.regexp_extract(own, r"^(.*)/[^/]*$", 1), F.lit("/")), "(?<=/)/+", "")
+    joined = F.concat(folder, F.regexp_replace(path, "/+(?=.*/)", "/"))
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href == "", F.regexp_replace(base, "#.*$", ""))
+        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(path == "", F.concat(origin, own, F.when(rest.startswith("?"), rest).otherwise(F.concat(query, rest))))
+        .when(href.startswith("/"), F.concat(origin, _fold(path), rest))
+        .otherwise(F.concat(origin, _fold(joined), rest))
     )
-    tidy = F.regexp_replace(joined, r"(?<!:/)/(?:\./)+", "/")
-    for _ in range(4):
-        tidy = F.regexp_replace(tidy, r"(?<![:/])/(?!\.\./)[^/]+/\.\./", "/")
-    return F.when(href.rlike("^https?://"), href).otherwise(tidy)
 
 
 def file_extension(url: Column) -> Column:
@@ -297,22 +316,47 @@ def file_extension(url: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^./][^/]*(\.[^./]*)$", 1))
 
 
+def _links(df: DataFrame, hrefs: str, base: str, keep: int | None, max_bytes: int | None) -> DataFrame:
+    """Every link with pos (among the usable ones), url, ext and the reason why it is refused, if it is."""
+    known = file_extension(F.col("_h.href")).isin(*fv.SUPPLEMENT_KEEP)
+    reason = F.when(~known, "extension").when(~F.coalesce(F.col("_h.ok"), F.lit(True)), "unreadable")
+    if max_bytes is not None:
+        reason = reason.when(F.coalesce(F.col("_h.bytes"), F.lit(0)) > max_bytes, "size")
+    rest = [c for c in df.columns if c != hrefs]
+    links = df.select(*rest, F.col(hrefs).alias("_all"), F.posexplode(hrefs).alias("_i", "_h")).withColumn(
+        "reason", reason
+    )
+    # usable links before this one, counted inside the row: no shuffle
+    small = F.lit(True) if max_bytes is None else None
+
+    def usable(h):
+        fits = small if small is not None else F.coalesce(h["bytes"], F.lit(0)) <= max_bytes
+        return file_extension(h["href"]).isin(*fv.SUPPLEMENT_KEEP) & F.coalesce(h["ok"], F.lit(True)) & fits
+
+    pos = F.size(F.filter("_all", lambda h, i: (i < F.col("_i")) & usable(h)))
+    links = links.withColumn("pos", F.when(F.col("reason").isNull(), pos))
+    if keep is not None:
+        links = links.withColumn("reason", F.when(F.col("pos") >= keep, "limit").otherwise(F.col("reason")))
+    return links.select(
+        *rest, "pos", resolve_url(F.col("_h.href"), F.col(base)).alias("url"),
+        file_extension(F.col("_h.href")).alias("ext"), "reason",
+    )
+
+
 def select_supplements(
-    df: DataFrame, hrefs: str = "hrefs", base: str = "base_url", keep: int = fv.SUPPLEMENT_MAX_FILES
+    df: DataFrame, hrefs: str = "hrefs", base: str = "base_url", keep: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
     """Wanted supplement links of a document, in order, as pos, url, ext.
 
-    ``hrefs`` is array<struct<href, bytes, ok>>; files that were too large or
+    ``hrefs`` is array<struct<href, bytes, ok>>.  All links count unless ``keep`` or
+    ``max_bytes`` is given; files that are too large or
     did not parse do not count towards the limit per document.
     """
-    wanted = F.filter(
-        F.col(hrefs),
-        lambda h: file_extension(h["href"]).isin(*fv.SUPPLEMENT_KEEP)
-        & (F.coalesce(h["bytes"], F.lit(0)) <= fv.SUPPLEMENT_MAX_BYTES)
-        & F.coalesce(h["ok"], F.lit(True)),
-    )
-    rest = [c for c in df.columns if c not in (hrefs,)]
-    return df.select(*rest, F.posexplode(F.slice(wanted, 1, keep)).alias("pos", "_h")).select(
-        *rest, "pos", resolve_url(F.col("_h.href"), F.col(base)).alias("url"),
-        file_extension(F.col("_h.href")).alias("ext"),
-    )
+    return _links(df, hrefs, base, keep, max_bytes).where("reason IS NULL").drop("reason")
+
+
+def refused_supplements(
+    df: DataFrame, hrefs: str = "hrefs", base: str = "base_url", keep: int | None = None, max_bytes: int | None = None
+) -> DataFrame:
+    """The other links, with the reason: extension, unreadable, size or limit."""
+    return _links(df, hrefs, base, keep, max_bytes).where("reason IS NOT NULL").drop("pos")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from strandloom import fixed_values as fv
 from strandloom.functions.bind import bind
 from strandloom.functions.text import keyword_gate
+from strandloom.functions.space import strip
 from strandloom.operators.skew import keep_first
 
 OUTPUT = ("ord", "source_id", "text", "doi", "url", "source_type")
@@ -26,10 +27,6 @@ def _text(*parts: Column) -> Column:
     return F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts])
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def _finish(df: DataFrame, first: bool = True) -> DataFrame:
     out = df.select(*OUTPUT)
     return keep_first(out, [F.col("source_id")], order=("ord",)) if first else out
@@ -90,7 +87,7 @@ def from_paper_search(df: DataFrame) -> DataFrame:
         .alias("url"),
         F.lit("paper").alias("source_type"),
     )
-    return _finish(x).where(_strip(F.col("text")) != "")
+    return _finish(x).where(strip(F.col("text")) != "")
 
 
 def from_preprint(df: DataFrame) -> DataFrame:
@@ -122,7 +119,7 @@ def from_patentsview(df: DataFrame) -> DataFrame:
         F.concat(F.lit("https://patents.google.com/patent/US"), pid).alias("url"),
         F.lit("patent").alias("source_type"),
     )
-    return _finish(x).where(_strip(F.col("text")) != "")
+    return _finish(x).where(strip(F.col("text")) != "")
 
 
 _HIT = (
@@ -134,14 +131,18 @@ _HIT = (
 
 
 def from_hits(df: DataFrame, kind: str = "scholarly") -> DataFrame:
-    """Scholarly papers, patents or international ('pct') patents."""
+    """Scholarly papers, patents or international ('pct') patents.
+
+    A digest of the whole title and abstract stands in for a missing id, so
+    papers with a common title start stay apart.
+    """
     x = df.withColumn("h", F.from_json("value", _HIT))
     lens = F.nullif("h.lens_id", F.lit(""))
     if kind == "scholarly":
         dois = F.filter("h.external_ids", lambda e: e["type"] == "doi")
         doi = F.coalesce(F.get(dois, F.lit(0))["value"], F.lit(""))
         x = x.select(
-            "ord", F.coalesce(lens, F.substring("h.title", 1, 40)).alias("source_id"),
+            "ord", F.coalesce(lens, F.md5(_text(F.col("h.title"), F.col("h.abstract")))).alias("source_id"),
             _text(F.col("h.title"), F.col("h.abstract")).alias("text"), doi.alias("doi"),
             F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi))
             .otherwise("https://lens.org/search").alias("url"),
@@ -164,7 +165,7 @@ def from_hits(df: DataFrame, kind: str = "scholarly") -> DataFrame:
                      F.concat(F.lit("https://lens.org/lens/patent/"), jur, F.lit("_"), doc))
     x = x.select(
         "ord", lid.alias("source_id"),
-        _strip(_text(title, F.col("h.abstract"), F.array_join(claims, " "))).alias("text"),
+        strip(_text(title, F.col("h.abstract"), F.array_join(claims, " "))).alias("text"),
         lid.alias("doi"), url.otherwise(other).alias("url"), F.lit("patent").alias("source_type"),
     )
     return _finish(x)
@@ -230,7 +231,7 @@ def from_biblio(df: DataFrame) -> DataFrame:
     x = x.select("ord", F.posexplode(found).alias("pos", "d")).where(F.col("d.number") != "")
     x = x.select(
         F.struct("ord", "pos").alias("_o"), "ord", F.col("d.number").alias("source_id"),
-        _strip(_text(F.col("d.title"), F.col("d.abstract"))).alias("text"),
+        strip(_text(F.col("d.title"), F.col("d.abstract"))).alias("text"),
         F.col("d.number").alias("doi"),
         F.concat(F.lit("https://worldwide.espacenet.com/patent/search/family/"), F.col("d.number"))
         .alias("url"),
@@ -256,7 +257,8 @@ def from_snippets(df: DataFrame, pages: DataFrame) -> DataFrame:
     first = keep_first(x.where("source_id <> ''"), [F.col("source_id")], order=("_o",)).where(
         keyword_gate(F.col("quick"), fv.GATE_PATENT)
     )
-    full = pages.select(F.col("patent_id").alias("source_id"), "page_text")
+    # a page may have landed twice
+    full = pages.groupBy(F.col("patent_id").alias("source_id")).agg(F.max("page_text").alias("page_text"))
     return first.join(full, "source_id", "left").select(
         "ord", "source_id",
         F.coalesce(F.nullif("page_text", F.lit("")), "quick").alias("text"),
@@ -274,7 +276,7 @@ def crosswalk(df: DataFrame) -> DataFrame:
     )
 
 
-_CITATION = "ord bigint, pmid string, title string, abstract string, year string"
+_CITATION = "ord bigint, pmid string, title string, abstract string, year string, error string"
 
 
 def _citations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,7 +286,8 @@ def _citations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at, xml in zip(batch["ord"], batch["value"]):
             try:
                 root = ET.fromstring(xml)
-            except ET.ParseError:
+            except (ET.ParseError, TypeError) as fault:
+                rows.append((at, None, None, None, None, str(fault)))
                 continue
             for c in root.iter("MedlineCitation"):
                 date = c.find(".//JournalIssue/PubDate")
@@ -293,14 +296,18 @@ def _citations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((
                     at, c.findtext("PMID") or "", whole(c.find("Article/ArticleTitle")),
                     " ".join(whole(t) for t in c.findall("Article/Abstract/AbstractText")),
-                    free[:4] if year is None else year,
+                    free[:4] if year is None else year, None,
                 ))
-        yield pd.DataFrame(rows, columns=["ord", "pmid", "title", "abstract", "year"])
+        yield pd.DataFrame(rows, columns=["ord", "pmid", "title", "abstract", "year", "error"])
 
 
 def from_citations(df: DataFrame) -> DataFrame:
-    """Citation XML: id, title, abstract parts joined by a blank, year."""
+    """Citation XML: id, title, abstract parts joined by a blank, year, error.
+
+    A value that cannot be parsed gives one row with the error and nothing else.
+    """
     parsed = df.select("ord", "value").mapInPandas(_citations, _CITATION)
-    return keep_first(parsed, [F.col("pmid")], order=("ord",)).select(
-        "pmid", "title", "abstract", "year"
+    broken = F.when(F.col("error").isNotNull(), F.col("ord"))
+    return keep_first(parsed, [F.col("pmid"), broken], order=("ord",)).select(
+        "pmid", "title", "abstract", "year", "error"
     )
