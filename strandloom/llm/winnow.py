@@ -1,17 +1,18 @@
 """Document fingerprints by winnowing, in column expressions only.
 
-Every run of ``k`` code points is hashed; in every window of ``w`` hashes in a row
-the least one is selected, the rightmost of equal ones, with its
-position (Schleimer, Wilkerson, Aiken, SIGMOD 2003).  Any text of at least ``k + w - 1`` code
-points that two documents share gives them a common hash.
-
-A hash has 32 bits and is packed with its position into one number, so the
+A text is a row of tokens; every run of ``k`` tokens is hashed; in every window of ``w`` hashes
+in a row the least one is selected, the rightmost of equal ones, with its
+position (Schleimer, Wilkerson, Aiken, SIGMOD 2003).  Any ``k + w - 1`` tokens in a row
+that two documents share give them a common hash.
+
+A token is a run of up to 16 characters that are not blank, or one character of a script
+that is written without blanks.  So any text has tokens of bounded size, and there are about a fifth as many as
+characters.  A hash has 32 bits and is packed with its position into one number, so the
 minimum of plain numbers chooses the rightmost of ties.  The minimum over a
-window doubles its width in every step.  The text is cut as UTF-32 bytes, where a run
-of code points is found by its offset.
+window doubles its width in every step.
 
-A text shorter than ``k`` is one run; null and empty texts have no hashes.  Positions
-reach to 2^31, more than a text can hold.
+A text of fewer than ``k`` tokens is one run; null texts and texts without tokens have no
+hashes.  Positions reach to 2^31, more than a text can hold.
 """
 
 from __future__ import annotations
@@ -22,29 +23,39 @@ from pyspark.sql import functions as F
 from strandloom.llm.text import let
 from strandloom.operators.skew import global_rank
 
-K = 12
-W = 32
+K = 3
+W = 8
 LOW = (1 << 31) - 1
+#: Scripts written without blanks: Thai, Lao, Burmese, Khmer, kana, Han.
+WIDE = (
+    r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+)
+TOKEN = rf"[^\x20\x09-\x0D{WIDE}]{{1,16}}+|[{WIDE}]"
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def _packed_grams(text: Column, k: int) -> Column:
     """Hash in the high 32 bits, distance of the position from the end of the range in the low 31."""
-    last = F.greatest(F.length(text) - k, F.lit(0))
+    low, high = F.lit(LOW).cast("long"), F.lit(0xFFFFFFFF).cast("long")
+
+    def grams(t: Column) -> Column:
+        def gram(_, i: Column) -> Column:
+            h = F.xxhash64(*[F.get(t, i + j) for j in range(k)])
+            return F.shiftleft(h.bitwiseAND(high), 31).bitwiseOR(low - i)
 
-    def gram(raw: Column, i: Column) -> Column:
-        h = F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * k))).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-        return F.shiftleft(h, 31).bitwiseOR(F.lit(LOW).cast("long") - i)
+        full = F.slice(t, F.lit(1), F.greatest(F.size(t) - (k - 1), F.lit(1)))
+        return F.transform(full, gram)
 
-    grams = let(F.encode(text, "UTF-32"), lambda raw: F.transform(F.sequence(F.lit(0), last), lambda i: gram(raw, i)))
-    return F.when(F.length(text) > 0, grams).otherwise(F.array().cast("array<long>"))
+    return let(F.transform(tokens(text), lambda x: F.xxhash64(x)), grams)
 
 
 def _minima(packed: Column, w: int) -> Column:
     """Distinct minima over all windows of w in a row (one window if there are fewer)."""
     def shifted(by: int):
-        return lambda m: F.zip_with(
-            m, F.slice(m, F.lit(by + 1), F.greatest(F.size(m) - by, F.lit(0))), lambda a, b: F.least(a, b)
-        )
+        return lambda m: F.transform(m, lambda x, i: F.least(x, F.get(m, i + by)))
 
     out, width = packed, 1
     while width < w:

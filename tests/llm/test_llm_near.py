@@ -1,5 +1,6 @@
 import os
 import random
+import re
 import sys
 from collections import Counter
 
@@ -86,8 +87,8 @@ def test_crowded_buckets_are_exact(spark):
         assert sorted(groups.values()) == sorted(Counter(want).values())
 
 
-def plain_winnow(text, k, w, h):
-    grams = [h[text[i:i + k]] for i in range(len(text) - k + 1)] or ([h[text]] if text else [])
+def plain_winnow(toks, k, w, h):
+    grams = [h(toks[i:i + k]) for i in range(len(toks) - k + 1)] or ([h(toks)] if toks else [])
     out = set()
     for i in range(max(1, len(grams) - w + 1)):
         window = grams[i:i + w]
@@ -100,15 +101,23 @@ def plain_winnow(text, k, w, h):
 def test_winnowing_equals_brute_force(spark):
     from xxhash import xxh64_intdigest
 
-    class Hashes(dict):
-        def __missing__(self, gram):
-            return xxh64_intdigest(gram.encode("utf-32-be"), 42) & 0xFFFFFFFF
+    def gram(toks):
+        h = 42
+        for t in toks:  # a row of numbers is hashed one after another, each with the last as seed
+            h = xxh64_intdigest((xxh64_intdigest(t.encode(), 42)).to_bytes(8, "little"), h)
+        return h & 0xFFFFFFFF
 
-    some = [t if t is None else t[:700] for t in cases.texts()] + ["abcabcabcabc" * 9, "aaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    def cut(text):
+        out, wide = [], "\u0e00-\u0eff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+        for t in re.findall(f"[{wide}]|[^ \t-\r{wide}]{{1,16}}", text or ""):
+            out.append(t)
+        return out
+
+    some = [*cases.texts(), "a b c " * 30, "x " * 40, "漢字かなカナ test " * 5, "one", "one two"]
     df = cases.frame(spark, some)
-    for k, w in ((12, 32), (5, 4), (3, 7), (4, 1)):
+    for k, w in ((3, 8), (5, 4), (1, 7), (4, 1)):
         for r in df.select("text", winnow.winnow(F.col("text"), k, w).alias("f")).collect():
-            assert [(x["hash"], x["pos"]) for x in r.f] == plain_winnow(r.text or "", k, w, Hashes()), (r.text, k, w)
+            assert [(x["hash"], x["pos"]) for x in r.f] == plain_winnow(cut(r.text), k, w, gram), (r.text, k, w)
 
 
 def test_edited_texts(spark):
