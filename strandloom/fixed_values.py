@@ -344,10 +344,6 @@ KNOWN_TARGETS = (
 
 # --- fixed values: supplements ----------------------------------------------
 SUPPLEMENT_KEEP = (".xlsx", ".xls", ".csv", ".tsv", ".pdf", ".txt")
-SUPPLEMENT_SKIP = (
-    ".zip", ".gz", ".tar", ".docx", ".doc", ".pptx", ".ppt", ".mp4", ".avi", ".png", ".jpg",
-    ".jpeg", ".gif", ".tif", ".tiff", ".bmp", ".svg",
-)
 SUPPLEMENT_MAX_FILES = 8
 SUPPLEMENT_MAX_BYTES = 20 * 1024 * 1024
 

@@ -27,7 +27,7 @@ def label_conflicts(df: DataFrame) -> DataFrame:
 def repair_leakage(df: DataFrame, seq: str = "aptamer_sequence") -> tuple[DataFrame, DataFrame]:
     """(repaired, moved): val/test rows of a sequence in several splits go to train.
 
-    ``moved`` lists the distinct train targets of the sequence, in order.
+    ``moved`` has one row for each moved row and distinct train target of its sequence.
     """
     member = split_membership(df, seq)
     spread = sum(F.col(f"in_{s}").cast("int") for s in fv.SPLITS) >= 2
@@ -39,16 +39,14 @@ def repair_leakage(df: DataFrame, seq: str = "aptamer_sequence") -> tuple[DataFr
     train_targets = (
         keyed.where(F.col("split") == "train")
         .join(leaky.select("seq_up"), "seq_up", "left_semi")
-        .select("seq_up", "target_name").distinct()
-        .groupBy("seq_up")
-        .agg(F.array_join(F.array_sort(F.collect_list("target_name")), "; ").alias("train_targets"))
+        .select("seq_up", F.col("target_name").alias("train_target")).distinct()
     )
-    moved = skew.attach(tagged.where(move), train_targets, ["seq_up"]).select(
+    moved = tagged.where(move).join(train_targets, "seq_up", "left").select(
         "row_id", F.col(seq), "target_name", F.col("split").alias("current_split"),
         F.lit("3_leakage").alias("phase"),
         F.concat(F.lit("same_seq_diff_target_leak_"), "split", F.lit("_moved_to_train"))
         .alias("reason"),
-        F.coalesce("train_targets", F.lit("")).alias("train_targets"),
+        "train_target",
     )
     return repaired.select(*df.columns), moved
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandloom import fixed_values as fv
 from strandloom import schemas
 from strandloom.operators import skew
+from strandloom.session import durable
 from strandloom.functions.space import strip
 
 
@@ -85,3 +86,18 @@ def compute_features(keys: DataFrame, fold: Callable[[str], dict]) -> DataFrame:
 def update_cache(df: DataFrame, cache: DataFrame, fold: Callable[[str], dict]) -> DataFrame:
     """The rows to append to the cache for the sequences it does not have."""
     return compute_features(cache_missing(df, cache), fold)
+
+
+def empty_like(cache: DataFrame) -> DataFrame:
+    """A cache in the full schema; columns it does not have are NULL."""
+    have = set(cache.columns)
+    return cache.select(*[
+        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schemas.STRUCTURE_FEATURES
+    ])
+
+
+def append_cache(df: DataFrame, path: str, fold: Callable[[str], dict]) -> None:
+    """Append what the cache at ``path`` does not have; safe to run again."""
+    cache = df.sparkSession.read.schema(schemas.STRUCTURE_FEATURES).parquet(path)
+    durable(update_cache(df, cache, fold)).write.mode("append").parquet(path)

@@ -180,16 +180,6 @@ def converge(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return _set_where(df, table, to, F.lit(True))
 
 
-def component_conflicts(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Components that hold both val and test rows before convergence."""
-    comp = graph.connected_components(pairs, "seq_a", "seq_b").withColumnRenamed("node", "seq")
-    return (
-        _members(df).join(comp, "seq").groupBy("component")
-        .agg(F.bool_or("in_val").alias("has_val"), F.bool_or("in_test").alias("has_test"))
-        .where("has_val AND has_test")
-    )
-
-
 def assign_splits(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """All steps in order; NULL splits count as unassigned."""
     rows = df.withColumn("split", F.coalesce("split", F.lit("unassigned")))

@@ -75,7 +75,8 @@ def clean(
 
     parts = [
         complements.select("phase", "reason", "row_id", F.col("sequence"), F.col("target_protein").alias("target_name")),
-        moved.select("phase", "reason", "row_id", F.col("aptamer_sequence").alias("sequence"), "target_name"),
+        moved.select("phase", "reason", "row_id", F.col("aptamer_sequence").alias("sequence"), "target_name")
+        .distinct(),
     ]
     if misses is not None:
         parts.append(misses.select("phase", "reason", "target_name"))

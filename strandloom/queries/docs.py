@@ -100,14 +100,27 @@ def phase_checkpoint(spark, sf):
     )
 
 
-@query("coverage_report")
+_STATS = ("incoming", "valid", "invalid", "known_duplicates", "batch_duplicates", "new_rows")
+
+
+@query(
+    "coverage_report",
+    f"""WITH t AS (SELECT count(*) AS incoming, count(*) FILTER (n_errors = 0) AS valid, count(*) FILTER (n_errors > 0) AS invalid,
+          count(*) FILTER (n_errors = 0 AND known) AS known_duplicates, count(*) FILTER (n_errors = 0 AND NOT known AND rn > 1) AS batch_duplicates,
+          count(*) FILTER (n_errors = 0 AND NOT known AND rn = 1) AS new_rows FROM batch_fate)
+        SELECT repeat('=', 55) AS value FROM range(3) UNION ALL SELECT 'Run summary' UNION ALL SELECT 'Run at <time> UTC'
+        UNION ALL SELECT concat(rpad('source_type', 16, ' '), ' : total')
+        {' '.join(f"UNION ALL SELECT concat(rpad('{c}', 16, ' '), ' : ', {c}) FROM t" for c in _STATS)}""",
+)
 def coverage_report(spark, sf):
+    """One line of the report each; the time of the run is masked."""
     checked = validate.validate_record(derived(spark, sf, "text_records"))
-    decided = dedup.merge_decisions(checked, derived(spark, sf, "legacy"))
+    decided = dedup.merge_decisions(checked, derived(spark, sf, "master"))
     total = audit.merge_stats(decided).where("source_type = 'total'").first()
     path = scratch(spark)
     sinks.write_report(spark, total.asDict(), path)
-    return spark.read.text(path)
+    lines = spark.read.text(path).where("value <> ''")
+    return lines.select(F.regexp_replace("value", r"^Run at \d{4}-\d\d-\d\d \d\d:\d\d:\d\d UTC$", "Run at <time> UTC").alias("value"))
 
 
 # --- plain parsing ----------------------------------------------------------
@@ -630,6 +643,18 @@ def stream_ingest_dedup(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("user_id", "event_type")
 
 
+@query("stream_ingest_records", "SELECT row_id FROM batch_fate WHERE n_errors = 0 AND NOT known AND rn = 1")
+def stream_ingest_records(spark, sf):
+    folder = scratch(spark)
+    rows = derived(spark, sf, "text_records")
+    rows.repartitionByRange(4, "row_id").write.parquet(f"{folder}/in")
+    stream = ingest.read_stream(spark, f"{folder}/in", rows.schema, files_per_trigger=2)
+    ingest.ingest_records(
+        stream, derived(spark, sf, "master"), f"{folder}/out", f"{folder}/state"
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("row_id")
+
+
 @query(
     "stream_stats",
     """SELECT source_type, CAST(count(*) AS BIGINT) AS incoming, CAST(count(*) FILTER (n_errors = 0) AS BIGINT) AS valid, CAST(count(*) FILTER (n_errors > 0) AS BIGINT) AS invalid FROM record_flags GROUP BY 1""",
@@ -696,6 +721,14 @@ def clean_phases(spark, sf):
     )
 
 
+@query(
+    "clean_removed",
+    """SELECT q.row_id, z.removal_reason FROM full_rows q JOIN quarantined z ON z.row_id = q.row_id WHERE z.removal_reason IS NOT NULL""",
+)
+def clean_removed(spark, sf):
+    return _cleaned(spark, sf).removed.select("row_id", "removal_reason")
+
+
 @query(
     "review_queue",
     """SELECT '1_rc_pair' AS phase, row_id, CAST(NULL AS VARCHAR) AS target_name FROM full_gone

@@ -8,7 +8,7 @@ from strandloom.operators import (
     audit, augment, features, graph, metrics, neardupe, sampling, splits, validate,
 )
 from strandloom.queries.derived import derived
-from strandloom.queries.registry import CHECKS, query
+from strandloom.queries.registry import CHECKS, query, scratch
 
 # --- audits -----------------------------------------------------------------
 
@@ -60,13 +60,13 @@ def leakage_to_train(spark, sf):
 
 @query(
     "leakage_review",
-    """SELECT row_id, split AS current_split, concat('same_seq_diff_target_leak_', split, '_moved_to_train') AS reason,
-         coalesce((SELECT string_agg(t, '; ' ORDER BY t) FROM (SELECT DISTINCT x.target_name AS t FROM records x WHERE x.split = 'train' AND upper(x.aptamer_sequence) = s) q), '') AS train_targets
-       FROM records JOIN membership ON s = upper(aptamer_sequence) WHERE split IN ('val','test') AND (a::INT + b::INT + c::INT) >= 2""",
+    """SELECT row_id, split AS current_split, concat('same_seq_diff_target_leak_', split, '_moved_to_train') AS reason, train_target
+       FROM records JOIN membership ON s = upper(aptamer_sequence) LEFT JOIN
+         (SELECT DISTINCT upper(aptamer_sequence) AS ts, target_name AS train_target FROM records WHERE split = 'train') q ON ts = s WHERE split IN ('val','test') AND (a::INT + b::INT + c::INT) >= 2""",
 )
 def leakage_review(spark, sf):
     return audit.repair_leakage(derived(spark, sf, "records"))[1].select(
-        "row_id", "current_split", "reason", "train_targets"
+        "row_id", "current_split", "reason", "train_target"
     )
 
 
@@ -451,14 +451,28 @@ def hairpin_features(seq: str) -> dict:
     while arm < len(seq) // 2 - 1 and pair.get(seq[arm]) == seq[-1 - arm]:
         arm += 1
     structure = "(" * arm + "." * (len(seq) - 2 * arm) + ")" * arm
-    return {"structure": structure, "stem_count": int(arm > 0), "loop_count": int(arm > 0), "mfe": -1.5 * arm}
+    return {"structure": structure, "stem_count": int(arm > 0), "loop_count": int(arm > 0), "mfe": 0.0 - 1.5 * arm}
 
 
-@query("feature_cache_update")
+@query(
+    "feature_cache_update",
+    """WITH missing AS (SELECT DISTINCT upper(trim(aptamer_sequence)) AS s FROM records WHERE aptamer_sequence IS NOT NULL
+           EXCEPT SELECT sequence FROM feature_cache),
+         folded AS (SELECT s, least(coalesce(list_min(list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 1) <> substr(r, i, 1))) - 1, length(s)),
+             greatest(length(s) // 2 - 1, 0)) AS arm FROM (SELECT s, reverse(translate(s, 'ATGC', 'TACG')) AS r FROM missing) x)
+       SELECT s AS sequence, concat(repeat('(', arm), repeat('.', length(s) - 2 * arm), repeat(')', arm)) AS structure, CAST(0.0 - 1.5 * arm AS DOUBLE) AS mfe,
+         CAST(arm > 0 AS INTEGER) AS stem_count, CAST(arm > 0 AS INTEGER) AS loop_count FROM folded""",
+)
 def feature_cache_update(spark, sf):
-    return features.update_cache(
-        derived(spark, sf, "records"), derived(spark, sf, "feature_cache"), hairpin_features
-    ).select("sequence", "structure", "mfe", "stem_count", "loop_count")
+    """The rows that the cache has gained; the second run adds nothing."""
+    path = scratch(spark)
+    cache = derived(spark, sf, "feature_cache")
+    features.empty_like(cache).write.parquet(path)
+    for _ in range(2):
+        features.append_cache(derived(spark, sf, "records"), path, hairpin_features)
+    return spark.read.parquet(path).where("structure IS NOT NULL").select(
+        "sequence", "structure", "mfe", "stem_count", "loop_count"
+    )
 
 
 # --- metrics ----------------------------------------------------------------

@@ -285,11 +285,17 @@ def md5_key(spark, sf):
     )
 
 
-@query("utc_stamp")
+@query("utc_stamp", "SELECT source, count(*) AS n, TRUE AS well_formed, TRUE AS recent FROM documents GROUP BY 1")
 def utc_stamp(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(
-        F.count(F.lit(1)).alias("n")
-    ).withColumn("extraction_timestamp", text.utc_stamp())
+    """The stamp differs from run to run; its form and age are checked."""
+    stamped = table(spark, sf, "documents").withColumn("at", text.utc_stamp())
+    age = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(
+        F.to_timestamp("at", "yyyy-MM-dd'T'HH:mm:ssX")))
+    return stamped.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(F.col("at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$")).alias("well_formed"),
+        F.bool_and(age < 3600).alias("recent"),
+    )
 
 
 @query(

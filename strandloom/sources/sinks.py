@@ -94,7 +94,3 @@ def report_text(stats: dict, title: str = "Run summary", stamp: datetime | None
 def write_report(spark: SparkSession, stats: dict, path: str, title: str = "Run summary") -> None:
     one = spark.createDataFrame([(report_text(stats, title),)], "value string")
     one.coalesce(1).write.mode("overwrite").text(path)
-
-
-def split_names() -> tuple[str, ...]:
-    return fv.SPLITS
