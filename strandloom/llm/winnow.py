@@ -124,9 +124,10 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     moves to its neighbour, and goes through one shuffle that serves both sides.
     """
     pairs, repeated = neighbours(docs, id_col, text_col)
+    kind = docs.schema[id_col].dataType
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).select("id", "text", _key("id").alias("key"), hashes(F.col("text"), k, w).alias("prints"))
+    ).select("text", _key("id").alias("key"), hashes(F.col("text"), k, w).alias("prints"))
     given = rows.join(pairs, F.col("key") == F.col("next_key")).select(
         "this_key", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"),
         F.col("prints").alias("next_prints"),
@@ -137,6 +138,7 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.substring(F.col("head"), F.lit(1), cut)
     )
+    own_id = F.when(F.col("key") != "null", F.col("key")).cast(kind).alias("id")
     return rows.join(given, F.col("key") == F.col("this_key")).select(
-        "id", F.length("text").cast("long").alias("n_chars"), "prints", "next_prints", edited.alias("edited")
+        own_id, F.length("text").cast("long").alias("n_chars"), "prints", "next_prints", edited.alias("edited")
     ).withColumn("edited_prints", hashes(F.col("edited"), k, w))
