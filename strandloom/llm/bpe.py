@@ -30,7 +30,7 @@ MEMO = 250_000
 SPACE = "\t-\r \x85\xa0  -     　"
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     extra = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -54,7 +54,7 @@ class WordBpe:
             (self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)
         }
         suffix = model["end_of_word_suffix"] or ""
-        symbols = _byte_symbols()
+        symbols = byte_symbols()
         self.inner = [self.vocab.get(s) for s in symbols]
         self.final = [self.vocab.get(s + suffix) for s in symbols]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -159,9 +159,18 @@ def unpack(ids: Column) -> Column:
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids, decoded) of every document; ids are packed, see ``unpack``."""
-    coded = docs.select(F.col(id_col), encode(F.col(text_col), path).alias("ids"))
+    """(id, n_tokens, ids, decoded) of every document; ids are packed, see ``unpack``.
+
+    Both ways run in one pass, so a task needs one Python worker.
+    """
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        one = word_bpe(path)
+        ids = [one.encode(t) for t in texts]
+        return pd.DataFrame({"ids": ids, "decoded": [one.decode(i) for i in ids]}, dtype=object)
+
+    coded = docs.select(F.col(id_col).alias("_id"), both(F.coalesce(F.col(text_col), F.lit(""))).alias("_b"))
     return coded.select(
-        F.col(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-        decode(F.col("ids"), path).alias("decoded"),
+        F.col("_id").alias(id_col), (F.octet_length("_b.ids") / 4).cast("long").alias("n_tokens"), "_b.ids", "_b.decoded"
     )

@@ -50,8 +50,6 @@ class Recent(dict):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        value = self.old[key] if key in self.old else self.make(key)
         self[key] = value
         return value

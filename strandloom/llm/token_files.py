@@ -18,52 +18,89 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from zlib import crc32
+from string import punctuation
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.bpe import byte_symbols
 from strandloom.llm.text import Recent
 
 END = 2
+PIECE = 200  # documents counted at once
 BLOCK = 1 << 18  # ids to a block; one document is never split
-MEMO = 300_000
+MEMO = 150_000
 
 #: Bytes of the four numbers that a control byte describes, and their sum.
 LENGTHS = np.array([[1 + ((c >> (2 * i)) & 3) for i in range(4)] for c in range(256)], dtype=np.int64)
 
 
 class ByteBpe:
-    """The library behind a memo of pre-tokens.
+    """The library behind a memo of stretches of text.
 
     Between two characters that are not white space, a single space always
-    begins a new pre-token, so the stretches between such spaces are encoded alone.
+    begins a new pre-token, so the stretches between such spaces are encoded alone.  In
+    most of them the pre-tokens are plain, letters with ASCII marks behind, and go to the library's
+    model directly.  All else goes to the whole library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.odd = re.compile(r"^ | $|\s | \s").search
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.model = self.whole.model
+        self.symbols = byte_symbols()
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
-        self.memo = Recent(self._ids, MEMO)
-
-    def _ids(self, stretch: str) -> bytes:
-        return np.array(self.model.encode(stretch, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.memo, self.pretokens = Recent(self._stretch, MEMO), Recent(self._pretoken, MEMO)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _pretoken(self, pretoken: str) -> bytes:
+        """Ids of one pre-token, given by the symbols of its bytes."""
+        return array("I", [t.id for t in self.model.tokenize(pretoken)]).tobytes()
+
+    def _simple(self, lead: str, part: str) -> bytes | None:
+        """Ids of letters and then ASCII marks behind ``lead``, each a pre-token; None for anything else."""
+        word = part.rstrip(punctuation)
+        if not word.isalpha():
+            return None
+        marks = part[len(word):]
+        if not word.isascii():
+            word = "".join([self.symbols[b] for b in word.encode("utf-8")])
+        return self.pretokens[lead + word] + (self.pretokens[marks] if marks else b"")
+
+    def _stretch(self, stretch: str) -> bytes | None:
+        """Ids of a space and a stretch; None for one that does not stand alone."""
+        if not stretch or stretch[0].isspace() or stretch[-1].isspace():
+            return None
+        first, *lines = stretch.split("\n")
+        ids = self._simple(self.symbols[32], first)
+        for line in lines:  # a line break between two other characters is a pre-token
+            next_ids = self._simple("", line)
+            if ids is None or next_ids is None:
+                return self._ids(" " + stretch)
+            ids += self.pretokens[self.symbols[10]] + next_ids
+        return self._ids(" " + stretch) if ids is None else ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        first, *rest = self.cut(text) if self.odd(text) else text.split(" ")
-        get = self.memo.__getitem__
-        return b"".join([get(first), *[get(" " + s) for s in rest]])
+        first, *rest = text.split(" ")
+        try:
+            if first and not first[-1].isspace():
+                return self._ids(first) + b"".join(map(self.memo.__getitem__, rest))
+        except TypeError:  # white space beside a space
+            pass
+        return b"".join([self._ids(s if i == 0 else " " + s) for i, s in enumerate(self.cut(text))])
 
 
 @lru_cache(maxsize=4)
@@ -113,14 +150,14 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, counts = byte_bpe(path).encode, np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
-            packed = []
-            for text in batch["text"]:
-                ids = np.append(np.frombuffer(one(text), dtype="<u4"), np.uint32(end))
-                found = np.bincount(ids)
+            packed, last = [], np.uint32(end)
+            for start in range(0, len(batch), PIECE):
+                some = [np.append(np.frombuffer(one(t), dtype="<u4"), last) for t in batch["text"][start:start + PIECE]]
+                found = np.bincount(np.concatenate(some))
                 if len(found) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(found), dtype=np.int64)])
                 counts[:len(found)] += found
-                packed.append(_narrow(ids))
+                packed.extend(map(_narrow, some))
             yield pd.DataFrame({"id": batch["id"], "ids": packed, "token": pd.NA, "n": pd.NA}).astype(
                 {"token": "Int64", "n": "Int64"})
         seen = np.flatnonzero(counts)
@@ -222,11 +259,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 def checksums(documents: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of what ``read_files`` gives."""
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([crc32(x) for x in ids], dtype="int64")
-
-    return documents.select("id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return documents.select("id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def new_folder(spark: SparkSession) -> str:
