@@ -171,8 +171,8 @@ def keep_one(
         .groupBy(F.col(id_col).alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
     )
     joined = plain.join(kept, key.eqNullSafe(F.col("_keep")))
-    many = joined.where("_rows > 1")
-    many = many.groupBy("_keep").agg(F.min(F.struct(*names)).alias("_row")).select("_row.*")
-    return joined.where("_rows = 1").select(*names).unionByName(many).select(
-        *[F.col(n).alias(c) for c, n in at.items()]
-    )
+    rows = joined.where("_rows = 1").select(*names)
+    if not kept.where("_rows > 1").isEmpty():
+        many = joined.where("_rows > 1").groupBy("_keep").agg(F.min(F.struct(*names)).alias("_row"))
+        rows = rows.unionByName(many.select("_row.*"))
+    return rows.select(*[F.col(n).alias(c) for c, n in at.items()])
