@@ -34,7 +34,7 @@ from strandloom.llm.text import Recent
 END = 2
 PIECE = 200  # documents counted at once
 BLOCK = 1 << 18  # ids to a block; one document is never split
-MEMO = 150_000
+MEMO = 220_000
 
 #: Bytes of the four numbers that a control byte describes, and their sum.
 LENGTHS = np.array([[1 + ((c >> (2 * i)) & 3) for i in range(4)] for c in range(256)], dtype=np.int64)
@@ -215,7 +215,7 @@ def write_files(
 ) -> None:
     """Encode ``docs`` and write blocks and ranks under ``folder``, which all executors share."""
     spark = docs.sparkSession
-    encode_documents(docs, path, id_col, text_col, end).write.parquet(f"{folder}/encoded")
+    encode_documents(docs, path, id_col, text_col, end).write.option("compression", "zstd").parquet(f"{folder}/encoded")
     encoded = spark.read.parquet(f"{folder}/encoded")
     rank_tokens(encoded).coalesce(1).write.parquet(f"{folder}/ranks")
     table = spark.read.parquet(f"{folder}/ranks").select("token", "rank").toPandas()  # bounded by the vocabulary
