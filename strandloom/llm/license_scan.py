@@ -31,6 +31,7 @@ CONTAINED = 0.8
 ROWS = 2
 MISS = 1e-3  # probability that a window of likeness CONTAINED is in no common band
 SCALES = (1, 2, 4, 8, 16)
+GROUP = 200_000  # characters that are hashed at once
 BASE = 0x9E3779B97F4A7C15 | 1
 ALL = (1 << 64) - 1
 WORD_BYTE = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
@@ -132,23 +133,54 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[tuple[str, float, int]]:
         """(template, containment, first word of the place) for every template in the text."""
-        raw = (text or "").encode("utf-8").lower()
+        return self.scan_all([text])[0]
+
+    def scan_all(self, texts: list) -> list[list[tuple[str, float, int]]]:
+        """``scan`` of each text, computed for all of them at once.
+
+        The texts are laid end to end.  Windows over a border retrieve nothing that
+        holds, as shingles are verified within their text.
+        """
+        parts = [(t or "").encode("utf-8").lower() for t in texts]
+        raw = b"\n".join(parts)
         h, starts, ends = shingle_hashes(raw, self.width)
-        found = set()
+        sizes = np.array([len(p) + 1 for p in parts], dtype=np.int64)
+        borders = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))  # first word of each text
+        found: dict[int, set] = defaultdict(set)
         for scale, table in self.at.items():
             step = max(1, scale // 2)
             for b, key in window_bands(h, scale, step, self.count):
-                for i in np.flatnonzero(self.maybe[scale, b][key >> np.uint64(48)]).tolist():
+                hits = np.flatnonzero(self.maybe[scale, b][key >> np.uint64(48)])
+                for i, d in zip(hits.tolist(), (np.searchsorted(borders, hits * step, side="right") - 1).tolist()):
                     for t, offset in table[b].get(int(key[i]), ()):
-                        found.add((t, i * step - offset))
-        best: dict[int, tuple[float, int]] = {}
-        for t, start in sorted(found):
-            spare = self.sizes[t] // 4 + self.width  # words may have been put in or left out
-            first, last = max(0, start - spare), min(len(h), start + self.sizes[t] + spare)
-            share = len(self.sets[t] & self._shingles(raw, starts, ends, first, last)) / len(self.sets[t])
-            if share >= self.contained and (t not in best or share > best[t][0]):
-                best[t] = (share, max(0, start))
-        return [(self.names[t], share, at) for t, (share, at) in sorted(best.items())]
+                        found[d].add((t, i * step - offset))
+        out: list[list[tuple[str, float, int]]] = [[] for _ in texts]
+        for d, places in found.items():
+            low, high = int(borders[d]), int(borders[d + 1]) - self.width + 1  # shingles of this text
+            best: dict[int, tuple[float, int]] = {}
+            for t, start in sorted(places):
+                spare = self.sizes[t] // 4 + self.width  # words may have been put in or left out
+                first, last = max(low, start - spare), min(high, start + self.sizes[t] + spare)
+                if first >= last:
+                    continue
+                share = len(self.sets[t] & self._shingles(raw, starts, ends, first, last)) / len(self.sets[t])
+                if share >= self.contained and (t not in best or share > best[t][0]):
+                    best[t] = (share, max(0, start - low))
+            out[d] = [(self.names[t], share, at) for t, (share, at) in sorted(best.items())]
+        return out
+
+
+def groups(texts, most: int = GROUP):
+    """Runs of texts of about ``most`` characters together; a longer text is a run of its own."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t or "") > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
 
 
 @lru_cache(maxsize=4)
@@ -162,9 +194,10 @@ def licenses(text: Column, templates: dict[str, str], width: int = WIDTH, contai
 
     @F.pandas_udf("array<struct<template: string, containment: double, word: long>>")
     def scan(texts: pd.Series) -> pd.Series:
-        one = _scanner(fixed, width, contained).scan
+        scanner = _scanner(fixed, width, contained)
         return pd.Series([
-            [{"template": n, "containment": c, "word": w} for n, c, w in one(t)] for t in texts
+            [{"template": n, "containment": c, "word": w} for n, c, w in found]
+            for some in groups(texts) for found in scanner.scan_all(some)
         ], dtype=object)
 
     return scan(F.coalesce(text, F.lit("")))
