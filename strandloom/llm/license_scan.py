@@ -149,11 +149,13 @@ class Scanner:
         found: dict[int, set] = defaultdict(set)
         for scale, table in self.at.items():
             step = max(1, scale // 2)
-            for b, key in window_bands(h, scale, step, self.count):
+            for b, key in window_bands(h, scale, 1, self.count):
                 hits = np.flatnonzero(self.maybe[scale, b][key >> np.uint64(48)])
-                for i, d in zip(hits.tolist(), (np.searchsorted(borders, hits * step, side="right") - 1).tolist()):
+                text = np.searchsorted(borders, hits, side="right") - 1
+                on_grid = (hits - borders[text]) % step == 0  # counted from the start of each text
+                for i, d in zip(hits[on_grid].tolist(), text[on_grid].tolist()):
                     for t, offset in table[b].get(int(key[i]), ()):
-                        found[d].add((t, i * step - offset))
+                        found[d].add((t, i - offset))
         out: list[list[tuple[str, float, int]]] = [[] for _ in texts]
         for d, places in found.items():
             low, high = int(borders[d]), int(borders[d + 1]) - self.width + 1  # shingles of this text
