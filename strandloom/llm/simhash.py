@@ -135,17 +135,21 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     return found.unionByName(_flip_edges(large)).distinct()
 
 
+def _with_component(fps: DataFrame, radius: int, most: int) -> DataFrame:
+    """``fps``, a row for each fingerprint, with the least fingerprint of its component."""
+    components = durable(connected_components(links(fps.select("fp"), radius, most)))
+    return fps.join(components, F.col("fp") == F.col("node"), "left").select(
+        *fps.columns, F.coalesce("component", "fp").alias("component")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     width: int = 3, radius: int = RADIUS, most: int = MOST,
 ) -> DataFrame:
     """(id, fp, component_id) of every document; the component is named by its smallest id."""
     marked = durable(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fp")))
-    least = durable(marked.groupBy("fp").agg(F.min("id").alias("id")))
-    components = durable(connected_components(links(least.select("fp"), radius, most)))
-    named = least.join(components, F.col("fp") == F.col("node"), "left").select(
-        "fp", "id", F.coalesce("component", "fp").alias("component")
-    )
+    named = _with_component(durable(marked.groupBy("fp").agg(F.min("id").alias("id"))), radius, most)
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
     names = named.join(smallest, "component").select("fp", "component_id")
     return marked.join(names, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
@@ -160,19 +164,26 @@ def keep_one(
 ) -> DataFrame:
     """One document of each component, the one of the smallest id, with all its columns.
 
-    Rows that share that id are the same document; one of them stays.
+    Rows of the same id and text are the same document; one of them stays.  Others are told
+    apart by two digests of both, which also decide between different texts of the smallest id.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
-    plain, key = docs.toDF(*names), F.col(at[id_col])
-    found = near_duplicates(docs, id_col, text_col, width, radius)
+    plain, key, text = docs.toDF(*names), F.col(at[id_col]), F.col(at[text_col])
+    both = key.isNull(), key, text.isNull(), text  # a hash leaves nulls out
+    d1, d2 = F.xxhash64(*both).alias("_d1"), F.xxhash64(F.lit("second"), *both).alias("_d2")
+    marked = plain.select(key.alias("id"), d1, d2, fingerprint(text, width).alias("fp")).groupBy(
+        "id", "_d1", "_d2", "fp"
+    ).agg(F.count(F.lit(1)).alias("_rows"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "_d1", "_d2", "_rows")
+    firsts = durable(marked.groupBy("fp").agg(F.min(first).alias("first")))
     kept = durable(
-        found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-        .groupBy(F.col(id_col).alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
+        _with_component(firsts, radius, MOST).groupBy("component").agg(F.min("first").alias("first"))
+        .select("first._d1", "first._d2", "first._rows")
     )
-    joined = plain.join(kept, key.eqNullSafe(F.col("_keep")))
+    joined = plain.select(*names, d1, d2).join(kept, ["_d1", "_d2"])
     rows = joined.where("_rows = 1").select(*names)
     if not kept.where("_rows > 1").isEmpty():
-        many = joined.where("_rows > 1").groupBy("_keep").agg(F.min(F.struct(*names)).alias("_row"))
+        many = joined.where("_rows > 1").groupBy("_d1", "_d2").agg(F.min(F.struct(*names)).alias("_row"))
         rows = rows.unionByName(many.select("_row.*"))
     return rows.select(*[F.col(n).alias(c) for c, n in at.items()])

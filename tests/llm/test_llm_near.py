@@ -64,6 +64,31 @@ def test_groups_equal_brute_force(spark):
     assert simhash.keep_one(cases.empty(spark)).count() == 0
 
 
+def test_one_stays_of_each_component_whatever_its_id(spark):
+    rnd = random.Random(11)
+    texts = [cases.words(rnd, 60) for _ in range(8)]
+    near = texts[6] + "  "  # other text, same fingerprint
+    rows = [
+        *[(None, t) for t in texts[:4]], (None, texts[0]), (None, None), (None, ""),
+        (1, texts[4]), (1, texts[5]),  # one id, two texts
+        (0, texts[6]), (2, near), (2, texts[7]),  # 2 stays for one text and goes for the other
+        (None, texts[7]), (3, texts[3].upper()), (3, texts[3].upper()),
+    ]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    fps = [plain_fingerprint(t) for _, t in rows]
+    groups = {}
+    for (i, t), c in zip(rows, components(fps)):
+        groups.setdefault(c, []).append((i is None, i or 0, t))
+    assert len(groups) == 9
+    kept = simhash.keep_one(df).collect()
+    assert len(kept) == len(groups)
+    left = Counter((r.doc_id, r.text) for r in kept)
+    for g in groups.values():
+        least = min(x[:2] for x in g)
+        assert sum(left[(None if none else i, t)] for none, i, t in set(g) if (none, i) == least) == 1, g
+        assert not any(left[(None if none else i, t)] for none, i, t in set(g) if (none, i) != least), g
+
+
 def test_crowded_buckets_are_exact(spark):
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(3)]
