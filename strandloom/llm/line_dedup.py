@@ -1,6 +1,6 @@
 """Line de-duplication by an exact set-similarity join, in DataFrame operations only.
 
-A line goes if an earlier line of the corpus, by document id and line number,
+A line goes if an earlier line of the corpus, by document and line number,
 has the same text, or a word set with a Jaccard likeness of ``t`` or more.
 
 Equal lines collapse first.  Of the others, the words of a line are ordered by
@@ -18,16 +18,19 @@ compared with all others, and only lines that this does not settle are joined wi
 
 Null and empty texts have no lines with words.  Lines without words always stay.  A document of
 which no line stays keeps its row with an empty text, a null text stays null.  Rows with the same
-id are one document at the places of their lines: the later of equal rows keeps what the first keeps.
+id and text are one document: each of equal rows keeps what the first keeps.  Rows that share an id, or have none,
+and differ in their texts are documents of their own, in the order of two digests; those without id come first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from strandloom.llm.store import stored
 from strandloom.llm.text import BLANK
+from strandloom.operators.skew import global_rank
 
 BUCKETS = 1 << 16
 SLICE = 300_000  # pairs verified at once
@@ -221,17 +224,52 @@ def settled(docs: DataFrame, pairs: DataFrame, t: int, at_once: int = SLICE) ->
 
 
 def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One (doc, text) row for each id; rows with the same id are one document, a null id counts as -1."""
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    """(doc, text) of every row, for ids that are whole numbers and tell all rows apart."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _digests(id_: Column, text: Column) -> tuple[Column, Column]:
+    both = id_.isNull(), id_, F.coalesce(text, F.lit(""))  # a hash leaves nulls out
+    return F.xxhash64(*both).alias("_d1"), F.xxhash64(F.lit("second"), *both).alias("_d2")
+
+
+def _tell_apart(docs: DataFrame, id_col: str) -> bool:
+    """Are the ids whole numbers, one for each row?"""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        return False
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    found = ids.agg(F.max("n").alias("n"), F.max(F.col("id").isNull()).alias("none")).first()
+    return (found["n"] or 0) <= 1 and not found["none"]
+
+
+def documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text) of every document that has words, and (doc, _d1, _d2) to find it by its digests.
+
+    Where ids tell the rows apart, they are the numbers of the documents and there are no digests.
+    """
+    if _tell_apart(docs, id_col):
+        return plain(docs, id_col, text_col), None
+    worded = docs.where(_has_word(F.col(text_col))).select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_digests(F.col(id_col), F.col(text_col))
     )
+    keys = stored(global_rank(
+        worded.select("id", "_d1", "_d2").distinct(), [F.col("id").asc_nulls_first(), F.col("_d1"), F.col("_d2")], "doc"
+    ).select("doc", "_d1", "_d2"))
+    rows = worded.join(keys, ["_d1", "_d2"]).groupBy("_d1", "_d2").agg(F.min("doc").alias("doc"), F.first("text").alias("text"))
+    return stored(rows.select("doc", "text")), keys
 
 
 def repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 80, crowd: int = CROWD
 ) -> DataFrame:
-    """(doc, line, by_doc, by_line): lines that go, each with an earlier line that is like it."""
-    rows = plain(docs, id_col, text_col)
+    """(doc, line, by_doc, by_line): lines that go, each with an earlier line that is like it.
+
+    ``doc`` is the number of the document as ``documents`` gives it.
+    """
+    return _repeated(documents(docs, id_col, text_col)[0], t, crowd)
+
+
+def _repeated(rows: DataFrame, t: int, crowd: int = CROWD) -> DataFrame:
     equal = stored(equal_lines(rows))
     entries = stored(index(rows, equal.select("doc", "line"), rarity(rows), t))
     sizes = stored(word_sizes(entries))
@@ -250,13 +288,22 @@ def _rest(text: Column, numbers: Column) -> Column:
     return F.when(numbers.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
+def _without_repeated(docs: DataFrame, id_col: str, text_col: str, t: int) -> DataFrame:
+    """``docs`` with the numbers of their lines that go."""
+    rows, keys = documents(docs, id_col, text_col)
+    gone = _repeated(rows, t)
+    if keys is None:
+        return _marked(docs.withColumn("doc", F.col(id_col).cast("long")), gone, "left")
+    numbers = gone.groupBy("doc").agg(F.collect_set("line").alias("numbers")).join(keys, "doc").drop("doc")
+    d1, d2 = _digests(F.col(id_col), F.col(text_col))
+    return docs.select("*", d1, d2).join(numbers, ["_d1", "_d2"], "left")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 80) -> DataFrame:
     """The documents with all their columns, their texts without repeated lines."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
-    gone = repeated_lines(docs, id_col, text_col, t)
-    held = docs.toDF(*names)
-    marked = _marked(held.withColumn("doc", F.coalesce(F.col(at[id_col]).cast("long"), F.lit(-1))), gone, "left")
+    marked = _without_repeated(docs.toDF(*names), at[id_col], at[text_col], t)
     return marked.select(*[
         (_rest(F.col(n), F.col("numbers")) if c == text_col else F.col(n)).alias(c) for c, n in at.items()
     ])
@@ -264,9 +311,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = 80) -> DataFrame:
     """(id, n_lines, n_removed, kept) of every document; kept is the text that stays."""
-    gone = repeated_lines(docs, id_col, text_col, t)
     held = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = _marked(held.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(-1))), gone, "left")
+    marked = _without_repeated(held, "id", "text", t)
     n = F.size(F.filter(F.split("text", "\n"), _has_word))
     return marked.select(
         F.col("id").alias(id_col), n.cast("long").alias("n_lines"),

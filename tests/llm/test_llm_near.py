@@ -223,6 +223,27 @@ def test_lines_of_odd_tables(spark):
     assert line_dedup.line_report(cases.empty(spark)).count() == 0
 
 
+def test_lines_of_rows_without_an_id_of_their_own(spark):
+    """Rows that share an id, or have none, are documents of their own unless their texts are equal."""
+    some = similar_lines(3)
+    ids = [None, None, 7, -1, 7, None, 9, 9, 3, -1]
+    rows = [(ids[n % 10], t) for n, t in enumerate(some)] + [(7, some[2]), (7, some[2]), (None, some[0]), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    key = {r.n: (r.doc_id is not None, r.doc_id or 0, r._d1, r._d2) for r in df.select(
+        "*", *line_dedup._digests(F.col("doc_id"), F.col("text"))).collect()}
+    place = {k: i for i, k in enumerate(sorted(set(key.values())))}
+    gone = lines_that_go(list({place[key[n]]: t for n, (_, t) in enumerate(rows)}.items()))
+    for n, text in df.join(line_dedup.dedup_lines(df).select("n", F.col("text").alias("kept")), "n").select("n", "kept").collect():
+        t = rows[n][1]
+        want = None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (place[key[n]], j) not in gone)
+        assert text == want, n
+    report = line_dedup.line_report(df).collect()
+    assert len(report) == len(rows) and all(r.n_removed <= r.n_lines for r in report)
+    assert sum(r.n_removed for r in report) == sum(g[0] == place[key[n]] for n in range(len(rows)) for g in gone)
+    named = df.select(F.concat(F.lit("x"), "doc_id").alias("doc_id"), "text")  # ids need not be numbers
+    assert line_dedup.dedup_lines(named).count() == len(rows)
+
+
 def test_near_line_groups_do_not_meet_in_pairs(spark):
     """All but the first of a large group are settled by the first."""
     rnd = random.Random(9)
