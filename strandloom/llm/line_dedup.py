@@ -24,7 +24,7 @@ and differ in their texts are documents of their own, in the order of two digest
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -178,10 +178,9 @@ def _joined(earlier: DataFrame, later: DataFrame, t: int) -> DataFrame:
 
 def with_leaders(crowded: DataFrame, t: int) -> DataFrame:
     """Pairs of a line and the first line on one of its words, if they may match."""
-    order = Window.partitionBy("tok").orderBy("doc", "line").rowsBetween(Window.unboundedPreceding, 0)
-    led = crowded.withColumn("a", F.first(F.struct("doc", "line", "n", "pos", "bits")).over(order))
+    leaders = crowded.groupBy("tok").agg(F.min(F.struct("doc", "line", "n", "pos", "bits")).alias("a"))
     a, b = (lambda c: F.col("a")[c]), F.col
-    return led.where(_before(a, b) & _passes(a, b, t)).select(
+    return crowded.join(leaders, "tok").where(_before(a, b) & _passes(a, b, t)).select(
         "doc", "line", a("doc").alias("by_doc"), a("line").alias("by_line"), _slack(a, b, t)
     ).distinct()
 

@@ -256,3 +256,11 @@ def test_near_line_groups_do_not_meet_in_pairs(spark):
     assert led.select("doc").distinct().count() == 299
     assert line_dedup.with_earlier(entries, led, 80).count() == 0
     assert np.isfinite(led.count()) and led.count() < 300 * 14
+
+
+def test_leaders_of_hot_words_need_no_sorted_group(spark):
+    rows = [(w, 0, 5, 0, d, 0) for w in (1, 2) for d in (3, 2, 4)]
+    entries = spark.createDataFrame(rows, "tok long, pos int, n int, bits long, doc long, line int")
+    led = line_dedup.with_leaders(entries, 80)
+    assert "Window" not in led._jdf.queryExecution().toString()
+    assert sorted((r.doc, r.by_doc) for r in led.collect()) == [(3, 2), (4, 2)]
