@@ -10,7 +10,7 @@ Fingerprints are made distinct first, so exact copies cost nothing further.
 In a bucket a search grows trees from one fingerprint after another and emits
 their edges only, never all pairs.  Buckets of more than ``most`` fingerprints are not
 searched in one task: their members meet at the strings one or two bit flips
-away instead, which is exact for radius 3 and linear in the bucket.
+away instead, which is exact for a radius of up to 4 and linear in the bucket; a larger radius is refused there.
 
 Null and empty texts have fingerprint zero and are linked like any other.
 Repeated ids give repeated rows.  An id that is null is never the smallest of a
@@ -100,21 +100,25 @@ def _bucket_edges(buckets: DataFrame, radius: int) -> DataFrame:
     return buckets.select("fps").mapInPandas(edges, "a long, b long")
 
 
-def _flip_edges(fps: DataFrame) -> DataFrame:
-    """Links within 3 flips, through the strings at most one flip from one end and two from the other.
+def _flip_edges(fps: DataFrame, radius: int) -> DataFrame:
+    """Links within the radius (4 at most), through the strings half of it, rounded down, from one end and the rest from the other.
 
-    Of those that meet at a string, the ones within one flip of it are within
-    3 of all others; one of them stands for the string.
+    Of those that meet at a string, the ones within the lower half of it are within
+    the radius of all others; one of them stands for the string.
     """
-    i, j = F.col("i"), F.col("j")
+    i, j, none = F.col("i"), F.col("j"), F.lit(BITS)
     bit = lambda k: F.when(k < BITS, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
+    second = F.explode(F.sequence(i, none)) if radius > 2 else none
     near = (
         fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("i"))
-        .select("fp", "i", F.explode(F.sequence(i, F.lit(BITS))).alias("j"))
+        .select("fp", "i", second.alias("j"))
         .where((i < j) | (i == BITS))
-        .select("fp", F.col("fp").bitwiseXOR(bit(i)).bitwiseXOR(bit(j)).alias("z"), (j == BITS).alias("one"))
+        .select(
+            "fp", F.col("fp").bitwiseXOR(bit(i)).bitwiseXOR(bit(j)).alias("z"),
+            ((i < BITS).cast("int") + (j < BITS).cast("int") <= radius // 2).alias("half"),
+        )
     )
-    hubs = near.where("one").groupBy("z").agg(F.min("fp").alias("a"))
+    hubs = near.where("half").groupBy("z").agg(F.min("fp").alias("a"))
     return near.join(hubs, "z").where("a != fp").select("a", F.col("fp").alias("b")).distinct()
 
 
@@ -127,12 +131,12 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     members = durable(entries.join(sizes, ["t", "k"]))
     small = members.where(F.col("n") <= most).groupBy("t", "k").agg(F.collect_list("fp").alias("fps"))
     found = _bucket_edges(small, radius)
-    if radius != 3:
-        return found
     large = durable(members.where(F.col("n") > most).select("fp").distinct())
     if large.isEmpty():
         return found.distinct()
-    return found.unionByName(_flip_edges(large)).distinct()
+    if radius > 4:
+        raise ValueError(f"no exact way for radius {radius} with over {most} fingerprints in a bucket")
+    return found.unionByName(_flip_edges(large, radius)).distinct()
 
 
 def _with_component(fps: DataFrame, radius: int, most: int) -> DataFrame:

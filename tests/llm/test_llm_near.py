@@ -112,6 +112,36 @@ def test_crowded_buckets_are_exact(spark):
         assert sorted(groups.values()) == sorted(Counter(want).values())
 
 
+def test_crowded_buckets_are_exact_for_other_radii(spark):
+    rnd = random.Random(6)
+    base = rnd.getrandbits(64)
+    fps = sorted({base ^ sum(1 << x for x in rnd.sample(range(64), rnd.randrange(5))) for _ in range(120)})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    far = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+
+    def groups(edges):
+        root = {f: f for f in fps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return sorted(Counter(find(f) for f in fps).values())
+
+    for radius in (1, 2, 4):
+        edges = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in simhash.links(df, radius, most=2).collect()]
+        assert all(far(a, b) <= radius for a, b in edges)
+        assert groups(edges) == groups((a, b) for a in fps for b in fps if a < b and far(a, b) <= radius), radius
+    try:
+        simhash.links(df, 5, most=2)
+        assert False
+    except ValueError:
+        pass
+
+
 def plain_winnow(toks, k, w, h):
     grams = [h(toks[i:i + k]) for i in range(len(toks) - k + 1)] or ([h(toks)] if toks else [])
     out = set()
