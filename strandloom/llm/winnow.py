@@ -7,7 +7,9 @@ that two documents share give them a common hash.
 
 A token is a run of up to 16 characters that are not blank, or one character of a script
 that is written without blanks.  So any text has tokens of bounded size, and there are about a fifth as many as
-characters.  A hash has 32 bits and is packed with its position into one number, so the
+characters.  Longer runs are cut every 16 characters from their start: a passage inside such a run (base64, long addresses,
+minified code, scripts without blanks that are not in WIDE) that starts elsewhere in the run of another document gives other tokens
+and need not be found.  A hash has 32 bits and is packed with its position into one number, so the
 minimum of plain numbers chooses the rightmost of ties.  The minimum over a
 window doubles its width in every step.
 
