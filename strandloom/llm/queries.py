@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import (
-    bpe, decontam, license_scan, line_dedup, mixing, quality, simhash, spelling, token_counts, token_files, url_lists, winnow,
+    bpe, collocations, decontam, license_scan, line_dedup, mixing, quality, simhash, spelling, token_counts, token_files, url_lists, winnow,
 )
 from strandloom.llm.license_texts import TEMPLATES
 
@@ -189,6 +189,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item, and those items."""
     found = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -203,7 +208,7 @@ QUERIES = {
     f.__name__: f for f in (
         op1_license_scan, op2_token_files, op3_simhash_groups, op4_url_list_filter, op5_token_counts,
         op6_quality_rules, op7_bpe_encode_decode, op8_winnowing, op9_line_dedup, op10_pareto_mix,
-        op11_spelling_variants, op13_decontaminate,
+        op11_spelling_variants, op12_collocations, op13_decontaminate,
     )
 }
 ORACLES = {"op4_url_list_filter": OP4_SQL, "op10_pareto_mix": OP10_SQL}
