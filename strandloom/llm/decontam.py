@@ -173,10 +173,12 @@ def hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> tup
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
     ).mapInArrow(_scan(lengths, spark.sparkContext.broadcast(bitmap), bits), schema))
     at = F.col("before") - F.col("off")
+    fits = (at >= 0) & (at + F.col("n") <= F.size("w"))
     met = scanned.select("row", F.explode("candidates").alias("c")).select("row", "c.*").join(prints, "hash")
-    extended = met.select("row", "before", "off", "n", (F.col("pos") - F.col("off")).alias("start"), F.split("words", " ").alias("w")).where(
-        (at >= 0) & (at + F.col("n") <= F.size("w"))
-    ).select("row", "start", "n", F.array_join(F.slice("w", at + 1, F.col("n")), " ").alias("window")).distinct()
+    extended = met.select("row", "before", "off", "n", (F.col("pos") - F.col("off")).alias("start"), F.split("words", " ").alias("w")).select(
+        "row", "start", "n",  # slice() fails at a place before the first, and filters may be moved behind it
+        F.when(fits, F.array_join(F.slice("w", F.greatest(at + 1, F.lit(1)), F.col("n")), " ")).alias("window"),
+    ).where("window IS NOT NULL").distinct()
     return scanned.select("row", "id", "n_words"), extended.join(windows.select("window").distinct(), "window")
 
 
