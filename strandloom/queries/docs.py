@@ -657,17 +657,20 @@ def stream_ingest_records(spark, sf):
 
 @query(
     "stream_stats",
-    """SELECT source_type, CAST(count(*) AS BIGINT) AS incoming, CAST(count(*) FILTER (n_errors = 0) AS BIGINT) AS valid, CAST(count(*) FILTER (n_errors > 0) AS BIGINT) AS invalid FROM record_flags GROUP BY 1""",
+    """SELECT coalesce(kind, 'total') AS source_type, count(*) AS incoming, count(*) FILTER (n_errors = 0) AS valid, count(*) FILTER (n_errors > 0) AS invalid,
+         count(*) FILTER (n_errors = 0 AND known) AS known_duplicates, count(*) FILTER (n_errors = 0 AND NOT known AND rn > 1) AS batch_duplicates,
+         count(*) FILTER (n_errors = 0 AND NOT known AND rn = 1) AS new_rows
+       FROM (SELECT *, CASE WHEN source_type IN ('paper', 'patent', 'database', 'preprint') THEN source_type ELSE 'other' END AS kind FROM batch_fate) y GROUP BY ROLLUP (kind)""",
 )
 def stream_stats(spark, sf):
+    """The counts of all triggers together."""
     folder = scratch(spark)
     rows = derived(spark, sf, "text_records")
-    rows.repartition(4).write.parquet(f"{folder}/in")
+    rows.repartitionByRange(4, "row_id").write.parquet(f"{folder}/in")
     stream = ingest.read_stream(spark, f"{folder}/in", rows.schema, files_per_trigger=2)
-    ingest.stream_stats(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").groupBy("source_type").agg(
-        *[F.sum(c).alias(c) for c in ("incoming", "valid", "invalid")]
-    )
+    run = ingest.ingest_records(stream, derived(spark, sf, "master"), f"{folder}/out", f"{folder}/state")
+    run.awaitTermination()
+    return ingest.trigger_stats(spark, run).groupBy("source_type").agg(*[F.sum(c).alias(c) for c in ingest.COUNTS])
 
 
 # --- cleaning plan ----------------------------------------------------------

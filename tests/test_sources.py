@@ -1,5 +1,7 @@
 """Parsers, landed documents, sinks and streaming."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,8 +80,10 @@ def test_supplement_limit_counts_parsed_files_only(spark):
     df = spark.createDataFrame(
         [(1, "https://x.org/", links)], "doc_id int, base_url string, hrefs array<struct<href:string,bytes:bigint,ok:boolean>>"
     )
-    got = documents.select_supplements(df).orderBy("pos").collect()
+    got = documents.select_supplements(df, keep=8).orderBy("pos").collect()
     assert [r.url for r in got] == [f"https://x.org/f{i}.csv" for i in range(0, 16, 2)]
+    every = documents.select_supplements(df).orderBy("pos").collect()
+    assert [r.url for r in every] == [f"https://x.org/f{i}.csv" for i in range(0, 20, 2)]
 
 
 def test_inverted_index_later_word_wins(spark):
@@ -168,15 +172,32 @@ def test_streaming_ingest_restarts_without_doubles(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     master = spark.createDataFrame([(DNA[0], "vegf")], "sequence string, target_protein string")
     schema = records(spark, [record(1, DNA[0], "VEGF")]).schema
+    stats, plans = [], []
 
-    def land(*rows):
-        records(spark, list(rows)).coalesce(1).write.mode("append").parquet(src)
+    def run():
         stream = ingest.read_stream(spark, src, schema, files_per_trigger=1)
-        ingest.ingest_records(stream, master, out, state).awaitTermination()
+        query = ingest.ingest_records(stream, master, out, state)
+        query.awaitTermination()
+        stats.extend(ingest.trigger_stats(spark, query).where("source_type = 'total'").collect())
+        plans.append(query._jsq.streamingQuery().explainInternal(False))
         return sorted(r.row_id for r in spark.read.parquet(out).collect())
 
-    assert land(record(1, DNA[0], "VEGF"), record(2, DNA[1], "VEGF"), record(3, DNA[1], "vegf"), record(4, "", "x")) == [2]
-    assert land(record(5, DNA[1], "VEGF"), record(6, DNA[2], "IgE")) == [2, 6]
+    def land(*rows):
+        records(spark, list(rows)).coalesce(1).write.mode("append").parquet(src)
+        return run()
+
+    assert land(record(1, DNA[0], "VEGF"), record(3, DNA[1], "vegf"), record(2, DNA[1], "VEGF"), record(4, "", "x")) == [2]
+    assert land(record(5, DNA[1], "VEGF"), record(6, DNA[2], "IgE"), record(8, DNA[2], "ige")) == [2, 6]
+    # a trigger whose commit is lost runs again, from the same state, into the same folder
+    for f in sorted(os.listdir(f"{state}/commits")):
+        if f.strip(".").startswith("1"):
+            os.remove(f"{state}/commits/{f}")
+    assert run() == [2, 6]
+    assert land(record(7, DNA[2], "IgE"), record(9, DNA[0] + "AC", "IgE")) == [2, 6, 9]
+    count = lambda r: (r.incoming, r.valid, r.invalid, r.known_duplicates, r.batch_duplicates, r.new_rows)
+    assert [(r.batch_id, count(r)) for r in stats] == [
+        (0, (4, 3, 1, 1, 1, 1)), (1, (3, 3, 0, 0, 2, 1)), (1, (3, 3, 0, 0, 2, 1)), (2, (2, 2, 0, 0, 1, 1))]
+    assert all("StateStoreSave" in p and out not in p for p in plans)  # the sink is not read
 
 
 def test_canonical_names_golden(spark):
