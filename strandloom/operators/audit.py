@@ -24,10 +24,12 @@ def label_conflicts(df: DataFrame) -> DataFrame:
     )
 
 
-def repair_leakage(df: DataFrame, seq: str = "aptamer_sequence") -> tuple[DataFrame, DataFrame]:
-    """(repaired, moved): val/test rows of a sequence in several splits go to train.
+def leakage_moves(df: DataFrame, seq: str = "aptamer_sequence") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(repaired, moved, targets): val/test rows of a sequence in several splits go to train.
 
-    ``moved`` has one row for each moved row and distinct train target of its sequence.
+    ``moved`` has each moved row once, with ``seq_up``; ``targets`` has the distinct train targets of
+    every such sequence.  Which row met which target is their join on ``seq_up``; it is not written out, as a sequence may
+    have many of both.
     """
     member = split_membership(df, seq)
     spread = sum(F.col(f"in_{s}").cast("int") for s in fv.SPLITS) >= 2
@@ -36,19 +38,24 @@ def repair_leakage(df: DataFrame, seq: str = "aptamer_sequence") -> tuple[DataFr
     tagged = skew.spread_join(keyed, leaky.withColumn("_leaky", F.lit(True)), ["seq_up"], "n")
     move = F.coalesce(F.col("_leaky"), F.lit(False)) & F.col("split").isin(*fv.HOLDOUT)
     repaired = tagged.withColumn("split", F.when(move, "train").otherwise(F.col("split")))
-    train_targets = (
+    targets = (
         keyed.where(F.col("split") == "train")
         .join(leaky.select("seq_up"), "seq_up", "left_semi")
         .select("seq_up", F.col("target_name").alias("train_target")).distinct()
     )
-    moved = tagged.where(move).join(train_targets, "seq_up", "left").select(
-        "row_id", F.col(seq), "target_name", F.col("split").alias("current_split"),
+    moved = tagged.where(move).select(
+        "seq_up", "row_id", F.col(seq), "target_name", F.col("split").alias("current_split"),
         F.lit("3_leakage").alias("phase"),
         F.concat(F.lit("same_seq_diff_target_leak_"), "split", F.lit("_moved_to_train"))
         .alias("reason"),
-        "train_target",
     )
-    return repaired.select(*df.columns), moved
+    return repaired.select(*df.columns), moved, targets
+
+
+def repair_leakage(df: DataFrame, seq: str = "aptamer_sequence") -> tuple[DataFrame, DataFrame]:
+    """(repaired, moved) of ``leakage_moves``, a row of ``moved`` for each distinct train target of its sequence."""
+    repaired, moved, targets = leakage_moves(df, seq)
+    return repaired, moved.join(targets, "seq_up", "left").drop("seq_up")
 
 
 def holdout_guard(df: DataFrame, seq: str = "aptamer_sequence") -> DataFrame:

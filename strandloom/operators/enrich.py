@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom import fixed_values as fv
 from strandloom.functions import names, sequence
@@ -106,8 +107,8 @@ def merge_scraped(df: DataFrame, master: DataFrame) -> DataFrame:
     return keyed.join(known, ["_s", "_t"], "left_anti").select(*first.columns)
 
 
-def curated_merge(cleaned: DataFrame, curated: DataFrame) -> DataFrame:
-    """Curated rows, aligned to the cleaned schema, that are not there yet."""
+def curated_new(curated: DataFrame, known: DataFrame, schema: T.StructType) -> DataFrame:
+    """Curated rows, aligned to the cleaned ``schema``, whose sequence and target ``known`` does not have."""
     fixed = {
         "split": F.lit("train"), "protein_sequence": F.lit(None).cast("string"),
         "label": F.lit(1), "training_tier": F.lit(2),
@@ -115,18 +116,23 @@ def curated_merge(cleaned: DataFrame, curated: DataFrame) -> DataFrame:
     aligned = curated.select(
         "row_id",
         *[
-            (fixed[n] if n in fixed else F.col(n).try_cast(cleaned.schema[n].dataType)
-             if n in curated.columns else F.lit(None).cast(cleaned.schema[n].dataType)).alias(n)
+            (fixed[n] if n in fixed else F.col(n).try_cast(schema[n].dataType)
+             if n in curated.columns else F.lit(None).cast(schema[n].dataType)).alias(n)
             for n in fv.CLEANED_COLUMNS
         ],
     )
-    known = cleaned.select(
+    keys = known.select(
         F.upper("aptamer_sequence").alias("_s"), F.lower("target_name").alias("_t")
     ).distinct()
     keyed = aligned.withColumn("_s", F.upper("aptamer_sequence")).withColumn(
         "_t", F.lower("target_name")
     )
-    new = skew.attach(keyed, known, ["_s", "_t"], how="anti").select(*aligned.columns)
+    return skew.attach(keyed, keys, ["_s", "_t"], how="anti").select(*aligned.columns)
+
+
+def curated_merge(cleaned: DataFrame, curated: DataFrame) -> DataFrame:
+    """Curated rows, aligned to the cleaned schema, that are not there yet."""
+    new = curated_new(curated, cleaned, cleaned.schema)
     return cleaned.unionByName(new, allowMissingColumns=True)
 
 

@@ -12,7 +12,8 @@ from strandloom.plans import clean as cleaning
 from strandloom.plans import harvest
 from strandloom.queries.derived import derived, table
 from strandloom.queries.registry import CHECKS, query, scratch
-from strandloom.queries.rows import _CLEAN_KIND, _CONFIDENCE, _SOURCE_ID
+from strandloom.queries.groups import _PRIORITY_COUNTS
+from strandloom.queries.rows import _CLEAN_KIND, _CONFIDENCE, _SOURCE_ID, _SOURCE_TYPE
 from strandloom.queries.scalars import _FAULT
 from strandloom.session import durable
 from strandloom.sources import documents, landed, sinks, tables
@@ -705,12 +706,80 @@ CHECKS["full_clean"] = """
   FROM full_typed q LEFT JOIN compound_ids c ON c.name = q.target_protein"""
 
 
-def _cleaned(spark, sf):
+def _cleaned(spark, sf, curated=False):
     return cleaning.clean(
-        derived(spark, sf, "legacy"), derived(spark, sf, "old_splits"), derived(spark, sf, "compound_ids")
+        derived(spark, sf, "legacy"), derived(spark, sf, "old_splits"), derived(spark, sf, "compound_ids"),
+        derived(spark, sf, "text_records") if curated else None,
     )
 
 
+CHECKS["full_donors"] = """
+  SELECT target_id, arg_min(protein_sequence, row_id) AS ps FROM full_clean WHERE length(protein_sequence) > 10 AND target_id IS NOT NULL GROUP BY 1"""
+CHECKS["full_out"] = f"""
+  SELECT 'legacy' AS origin, c.row_id, upper(c.sequence) AS aptamer_sequence, 'ssDNA' AS nucleic_acid_type, 'none' AS modifications, c.target_protein AS target_name,
+    c.target_type, c.target_id, c.split, {_SOURCE_TYPE} AS source_type, {_CONFIDENCE} AS confidence_score, coalesce(c.protein_sequence, f.ps) AS protein_sequence,
+    c.label, CAST(c.training_tier AS INTEGER) AS training_tier, c.Kd_nM AS kd_value
+  FROM full_clean c LEFT JOIN full_donors f ON f.target_id = c.target_id
+  UNION ALL SELECT 'curated', t.row_id, t.aptamer_sequence, t.nucleic_acid_type, t.modifications, t.target_name, t.target_type, t.target_id, 'train', t.source_type,
+    CASE WHEN t.nucleic_acid_type = 'ssDNA' AND NOT coalesce(regexp_full_match(upper(trim(t.aptamer_sequence)), '[ATGC]+'), false) THEN 'uncertain' ELSE t.confidence_score END,
+    f.ps, 1, 2, TRY_CAST(t.kd_value AS DOUBLE)
+  FROM text_records t LEFT JOIN full_donors f ON f.target_id = t.target_id
+  WHERE NOT EXISTS (SELECT 1 FROM full_clean c WHERE upper(c.sequence) = upper(t.aptamer_sequence) AND lower(c.target_protein) = lower(t.target_name))"""
+
+
+@query(
+    "clean_pipeline",
+    """SELECT row_id, aptamer_sequence, nucleic_acid_type, target_name, target_type, target_id, split, source_type, confidence_score, protein_sequence, label,
+         training_tier, kd_value FROM full_out""",
+)
+def clean_pipeline(spark, sf):
+    """All seven phases, with curated rows."""
+    return _cleaned(spark, sf, curated=True).rows.select(
+        "row_id", "aptamer_sequence", "nucleic_acid_type", "target_name", "target_type", "target_id", "split",
+        "source_type", "confidence_score", "protein_sequence", "label", "training_tier", "kd_value",
+    )
+
+
+def _issues(view: str) -> str:
+    """SQL of the export audit over a view of cleaned rows."""
+    words = lambda some: ", ".join("'" + x.replace("'", "''") + "'" for x in some)
+    parts = [f"""SELECT 'null:{c}' AS "check", count(*) AS n FROM {view} WHERE {c} IS NULL HAVING count(*) > 0""" for c in fv.REQUIRED]
+    dna = f"FROM {view} WHERE nucleic_acid_type = 'ssDNA' AND"
+    parts += [
+        f"SELECT 'charset', count(*) {dna} NOT coalesce(regexp_full_match(upper(trim(aptamer_sequence)), '[ATGC]+'), false) HAVING count(*) > 0",
+        f"SELECT 'too_short', count(*) {dna} length(aptamer_sequence) < 20 HAVING count(*) > 0",
+        f"SELECT 'too_long', count(*) {dna} length(aptamer_sequence) > 120 HAVING count(*) > 0",
+    ]
+    parts += [f"SELECT 'vocabulary:{c}', count(*) FROM {view} WHERE {c} NOT IN ({words(some)}) HAVING count(*) > 0"
+              for c, some in fv.CLEANED_VOCABULARY.items()]
+    parts += [f"""SELECT 'share_below_5pct:{s}', n FROM (SELECT floor(1000.0 * count(*) FILTER (split = '{s}')
+                 / count(*) FILTER (split IN ('train','val','test')))::BIGINT AS n FROM {view}) v WHERE n < 50""" for s in ("val", "test")]
+    member = f"""(SELECT upper(aptamer_sequence) AS s, bool_or(split = 'train') AS train, bool_or(split = 'val') AS val, bool_or(split = 'test') AS test FROM {view} GROUP BY 1) m"""
+    parts += [f"SELECT 'overlap:{a}_{b}', count(*) FROM {member} WHERE {a} AND {b} AND s IS NOT NULL HAVING count(*) > 0"
+              for a, b in (("train", "val"), ("train", "test"), ("val", "test"))]
+    return " UNION ALL ".join(parts)
+
+
+@query("clean_checks", _issues("full_out"))
+def clean_checks(spark, sf):
+    """The audit of the cleaned rows (phase 7)."""
+    return _cleaned(spark, sf, curated=True).checks
+
+
+@query(
+    "clean_coverage",
+    f"""SELECT priority, total, train_rows, val_rows, test_rows, unassigned_rows, train_kd, val_kd, test_kd,
+         CASE WHEN total = 0 THEN 'absent' WHEN val_rows = 0 AND test_rows = 0 THEN 'no val or test rows' ELSE '' END AS warning
+       FROM (SELECT p.name AS priority, {_PRIORITY_COUNTS}, count(kd_value) FILTER (split = 'train') AS train_kd, count(kd_value) FILTER (split = 'val') AS val_kd,
+               count(kd_value) FILTER (split = 'test') AS test_kd
+             FROM (VALUES ('Insulin','\\binsulin\\b'),('Myoglobin','\\bmyoglobin\\b'),('Troponin','\\btroponin\\b'), ('NT-proBNP','nt.?probnp|pro.?bnp'),('Albumin','\\balbumin\\b')) p(name, pat)
+             LEFT JOIN (SELECT row_id, target_protein, old_split AS split, Kd_nM AS kd_value FROM full_kept) r ON regexp_matches(r.target_protein, p.pat, 'i') GROUP BY 1) x""",
+)
+def clean_coverage(spark, sf):
+    """Priority targets per split before the repair (phase 2)."""
+    return _cleaned(spark, sf).coverage
+
+
 @query(
     "clean_phases",
     f"""SELECT row_id, upper(sequence) AS aptamer_sequence, target_type, c.target_id, split, {_SOURCE_ID} AS source_doi, {_CONFIDENCE} AS confidence_score,

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.queries.derived import SHARED, needed, with_clause
+from strandloom.session import scratch  # noqa: F401  for the query modules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,14 +36,3 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
 
     return register
 
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder for a query that has to write: shared on a cluster."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/strandloom-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/t"

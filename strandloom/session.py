@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,25 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a step that has to write: shared on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/strandloom-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/t"
+
+
+def bucketed(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Write ``df`` in buckets of ``key`` and read it back: joins and groupings on the key need no shuffle.
+
+    All tables of a session have the same number of buckets, that of its shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"strandloom_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", scratch(spark)).saveAsTable(name)
+    return spark.table(name)
