@@ -12,27 +12,31 @@ from strandloom.operators import mapping, skew
 from strandloom.functions.space import strip
 
 
-def interaction_pairs(aptamers: DataFrame, interactions: DataFrame) -> DataFrame:
+def interaction_pairs(aptamers: DataFrame, interactions: DataFrame, block: int = skew.BLOCK_ROWS) -> DataFrame:
     """Aptamer-target pairs of every interaction with the aptamer's attributes.
 
     aptamers: id, label, sequence, has_modification_details
     interactions: int, has_participant, participant_label, dissociation_constant_value
+
+    An interaction pairs each of its aptamers with each of its targets.  Equal rows are collapsed before they meet and
+    repeated afterwards, and an interaction of very many rows is cut in blocks (``skew.block_join``).
     """
     ids = aptamers.select(F.col("id").alias("has_participant")).distinct()
-    left = interactions.join(ids, "has_participant", "left_semi").select(
+    left = interactions.join(ids, "has_participant", "left_semi").groupBy(
         "int", F.col("has_participant").alias("aptamer_uri"),
         F.col("dissociation_constant_value").alias("kd_molar"),
-    )
-    right = interactions.join(ids, "has_participant", "left_anti").select(
+    ).agg(F.count(F.lit(1)).alias("_na"))
+    right = interactions.join(ids, "has_participant", "left_anti").groupBy(
         "int", F.col("participant_label").alias("target_name")
-    )
-    return (
-        left.join(right, "int")
-        .join(aptamers.withColumnRenamed("id", "aptamer_uri"), "aptamer_uri", "left")
-        .withColumn("pmid", names.pmid_prefix(F.col("label")))
-        .withColumn("sequence_clean", sequence.clean_sequence(F.col("sequence")))
-        .where(F.col("sequence_clean").isNotNull())
-        .drop("sequence")
+    ).agg(F.count(F.lit(1)).alias("_nb"))
+    described = aptamers.withColumnRenamed("id", "aptamer_uri").withColumn(
+        "sequence_clean", sequence.clean_sequence(F.col("sequence"))
+    ).where(F.col("sequence_clean").isNotNull()).drop("sequence")
+    met = skew.block_join(left, right, ["int"], block)
+    copies = F.when(F.col("_na") * F.col("_nb") > 1, F.sequence(F.lit(1), F.col("_na") * F.col("_nb"))).otherwise(F.array(F.lit(1)))
+    out = met.withColumn("_copy", F.explode(copies)).drop("_copy", "_na", "_nb")
+    return out.select("aptamer_uri", "int", "kd_molar", "target_name").join(described, "aptamer_uri").withColumn(
+        "pmid", names.pmid_prefix(F.col("label"))
     )
 
 

@@ -6,6 +6,7 @@
   rows are few by counting (at most ``max_hot`` are taken, so the broadcast is
   bounded); they are joined by broadcast and their rows are spread evenly over
   the shuffle.  Every other key has fewer rows than the ``max_hot``-th largest.
+* ``block_join`` joins two tables of which a key may hold very many rows in both.
 * ``global_rank`` and ``running_totals`` give a total order without a
   single-partition window: range partitions, local ranks, then one offset per
   partition.
@@ -22,6 +23,7 @@ from strandloom.session import durable
 
 HOT_ROWS = 1_000_000
 MAX_HOT = 10_000
+BLOCK_ROWS = 100_000
 
 
 def keep_first(
@@ -133,6 +135,40 @@ def spread_join(
     return joined.select(*facts.columns, *[F.col("_a")[c].alias(c) for c in attributes])
 
 
+def block_join(
+    a: DataFrame, b: DataFrame, on: Sequence[str], block: int = BLOCK_ROWS, max_hot: int = MAX_HOT
+) -> DataFrame:
+    """Inner join in which a key may hold very many rows on both sides.
+
+    A key with m and n rows is cut in ceil(m / block) times ceil(n / block) cells.  A row goes to one block of its
+    own side, by a hash of all its columns, and is repeated for the blocks of the other side, so a cell joins about ``block``
+    with ``block`` rows and cells are spread over the shuffle.  Keys of up to ``block`` rows on both sides are one cell: their
+    rows are not repeated.  Equal rows share a block; collapse them first if there may be very many.  NULL keys meet nothing.
+    """
+    on = list(on)
+    mine = [c for c in a.columns if c not in on]
+    theirs = [c for c in b.columns if c not in on]
+    sizes = (
+        a.select(*on, F.lit(1).alias("_m"), F.lit(0).alias("_n"))
+        .unionByName(b.select(*on, F.lit(0).alias("_m"), F.lit(1).alias("_n")))
+        .groupBy(*on).agg(F.sum("_m").alias("_m"), F.sum("_n").alias("_n"))
+        .where((F.greatest("_m", "_n") > block) & (F.least("_m", "_n") > 0))
+    )
+    cuts = durable(sizes.select(
+        *on, (F.col("_m") + F.col("_n")).alias("_size"),
+        F.ceil(F.col("_m") / block).cast("int").alias("_ga"), F.ceil(F.col("_n") / block).cast("int").alias("_gb"),
+    ))
+
+    def cells(df: DataFrame, own: str, other: str, first: bool) -> DataFrame:
+        cut = spread_join(df, cuts, on, "_size", hot_rows=block, max_hot=max_hot)
+        at = F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        pick = [at.alias("_i"), every.alias("_j")] if first else [at.alias("_j"), every.alias("_i")]
+        return cut.select(*df.columns, *pick)
+
+    return cells(a, "_ga", "_gb", True).join(cells(b, "_gb", "_ga", False), [*on, "_i", "_j"]).select(*on, *mine, *theirs)
+
+
 def attach(
     facts: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left"
 ) -> DataFrame:

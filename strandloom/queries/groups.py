@@ -215,11 +215,20 @@ def pair_split_matrix(spark, sf):
     return neardupe.pair_matrix(*_near(spark, sf))
 
 
-@query("verify_no_cross", "SELECT count(*) FILTER (cross_split) AS cross_pairs FROM near_cross")
-def verify_no_cross(spark, sf):
+@query("cross_pairs_left", "SELECT count(*) FILTER (cross_split) AS cross_pairs FROM near_cross")
+def cross_pairs_left(spark, sf):
     return neardupe.cross_left(*_near(spark, sf))
 
 
+@query(
+    "near_dupe_members",
+    """SELECT aptamer_sequence AS seq, split, label, count(*) AS n FROM recs
+       WHERE aptamer_sequence IN (SELECT seq_a FROM near UNION SELECT seq_b FROM near) GROUP BY ALL""",
+)
+def near_dupe_members(spark, sf):
+    return neardupe.near_dupe_members(*_near(spark, sf))
+
+
 # --- components and splits --------------------------------------------------
 
 CHECKS["both_ways"] = "SELECT seq_a AS x, seq_b AS y FROM near UNION ALL SELECT seq_b, seq_a FROM near"
@@ -311,6 +320,18 @@ def convergence_pass(spark, sf):
     return splits.assign_splits(df, near).select("row_id", "split")
 
 
+@query(
+    "verify_no_cross",
+    """SELECT count(*) FILTER ((a.split IN ('val','test') OR b.split IN ('val','test')) AND a.split <> b.split) AS cross_pairs
+       FROM near JOIN step6 a ON a.seq = seq_a JOIN step6 b ON b.seq = seq_b""",
+    recursive=True,
+)
+def verify_no_cross(spark, sf):
+    """Fails unless the assigned splits keep near-duplicates together."""
+    df, near = _near(spark, sf)
+    return neardupe.verify_no_cross(splits.durable(splits.assign_splits(df, near)), near)
+
+
 @query(
     "family_split",
     """SELECT row_id, CASE WHEN p <= greatest(1, floor(n * 0.7)) THEN 'train' WHEN p <= greatest(1, floor(n * 0.7)) + greatest(1, floor(n * 0.15)) THEN 'val' ELSE 'test' END AS family_split

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import dedup, graph, metrics, neardupe, sampling, skew, splits
+from strandloom.operators import dedup, enrich, graph, metrics, neardupe, sampling, skew, splits
 
 
 def lev(a, b):
@@ -238,3 +238,61 @@ def test_balanced_sample_is_exact_and_balanced(spark):
 def test_p_value():
     assert metrics.pearson_p_value(0.5, 12) == pytest.approx(0.0979, abs=2e-4)
     assert metrics.pearson_p_value(0.0, 30) == pytest.approx(1.0)
+
+
+# --- keys that hold a third of the rows on both sides -----------------------------
+
+
+def test_block_join_equals_a_plain_join(spark):
+    rng = random.Random(4)
+    key = lambda: rng.choice(["hot", "hot", None, *"abcdefgh"])
+    a = spark.createDataFrame([(key(), i) for i in range(300)], "k string, x int")
+    b = spark.createDataFrame([(key(), i, "y") for i in range(200)], "k string, z int, y string")
+    got = skew.block_join(a, b, ["k"], block=7)
+    assert got.columns == ["k", "x", "z", "y"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, a.join(b, "k").collect()))
+    assert skew.block_join(a, b.limit(0), ["k"]).count() == 0
+
+
+def test_interactions_with_a_hot_one(spark):
+    rng = random.Random(5)
+    aptamers = [(f"a{i}", f"{i}-x", "ACGT" if i % 5 else None, None) for i in range(40)]
+    rows = []
+    for _ in range(400):
+        i = rng.choice(["hot", "hot", None, *range(20)])
+        who = rng.choice([f"a{rng.randrange(40)}", f"t{rng.randrange(9)}"])
+        rows.append((None if i is None else str(i), who, f"target {who}", rng.choice([None, 1.0])))
+    got = enrich.interaction_pairs(
+        spark.createDataFrame(aptamers, "id string, label string, sequence string, has_modification_details string"),
+        spark.createDataFrame(rows, "int string, has_participant string, participant_label string, dissociation_constant_value double"),
+        block=10,
+    ).select("int", "aptamer_uri", "target_name", "kd_molar", "pmid", "sequence_clean").collect()
+    seq = {a[0]: a[2] for a in aptamers}
+    want = [(i, p, label, kd, p[1:], "ACGT") for i, p, _, kd in rows for j, q, label, _ in rows
+            if i is not None and i == j and seq.get(p) and q[0] == "t"]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_row_pairs_of_a_hot_sequence(spark):
+    rng = random.Random(6)
+    seqs = family(rng, 12, 20, 24)
+    hot = seqs[0]
+    rows = [(i, hot if i % 3 == 0 else rng.choice(seqs), f"t{i % 4}", i % 2, rng.choice(["train", "val", None])) for i in range(240)]
+    df = spark.createDataFrame(rows, "row_id bigint, aptamer_sequence string, target_name string, label int, split string")
+    pairs = neardupe.near_dupe_sequences(df)
+    got = neardupe.near_dupe_pairs(df, pairs, block=9).select("idx_a", "idx_b", "levenshtein_dist").collect()
+    want = [(a[0], b[0], lev(a[1], b[1])) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and lev(a[1], b[1]) <= 2]
+    assert sorted(map(tuple, got)) == sorted(want)
+    members = neardupe.near_dupe_members(df, pairs).collect()
+    linked = {x for p in pairs.collect() for x in p[:2]}
+    assert sum(r.n for r in members) == sum(r[1] in linked for r in rows)
+
+
+def test_border_check_fails_inside_the_plan(spark):
+    df = spark.createDataFrame(
+        [(1, "ACGTACGTACGTACGTACGT", "train"), (2, "ACGTACGTACGTACGTACGA", "test")], "row_id bigint, aptamer_sequence string, split string")
+    pairs = neardupe.near_dupe_sequences(df)
+    with pytest.raises(Exception, match="1 near-duplicate row pairs cross"):
+        neardupe.verify_no_cross(df, pairs).collect()
+    mended = df.withColumn("split", F.lit("test"))
+    assert neardupe.verify_no_cross(mended, pairs).first().cross_pairs == 0
