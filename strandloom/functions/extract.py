@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandloom import fixed_values as fv
 from strandloom import schemas
 from strandloom.functions import measure, sequence, text
-from strandloom.functions.bind import bind
+from strandloom.functions.bind import bind, once
 from strandloom.functions.space import strip
 
 
@@ -178,6 +178,11 @@ def extract_sequences(c: Column, valid_only: bool = True, faithful: bool = False
     ``faithful=True`` lets a 5'-…-3' string without U count as RNA.
     """
     found = (_find_sequences_faithful if faithful else _find_sequences)(c)
+    return sequences_from(found, c, valid_only)
+
+
+def sequences_from(found: Column, c: Column, valid_only: bool = True) -> Column:
+    """Spans that Python found in the text ``c`` as sequences."""
     packed = F.transform(
         found,
         lambda h: F.struct(
@@ -235,10 +240,33 @@ def _find_affinities(bodies: pd.Series) -> pd.Series:
     )
 
 
+@F.pandas_udf(schemas.RAW_HITS)
+def _find_hits(bodies: pd.Series) -> pd.DataFrame:
+    keys = ("measure_type", "value_nM", "original_value", "original_unit", "start", "end")
+    return pd.DataFrame({
+        "sequences": _raw_sequences(bodies, False),
+        "affinities": bodies.map(lambda b: [dict(zip(keys, hit)) for hit in _affinities(b)] if isinstance(b, str) else []),
+    })
+
+
+def with_hits(df: DataFrame, column: str = "text", name: str = "hits") -> DataFrame:
+    """Add the raw sequences and affinities of a text, found in one pass of one Arrow batch.
+
+    ``sequences_from`` and ``affinities_from`` make them up; the column stands behind a
+    generator, so no filter or projection above evaluates Python again.
+    """
+    return once(df, name, _find_hits(F.col(column)))
+
+
 def extract_kd(c: Column, deduplicate: bool = True) -> Column:
     """All affinities of a text as array<struct>; the unit stored is canonical."""
+    return affinities_from(_find_affinities(c), c, deduplicate)
+
+
+def affinities_from(raw: Column, c: Column, deduplicate: bool = True) -> Column:
+    """Spans that Python found in the text ``c`` as affinities."""
     found = F.transform(
-        _find_affinities(c),
+        raw,
         lambda h: h.withField(
             "canonical_unit",
             F.coalesce(measure.canonical_unit(h["original_unit"]), F.lit("nM")),

@@ -146,6 +146,18 @@ _SENTENCES = f"""
     '. The sequence is 5''-', s, '-3'' here.') AS text, nm AS target_name, s AS planted
   FROM base_orders"""
 
+# every form in which a text may name a sequence, one for each document
+_PIECES = ", ".join(
+    f"CASE WHEN LENGTH(SUBSTR(s,{k},10)) = 10 THEN SUBSTR(s,{k},10) END" for k in range(1, 120, 10)
+)
+_FORMS = f"""
+  SELECT id AS doc_id, nm AS target_name, s, CAST(id % 5 AS INT) AS form, CASE WHEN id % 5 = 3 THEN SUBSTR(s, 1, CAST(LENGTH(s) - LENGTH(s) % 10 AS INT))
+      WHEN id % 5 IN (1, 4) THEN TRANSLATE(s, 'T', 'U') ELSE s END AS planted,
+    CONCAT('A study. ', CASE id % 5 WHEN 0 THEN CONCAT('It is 5''-', s, '-3'' here')
+      WHEN 1 THEN CONCAT('It is 5''-', TRANSLATE(s, 'T', 'U'), '-3'' here') WHEN 2 THEN CONCAT('Clone 7 (', s, ') was found')
+      WHEN 3 THEN CONCAT('Clone 8: ', CONCAT_WS(' ', {_PIECES}), ' was kept') ELSE CONCAT('Clone 9, ', TRANSLATE(s, 'T', 'U'), ', was seen') END, '.') AS text
+  FROM base_orders"""
+
 # shared text: name -> SQL with @table@ for shared tables
 SHARED = {
     "base_orders": _base("orders", "o_orderkey", "o_totalprice"),
@@ -155,6 +167,7 @@ SHARED = {
     "legacy": _LEGACY,
     "text_records": _TEXT_RECORDS,
     "sentences": _SENTENCES,
+    "forms": _FORMS,
     # an older assignment: lower-case sequences, some rows augmented
     "old_splits": """
   SELECT CASE WHEN row_id % 3 < 2 THEN LOWER(aptamer_sequence) ELSE LOWER(aptamer_sequence) || 'ac' END AS sequence,

@@ -478,6 +478,36 @@ def extract_sequences(spark, sf):
     )
 
 
+_AS_DNA = _FAULT.replace("AUGC", "ATGC").replace("U{9,}", "T{9,}")
+CHECKS["form_hits"] = f"""
+  SELECT doc_id, target_name, s AS sequence, CASE WHEN rna THEN 'ssRNA' ELSE 'ssDNA' END AS nucleic_acid_type,
+    CASE form WHEN 0 THEN 'prime' WHEN 1 THEN CASE WHEN rna THEN 'rna_prime' ELSE 'prime' END WHEN 2 THEN 'primary' WHEN 3 THEN 'spaced'
+      ELSE CASE WHEN rna THEN 'rna' ELSE 'primary' END END AS pattern, CASE WHEN rna THEN {_FAULT} ELSE {_AS_DNA} END AS fault
+  FROM (SELECT doc_id, target_name, form, planted AS s, contains(planted, 'U') AS rna, length(regexp_replace(planted, '[^GC]', '', 'g')) / length(planted) AS gc FROM forms) x"""
+
+
+@query(
+    "extract_sequence_forms",
+    "SELECT doc_id, sequence, pattern, nucleic_acid_type, fault = '' AS valid, fault AS fail_reason FROM form_hits",
+)
+def extract_sequence_forms(spark, sf):
+    """All five forms of a sequence."""
+    hits = extract.extract_sequences(F.col("text"), valid_only=False)
+    return derived(spark, sf, "forms").select("doc_id", F.explode(hits).alias("h")).select(
+        "doc_id", "h.sequence", "h.pattern", "h.nucleic_acid_type", "h.valid", "h.fail_reason"
+    )
+
+
+@query(
+    "records_from_forms",
+    "SELECT doc_id, sequence AS aptamer_sequence, nucleic_acid_type, pattern AS extraction_method FROM form_hits WHERE fault = ''",
+)
+def records_from_forms(spark, sf):
+    docs = derived(spark, sf, "forms").select(
+        "doc_id", "text", "target_name", F.lit("https://x/").alias("url"), F.lit("10.9/1").alias("doi"), F.lit("paper").alias("source_type"))
+    return harvest.records_from_text(docs).select("doc_id", "aptamer_sequence", "nucleic_acid_type", "extraction_method")
+
+
 def _group(pattern, n):
     return f"regexp_extract(text, '{pattern}', {n}, 'i')"
 
@@ -599,22 +629,27 @@ def table_column_scores(spark, sf):
 
 
 CHECKS["doc_text"] = """
-  SELECT p.doc_id, p.sequence, p.fault, a.value_nm FROM planted p LEFT JOIN affinities a ON a.doc_id = p.doc_id WHERE p.doc_id IN (SELECT doc_id FROM table_cells)"""
+  SELECT p.doc_id, p.sequence, p.fault, a.value_nm FROM planted p LEFT JOIN affinities a ON a.doc_id = p.doc_id"""
 
 
 def _with_text(spark, sf):
+    """All documents: with tables, with a text, or with both."""
     texts = derived(spark, sf, "sentences").select("doc_id", "text")
-    return _tabled(spark, sf).join(texts, "doc_id")
+    full = _tabled(spark, sf).join(texts, "doc_id", "full")
+    known = {"url": F.concat(F.lit("https://t/"), "doc_id"), "doi": F.lit("10.8/1"), "source_type": F.lit("paper"), "target_name": F.lit("Thrombin")}
+    return full.withColumns({c: F.coalesce(c, v) for c, v in known.items()})
 
 
 @query(
     "document_records",
     """SELECT doc_id, sequence AS aptamer_sequence, kd AS kd_value, 'table' AS origin FROM cell_best
-       UNION ALL SELECT d.doc_id, d.sequence, d.value_nm, 'text' FROM doc_text d WHERE fault = '' AND NOT EXISTS (SELECT 1 FROM cell_best c WHERE c.doc_id = d.doc_id AND c.sequence = d.sequence)""",
+       UNION ALL SELECT d.doc_id, d.sequence, d.value_nm, 'text' FROM doc_text d WHERE fault = '' AND NOT EXISTS (SELECT 1 FROM cell_best c WHERE c.doc_id = d.doc_id AND c.sequence = d.sequence)
+       UNION ALL SELECT f.doc_id, f.sequence, NULL, 'text' FROM form_hits f WHERE fault = '' AND (f.doc_id IN (SELECT doc_id FROM sentences) OR f.doc_id IN (SELECT doc_id FROM table_cells))""",
 )
 def document_records(spark, sf):
+    """Tables, text and supplements of every document; the documents of the sequence forms stand for supplements."""
     origin = F.when(F.col("extraction_method").startswith("table:"), "table").otherwise("text")
-    return harvest.document_records(_with_text(spark, sf)).select(
+    return harvest.document_records(_with_text(spark, sf), derived(spark, sf, "forms")).select(
         "doc_id", "aptamer_sequence", F.round("kd_value", 6).alias("kd_value"), origin.alias("origin")
     )
 

@@ -75,6 +75,9 @@ RAW_AFFINITIES = _hits(
     ("measure_type", _TEXT), ("value_nM", _REAL), ("original_value", _REAL),
     ("original_unit", _TEXT), ("start", _INT), ("end", _INT),
 )
+RAW_HITS = T.StructType(
+    [T.StructField("sequences", RAW_SEQUENCES), T.StructField("affinities", RAW_AFFINITIES)]
+)
 PAGE = T.StructType(
     [
         T.StructField("title", _TEXT), T.StructField("raw", _TEXT),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
+from strandloom.functions.bind import bind
 from strandloom import schemas
 from strandloom.functions import text
 from strandloom.functions.space import strip
@@ -317,29 +318,32 @@ def file_extension(url: Column) -> Column:
 
 
 def _links(df: DataFrame, hrefs: str, base: str, keep: int | None, max_bytes: int | None) -> DataFrame:
-    """Every link with pos (among the usable ones), url, ext and the reason why it is refused, if it is."""
-    known = file_extension(F.col("_h.href")).isin(*fv.SUPPLEMENT_KEEP)
-    reason = F.when(~known, "extension").when(~F.coalesce(F.col("_h.ok"), F.lit(True)), "unreadable")
-    if max_bytes is not None:
-        reason = reason.when(F.coalesce(F.col("_h.bytes"), F.lit(0)) > max_bytes, "size")
-    rest = [c for c in df.columns if c != hrefs]
-    links = df.select(*rest, F.col(hrefs).alias("_all"), F.posexplode(hrefs).alias("_i", "_h")).withColumn(
-        "reason", reason
-    )
-    # usable links before this one, counted inside the row: no shuffle
-    small = F.lit(True) if max_bytes is None else None
+    """Every link with pos (among the usable ones), url, ext and the reason why it is refused, if it is.
 
-    def usable(h):
-        fits = small if small is not None else F.coalesce(h["bytes"], F.lit(0)) <= max_bytes
-        return file_extension(h["href"]).isin(*fv.SUPPLEMENT_KEEP) & F.coalesce(h["ok"], F.lit(True)) & fits
+    Usable links are filtered first, so their place in that array is their number: one pass over the links of a row.
+    """
+    def judged(h):
+        known = file_extension(h["href"]).isin(*fv.SUPPLEMENT_KEEP)
+        reason = F.when(~known, "extension").when(~F.coalesce(h["ok"], F.lit(True)), "unreadable")
+        if max_bytes is not None:
+            reason = reason.when(F.coalesce(h["bytes"], F.lit(0)) > max_bytes, "size")
+        return F.struct(h["href"].alias("href"), reason.alias("reason"))
+
+    def numbered(links):
+        late = (lambda i: F.lit(None).cast("string")) if keep is None else (lambda i: F.when(i >= keep, "limit"))
+        good = F.filter(links, lambda h: h["reason"].isNull())
+        bad = F.filter(links, lambda h: h["reason"].isNotNull())
+        entry = lambda pos, h, reason: F.struct(pos.alias("pos"), h["href"].alias("href"), reason.alias("reason"))
+        return F.concat(
+            F.transform(good, lambda h, i: entry(i, h, late(i))),
+            F.transform(bad, lambda h: entry(F.lit(None).cast("int"), h, h["reason"])),
+        )
 
-    pos = F.size(F.filter("_all", lambda h, i: (i < F.col("_i")) & usable(h)))
-    links = links.withColumn("pos", F.when(F.col("reason").isNull(), pos))
-    if keep is not None:
-        links = links.withColumn("reason", F.when(F.col("pos") >= keep, "limit").otherwise(F.col("reason")))
+    rest = [c for c in df.columns if c != hrefs]
+    links = df.select(*rest, F.explode(bind(F.transform(hrefs, judged), numbered)).alias("_h"))
     return links.select(
-        *rest, "pos", resolve_url(F.col("_h.href"), F.col(base)).alias("url"),
-        file_extension(F.col("_h.href")).alias("ext"), "reason",
+        *rest, F.col("_h.pos").alias("pos"), resolve_url(F.col("_h.href"), F.col(base)).alias("url"),
+        file_extension(F.col("_h.href")).alias("ext"), F.col("_h.reason").alias("reason"),
     )
 
 
