@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,13 +206,22 @@ def resolve_override(df: DataFrame, overrides: DataFrame, proteins: DataFrame) -
         overrides.where(F.col("accession").isNotNull())
         .select(names.name_key(F.col("name")).alias("_key"), strip("accession").alias("accession")),
         [F.col("_key")], order=("accession",),
-    ).join(proteins.select("accession", F.col("protein_sequence").alias("found_sequence")), "accession")
+    )
+    table = skew.attach(
+        table, proteins.select("accession", F.col("protein_sequence").alias("found_sequence")), ["accession"], how="inner"
+    )
     keyed = df.withColumn("_key", names.name_key(F.col("target_name")))
     return skew.attach(keyed, table, ["_key"]).drop("_key")
 
 
+def _word_bits(words: Column) -> Column:
+    """A word set in 64 bits; a word of the set has its bit."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(bit(w)))
+
+
 def resolve_names(
-    targets: DataFrame, proteins: DataFrame, overrides: DataFrame | None = None
+    targets: DataFrame, proteins: DataFrame, overrides: DataFrame | None = None, block: int = skew.BLOCK_ROWS
 ) -> DataFrame:
     """Best protein of every distinct target name, strategies in order.
 
@@ -222,7 +231,8 @@ def resolve_names(
     proteins: accession, protein_name, is_human, protein_sequence.  Candidate
     pairs for the fuzzy step only meet on the rarest query words: of n words at
     least ceil(0.8 n) must be shared, so one of the n - ceil(0.8 n) + 1 rarest
-    has to be, and only those are joined.
+    has to be, and only those are joined.  A word of very many names meets in blocks; names with too few words,
+    or without the bits of enough query words, go before the words are compared.  An accession that was landed twice is one.
     """
     wanted = targets.select("target_name").where(F.col("target_name").isNotNull()).distinct()
     lower = wanted.withColumn("_key", names.name_key(F.col("target_name")))
@@ -248,7 +258,8 @@ def resolve_names(
     words = proteins.select(
         "accession", "is_human", names.word_set(F.col("protein_name")).alias("_r")
     )
-    posting = words.select("accession", "is_human", "_r", F.explode("_r").alias("word"))
+    words = words.distinct().withColumn("_rb", _word_bits(F.col("_r")))
+    posting = words.select("accession", "is_human", "_r", "_rb", F.explode("_r").alias("word"))
     frequency = posting.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
     asked = query.select("target_name", "_q", F.explode("_q").alias("word")).join(
         frequency, "word", "left"
@@ -261,12 +272,14 @@ def resolve_names(
         ).alias("_w")
     )
     probe = ranked.select(
-        "target_name", "_q",
+        "target_name", "_q", need.cast("int").alias("_need"), _word_bits(F.col("_q")).alias("_qb"),
         F.explode(F.slice("_w", 1, (F.size("_q") - need + 1).cast("int"))).alias("_p"),
-    ).select("target_name", "_q", F.col("_p.word").alias("word"))
+    ).select("target_name", "_q", "_need", "_qb", F.col("_p.word").alias("word"))
     score = F.size(F.array_intersect("_q", "_r")) / F.size("_q")
+    missing = F.bit_count(F.col("_qb").bitwiseAND(F.bitwise_not("_rb")))  # at least so many words of the query
     fuzzy = (
-        probe.join(posting, "word")
+        skew.block_join(probe, posting, ["word"], block)
+        .where((F.size("_r") >= F.col("_need")) & (missing <= F.size("_q") - F.col("_need")))
         .select(
             "target_name", "accession", F.when(F.col("is_human"), 3).otherwise(4).alias("strategy"),
             score.alias("score"),
@@ -288,7 +301,7 @@ def resolve_names(
             F.col("_o.strategy").alias("strategy"), (-F.col("_o.s")).alias("score"),
         )
     )
-    return best.join(proteins.select("accession", "protein_sequence"), "accession")
+    return skew.attach(best, proteins.select("accession", "protein_sequence"), ["accession"], how="inner")
 
 
 def resolve_compounds(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,8 @@
 
 import re
 
-from strandloom.plans import clean
+from strandloom import schemas
+from strandloom.plans import clean, harvest
 from strandloom.queries.derived import derived
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,36 @@ def test_curated_rows_take_proteins_by_id(spark):
     assert [(r.row_id, r.removal_reason) for r in done.removed.collect()] == [(3, "non_ssDNA_type")]
     assert {r.check for r in done.checks.collect()} >= {"null:target_name", "charset"}
     assert {r.priority: r.warning for r in done.coverage.collect()}["Insulin"] == "no val or test rows"
+
+
+def documents(spark, rows):
+    cell = "struct<label:string,caption:string,rows:array<array<string>>>"
+    return spark.createDataFrame(
+        rows, f"doc_id int, text string, target_name string, url string, doi string, source_type string, tables array<{cell}>")
+
+
+DNA = ["GGTTGGTGTGGTTGGACGTA", "CCAACCTTGGAACCTTGGAC", "ATGCATGCATGCATGCATGCATGC"]
+
+
+def test_documents_landed_twice_and_without_tables(spark):
+    table = ("T1", "", [["Sequence", "Kd (nM)"], [DNA[0], "5"], [DNA[0], ""]])
+    full = (1, f"Kd = 7 nM. We saw 5'-{DNA[0]}-3' and 5'-{DNA[1]}-3'.", "VEGF", "u1", "d1", "paper", [table])
+    plain = (2, f"Kd = 9 nM for 5'-{DNA[0]}-3'.", "IgE", "u2", "d2", "patent", None)
+    bare = (3, None, "IgG", "u3", "d3", "paper", [table, ("T2", "", [["a"]])])
+    more = spark.createDataFrame([(2, f"5'-{DNA[2]}-3'"), (2, f"5'-{DNA[0]}-3'"), (9, f"5'-{DNA[2]}-3'")], "doc_id int, text string")
+    docs = documents(spark, [full, full, plain, bare, plain])
+    rows = harvest.document_records(docs, more).collect()
+    got = {(r.doc_id, r.aptamer_sequence, r.kd_value, r.source_doi, r.extraction_method.split(":")[0]) for r in rows}
+    assert got == {
+        (1, DNA[0], 5.0, "d1", "table"), (1, DNA[1], 7.0, "d1", "prime"), (2, DNA[0], 9.0, "d2", "prime"), (3, DNA[0], 5.0, "d3", "table"),
+        (2, DNA[2], None, "d2", "prime"), (2, DNA[0], None, "d2", "prime")}
+    assert len(rows) == 6
+    assert harvest.records_from_tables(docs.withColumn("fallback_target", docs.target_name)).count() == 2
+
+
+def test_python_runs_once_for_each_kind_of_text(spark):
+    docs = documents(spark, [])
+    nodes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    assert nodes(harvest.records_from_text(docs)) == 1
+    assert nodes(harvest.document_records(docs)) == 2
+    assert schemas.RAW_HITS.names == ["sequences", "affinities"]

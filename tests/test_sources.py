@@ -226,8 +226,9 @@ def test_resolve_names_order(spark):
         [("vegf",), ("Human serum albumin",), ("the thrombin light chain beta",), ("Odd one",), ("nothing",)], "target_name string"
     )
     overrides = spark.createDataFrame([("odd one", "A4")], "name string, accession string")
-    got = {r.target_name: (r.accession, r.strategy) for r in enrich.resolve_names(targets, proteins, overrides).collect()}
-    assert got == {"vegf": ("A2", 1), "Human serum albumin": ("A3", 3), "Odd one": ("A4", 0)}
+    rows = enrich.resolve_names(targets, proteins.unionByName(proteins), overrides, block=2).collect()
+    got = {r.target_name: (r.accession, r.strategy) for r in rows}
+    assert len(rows) == 3 and got == {"vegf": ("A2", 1), "Human serum albumin": ("A3", 3), "Odd one": ("A4", 0)}
 
 
 def test_feature_failure_gives_zeros_and_guard_raises(spark):
