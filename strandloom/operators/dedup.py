@@ -46,10 +46,8 @@ def complement_groups(df: DataFrame, seq: str) -> DataFrame:
     )
 
 
-def rc_dedup(
-    df: DataFrame, seq: str = "sequence", mode: str = "reference"
-) -> tuple[DataFrame, DataFrame]:
-    """(kept, audit): drop rows that repeat a molecule in its complement spelling.
+def rc_marked(df: DataFrame, seq: str = "sequence", mode: str = "reference", flag: str = "rc_gone") -> DataFrame:
+    """Add ``flag``: the row repeats a molecule in its complement spelling.
 
     ``reference`` keeps the closed form of the sequential rule: with A the
     spelling of the group's first row and B the other one, last(B) goes; with
@@ -85,7 +83,14 @@ def rc_dedup(
             | (F.col("row_id") == F.coalesce(F.col("gone_a"), F.lit(-1)))
             | (F.col("all_b") & is_b)
         )
-    flagged = joined.withColumn("_gone", F.coalesce(gone, F.lit(False)))
+    return joined.select(*df.columns, F.coalesce(gone, F.lit(False)).alias(flag))
+
+
+def rc_dedup(
+    df: DataFrame, seq: str = "sequence", mode: str = "reference"
+) -> tuple[DataFrame, DataFrame]:
+    """(kept, audit) of ``rc_marked``; who reads both should take the flag, or write it first."""
+    flagged = rc_marked(df, seq, mode, "_gone")
     kept = flagged.where(~F.col("_gone")).select(*df.columns)
     audit = flagged.where("_gone").select(
         F.lit("1_rc_pair").alias("phase"),
@@ -95,10 +100,10 @@ def rc_dedup(
     return kept, audit
 
 
-def dedup_against(
-    df: DataFrame, *known: DataFrame, seq: str = "aptamer_sequence", target: str = "target_name"
-) -> tuple[DataFrame, DataFrame]:
-    """(unique, duplicates) of a batch against known tables and itself.
+def mark_against(
+    df: DataFrame, *known: DataFrame, seq: str = "aptamer_sequence", target: str = "target_name", flag: str = "is_new"
+) -> DataFrame:
+    """Add ``flag``: the row is the first of its key in the batch, and no known table has the key.
 
     One aggregate over the union of keys decides; known tables only send their
     distinct keys.  ``known`` frames use either schema's column names.
@@ -119,10 +124,16 @@ def dedup_against(
     verdict = keys.groupBy("_s", "_t").agg(
         F.min("row_id").alias("row_id"), F.max("_known").alias("_known")
     )
-    winners = verdict.where(~F.col("_known") & F.col("row_id").isNotNull()).select("row_id")
-    unique = df.join(winners, "row_id", "left_semi")
-    duplicates = df.join(winners, "row_id", "left_anti")
-    return unique.select(*df.columns), duplicates.select(*df.columns)
+    winners = verdict.where(~F.col("_known") & F.col("row_id").isNotNull()).select("row_id", F.lit(True).alias(flag))
+    return df.join(winners, "row_id", "left").select(*df.columns, F.coalesce(flag, F.lit(False)).alias(flag))
+
+
+def dedup_against(
+    df: DataFrame, *known: DataFrame, seq: str = "aptamer_sequence", target: str = "target_name"
+) -> tuple[DataFrame, DataFrame]:
+    """(unique, duplicates) of ``mark_against``; who reads both should take the flag, or write it first."""
+    marked = mark_against(df, *known, seq=seq, target=target, flag="_new")
+    return marked.where("_new").drop("_new"), marked.where(~F.col("_new")).drop("_new")
 
 
 def merge_decisions(

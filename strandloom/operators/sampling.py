@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators import skew
+from strandloom.session import durable
 
 
 def hash_order(seed: int, key: str = "row_id") -> Column:
@@ -26,24 +27,20 @@ def pick_per_class(df: DataFrame, n: int, label: str = "label", seed: int = 42)
 def balanced_sample(df: DataFrame, n: int, label: str = "label", seed: int = 42) -> DataFrame:
     """Exactly n draws with replacement, every class equally likely.
 
-    Each draw hashes to a class and to a rank within it, then meets its row by
-    an equi-join on (class, rank).
+    Each draw hashes to the number of a class and to a rank within it.  Classes are a table, numbered in their
+    order, with the interval of ranks that their rows take; a draw meets its class by number and its row by rank.  Only the
+    number of classes comes to the driver.
     """
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    classes = sorted(counts)
-    start, offsets = 0, {}
-    for c in classes:  # rows are ranked class by class, so ranks of a class are a range
-        offsets[c], start = start, start + counts[c]
-    ranked = skew.global_rank(df, [F.col(label), F.col("row_id")], "_pos")
+    counts = durable(df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("rows_of")))
+    order = [F.col("_label")]
+    numbered = skew.global_rank(skew.running_totals(counts, order, ["rows_of"]), order, "_class")
+    classes = numbered.select((F.col("_class") - 1).alias("_class"), F.col("rows_of").alias("_rows"), (F.col("cum_rows_of") - F.col("rows_of")).alias("_before"))
+    ranked = skew.global_rank(df, [F.col(label), F.col("row_id")], "_pos")  # class by class: a class is a range of ranks
     draw = df.sparkSession.range(n).select(
-        F.col("id").alias("draw"), _digits(seed, "class").alias("_c"), _digits(seed, "rank").alias("_u")
+        F.col("id").alias("draw"), F.pmod(_digits(seed, "class"), F.lit(counts.count())).alias("_class"), _digits(seed, "rank").alias("_u")
     )
-    pos = F.lit(None).cast("bigint")
-    for i, c in enumerate(classes):
-        pos = F.when(
-            F.pmod("_c", F.lit(len(classes))) == i, F.pmod("_u", F.lit(counts[c])) + offsets[c] + 1
-        ).otherwise(pos)
-    return draw.select("draw", pos.alias("_pos")).join(ranked, "_pos").drop("_pos")
+    placed = draw.join(classes, "_class").select("draw", (F.pmod("_u", F.col("_rows")) + F.col("_before") + 1).alias("_pos"))
+    return placed.join(ranked, "_pos").drop("_pos")
 
 
 def _digits(seed: int, salt: str) -> Column:

@@ -10,6 +10,7 @@ from strandloom.operators import audit, canonical, dedup, enrich, mapping, valid
 from strandloom.queries.derived import derived
 from strandloom.queries.registry import CHECKS, query
 from strandloom.queries.scalars import _FAULT, _sql_any, _sql_list
+from strandloom.session import durable
 from strandloom.sources import curated
 
 _OK_DNA = "(regexp_full_match({0}, '[ATGC]+') AND length({0}) BETWEEN 20 AND 120)"
@@ -373,10 +374,9 @@ def exact_dedup(spark, sf):
     """SELECT row_id, CASE WHEN row_id IN (SELECT row_id FROM rc_gone) THEN 'dropped' ELSE 'kept' END AS fate FROM deduped""",
 )
 def rc_pair_dedup(spark, sf):
-    kept, audit_rows = dedup.rc_dedup(dedup.exact_dedup(derived(spark, sf, "legacy")))
-    return kept.select("row_id", F.lit("kept").alias("fate")).unionByName(
-        audit_rows.select("row_id", F.lit("dropped").alias("fate"))
-    )
+    rows = derived(spark, sf, "legacy").select("row_id", "sequence", "target_protein")
+    first = durable(dedup.exact_dedup(rows))  # the rules of a group and its rows read it
+    return dedup.rc_marked(first).select("row_id", F.when(F.col("rc_gone"), "dropped").otherwise("kept").alias("fate"))
 
 
 CHECKS["known_keys"] = """
@@ -400,10 +400,8 @@ CHECKS["batch_fate"] = """
           FROM text_records LEFT JOIN known_keys ON s = upper(trim(aptamer_sequence)) AND t = lower(trim(target_name))) x""",
 )
 def dedup_against_master(spark, sf):
-    unique, dups = dedup.dedup_against(derived(spark, sf, "text_records"), _master(spark, sf))
-    return unique.select("row_id", F.lit("unique").alias("fate")).unionByName(
-        dups.select("row_id", F.lit("duplicate").alias("fate"))
-    )
+    marked = dedup.mark_against(derived(spark, sf, "text_records"), _master(spark, sf))
+    return marked.select("row_id", F.when(F.col("is_new"), "unique").otherwise("duplicate").alias("fate"))
 
 
 @query(

@@ -1,5 +1,6 @@
 """Scalable operators against small brute-force models, also on skewed data."""
 
+import math
 import random
 
 import pytest
@@ -235,9 +236,26 @@ def test_balanced_sample_is_exact_and_balanced(spark):
     assert {r.row_id % 10 == 0 for r in got if r.label} == {True}
 
 
-def test_p_value():
-    assert metrics.pearson_p_value(0.5, 12) == pytest.approx(0.0979, abs=2e-4)
-    assert metrics.pearson_p_value(0.0, 30) == pytest.approx(1.0)
+def test_p_value(spark):
+    # tabled critical values of r, and one and three degrees of freedom in closed form
+    cases = [(0.576, 12, 0.05), (0.7079, 12, 0.01), (0.1946, 102, 0.05), (0.0, 30, 1.0), (1.0, 9, 0.0), (-1.0, 3, 0.0), (0.5, 3, 2 / 3),
+             (0.0062, 99_998, 0.05), (0.3, 5, None), (0.9, 2, None)]
+    df = spark.createDataFrame([(float(r), n) for r, n, _ in cases], "r double, n bigint")
+    got = [x.p for x in df.select(metrics.pearson_p(F.col("r"), F.col("n")).alias("p")).collect()]
+    t = 0.3 * (3 / 0.91) ** 0.5  # Student's t with three degrees of freedom
+    want3 = 1 - 2 / math.pi * (math.atan(t / 3 ** 0.5) + (t / 3 ** 0.5) / (1 + t * t / 3))
+    for (r, n, want), p in zip(cases, got):
+        if n == 5:
+            assert p == pytest.approx(want3, rel=1e-9)
+        else:
+            assert p == (None if want is None else pytest.approx(want, rel=5e-3, abs=1e-12)), (r, n)
+
+
+def test_balanced_sample_of_many_classes(spark):
+    df = spark.range(30_000).select(F.col("id").alias("row_id"), (F.col("id") % 10_000).alias("label"))
+    got = sampling.balanced_sample(df, 20_000)
+    assert got.count() == 20_000 and got.where("label <> row_id % 10000").count() == 0
+    assert 8_000 < got.select("label").distinct().count() < 9_200  # 10,000 (1 - 1/e ** 2)
 
 
 # --- keys that hold a third of the rows on both sides -----------------------------
