@@ -6,8 +6,14 @@ skipped.  Words repeat, so a bounded memo keeps the ids of those used last.
 Decoding looks up vocabulary strings and joins them, with a blank between tokens as
 the tokenizer file has no decoder.
 
+Normalising, lower case and splitting use Python's character tables.  The library has tables of its own, of other Unicode
+versions; so every code point outside ASCII is compared with the library when it is first met, in several surroundings and
+with what it composes with, and a text with one that is treated differently or that Python does not know goes through the
+library's normaliser and splitter.  Merging is the same for all.
+
 Nulls count as empty texts: no ids, and an empty decoded text.  Strings of
-special tokens inside a text become these tokens, as the library has it.
+special tokens inside a text become these tokens, as the library has it.  Every row is coded by itself, so repeated rows
+and empty tables need nothing; a very long text is one value in memory, as it is in its row.
 """
 
 from __future__ import annotations
@@ -26,6 +32,10 @@ from pyspark.sql import functions as F
 from strandloom.llm.text import Recent
 
 MEMO = 250_000
+LONGEST = 64  # characters of a word that is kept
+#: What stands before and behind a code point where the two ways are compared: letters, digits, other signs, marks
+#: of the least and the greatest combining class, an accent.
+AROUND = (("a", "b"), ("1", "2"), ("!", "?"), ("a", "\u0334b"), ("a\u0345", "b"), ("e\u0301", "b"), ("a", "\u0301b"))
 #: Unicode white space, spelled out as libraries differ on control characters.
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -42,6 +52,7 @@ class WordBpe:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -62,10 +73,41 @@ class WordBpe:
         # every run of blanks but a single space
         self.blanks = re.compile(f"[{SPACE.replace(' ', '', 1)}][{SPACE}]*| [{SPACE}]+")
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.memo = Recent(self._word, MEMO)
+        self.memo = Recent(self._word, MEMO, LONGEST)
+        self.library = Tokenizer.from_file(path)
+        self.byte_of = {s: b for b, s in enumerate(symbols)}
+        self.met, self.odd = set(map(chr, range(128))), set()
+        self.parts: dict[str, list[str]] = {}  # code point -> composites with it, taken apart
+        for c in map(chr, range(0x80, 0x30000)):
+            if unicodedata.decomposition(c) and len(apart := unicodedata.normalize("NFD", c)) > 1:
+                for x in set(apart) - self.met:
+                    self.parts.setdefault(x, []).append(apart)
+
+    def _pieces(self, text: str) -> list[bytes]:
+        """Words of a text without special tokens, as the library cuts it."""
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte_of.__getitem__, s)) for s, _ in found]
+
+    def _is_odd(self, c: str) -> bool:
+        """Does the library treat this code point in another way than ``normalise`` and ``find`` do?"""
+        if unicodedata.category(c) == "Cn":
+            return True
+        units = [before + c + behind for before, behind in AROUND] + self.parts.get(c, [])
+        return any(self._pieces(u) != [w.encode("utf-8") for w in self.find(self.normalise(u))] for u in units)
+
+    def alike(self, text: str) -> bool:
+        """May this text take the way of Python's tables?"""
+        if text.isascii():
+            return True
+        if new := set(text) - self.met:
+            self.odd.update(filter(self._is_odd, new))
+            self.met |= new
+        return not self.odd or self.odd.isdisjoint(text)
 
     def _word(self, word: str) -> bytes:
-        raw = word.encode("utf-8")
+        return self._ids(word.encode("utf-8"))
+
+    def _ids(self, raw: bytes) -> bytes:
         ids = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
         return array("I", self.merge([i for i in ids if i is not None])).tobytes()
 
@@ -110,8 +152,10 @@ class WordBpe:
         for part in self.cut.split(text) if self.cut and "<" in text else (text,):
             if part in self.special:
                 out.append(array("I", [self.special[part]]).tobytes())
-            elif part:
+            elif part and self.alike(part):
                 out.extend(map(self.memo.__getitem__, self.find(self.normalise(part))))
+            elif part:
+                out.extend(map(self._ids, self._pieces(part)))
         return b"".join(out)
 
     def decode(self, ids: bytes | None) -> str:

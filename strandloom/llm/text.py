@@ -39,14 +39,16 @@ class Recent(dict):
     """A memo that keeps between ``most`` and twice ``most`` of the keys used last.
 
     Hits run at the speed of a dictionary; memory is bounded however long a
-    Python worker lives.
+    Python worker lives.  Keys of over ``longest`` characters are made anew each time.
     """
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, most: int, longest: int | None = None):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import sys
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -109,3 +110,24 @@ def test_digest_columns(spark):
     got = bpe.encode_decode(cases.frame(spark, ["", "Hello"]), P.path("word_bpe_49k.json")).collect()
     assert hashlib.sha256(got[0].ids).hexdigest() == hashlib.sha256(b"").hexdigest()
     assert got[0].decoded == "" and got[1].decoded == "hello</w>"
+
+
+def test_word_bpe_on_rare_code_points_equals_the_library():
+    """Letters, lower case and composition that the tables of the two sides know differently."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    own, library = bpe.WordBpe(path), Tokenizer.from_file(path)
+    rnd = random.Random(8)
+    points = [chr(i) for i in [*range(0x80, 0x3000), *range(0x3000, 0xD800, 37), *range(0xE000, 0x30000, 41)]]
+    some = [a + c + b for a, b in (("ab", "cd"), ("1", "2"), ("", "́"), ("́", "")) for c in points[::3]]
+    some += ["ab՘cd", "Ᲊx", "߽́", "\U0001e030 ՘"]
+    some += ["".join(rnd.choice([rnd.choice(points), rnd.choice("aB1! ̴́")]) for _ in range(8)) for _ in range(3000)]
+    coded = library.encode_batch(some, add_special_tokens=False)
+    assert [t for t, e in zip(some, coded) if list(array("I", own.encode(t))) != e.ids] == []
+    assert own.odd and not own.alike("ab՘cd") and own.alike("Ünïcode é")
+
+
+def test_long_words_are_not_kept():
+    memo = bpe.Recent(len, 10, 4)
+    assert (memo["abc"], memo["abcdef"], list(memo)) == (3, 6, ["abc"])
