@@ -358,12 +358,12 @@ _FAULT = """CASE WHEN length(s) < 20 THEN concat('too_short (', length(s), ' < 2
 
 @query(
     "validate_rna",
-    f"""SELECT row_id, {_FAULT} AS fault FROM (SELECT row_id, s, length(regexp_replace(s, '[^GC]', '', 'g')) / length(s) AS gc
-        FROM (SELECT row_id, replace(upper(trim(sequence)), 'T', 'U') AS s FROM legacy WHERE sequence IS NOT NULL) x) y""",
+    f"""SELECT row_id, CASE WHEN s IS NULL THEN 'not_a_string' ELSE {_FAULT} END AS fault FROM (SELECT row_id, s, length(regexp_replace(s, '[^GC]', '', 'g')) / length(s) AS gc
+        FROM (SELECT row_id, replace(upper(trim(sequence)), 'T', 'U') AS s FROM legacy) x) y""",
 )
 def validate_rna(spark, sf):
     rna = F.translate(F.upper(F.trim("sequence")), "T", "U")
-    return derived(spark, sf, "legacy").where("sequence IS NOT NULL").select(
+    return derived(spark, sf, "legacy").select(
         "row_id", sequence.rna_fault(rna).alias("fault")
     )
 
@@ -616,9 +616,9 @@ def extract_conditions(spark, sf):
     + fv.KD_TEXT
     + """', 1, 'i'), '') AS DOUBLE) AS v, lower(regexp_extract(text, '"""
     + fv.KD_TEXT
-    + """', 2, 'i')) AS u FROM sentences) x WHERE v IS NOT NULL""",
+    + """', 2, 'i')) AS u FROM sentences) x""",
 )
 def extract_kd_native(spark, sf):
     return derived(spark, sf, "sentences").select(
         "doc_id", F.round(F.get(extract.kd_values_native(F.col("text")), F.lit(0)), 6).alias("kd_nm")
-    ).where("kd_nm IS NOT NULL")
+    )
