@@ -13,8 +13,11 @@ Rarity is the count of a word's bucket over all documents.  Buckets only set the
 sharing one costs speed and no result.
 
 Words of a single line are dropped, and lines on a word of few lines meet in pairs.  On a word of many
-lines they do not, as those may all be alike: there the first line is
-compared with all others, and only lines that this does not settle are joined with the rest.
+lines they do not, as those may all be alike: there the first line is compared with all others.  Lines that this
+does not settle go on to keys of two words, and of three where many lines share two: sets with k words in common
+share the first k of them in prefixes that are k - 1 words longer.  So few lines meet on a key, however frequent its
+words are.  Only lines that share three prefix words with very many others, and are like none of the first on
+these keys, meet all earlier lines there.
 
 Null and empty texts have no lines with words.  Lines without words always stay.  A document of
 which no line stays keeps its row with an empty text, a null text stays null.  Rows with the same
@@ -30,11 +33,12 @@ from pyspark.sql.types import IntegralType
 
 from strandloom.llm.store import stored
 from strandloom.llm.text import BLANK
-from strandloom.operators.skew import global_rank
+from strandloom.operators.skew import global_rank, spread_join
 
 BUCKETS = 1 << 16
-SLICE = 300_000  # pairs verified at once
-CROWD = 64  # lines on a word that may meet in pairs
+CROWD = 128  # lines on a key that may meet in pairs
+DEPTH = 3  # words of a key at most
+HOT_LINE = 2_000  # repeats of a line from which on its rows are spread
 SPACES = " \t\n\x0b\x0c\r"
 HASH_BITS = 52
 
@@ -83,10 +87,16 @@ def _ordered(line: Column, ranks: list[int]) -> Column:
     return F.sort_array(F.array_distinct(F.transform(_split(line), number)))
 
 
-def _bitmap(numbers: Column) -> Column:
-    """Parity of the words on each of 64 bits."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    return F.aggregate(numbers, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
+def _bitmaps(numbers: Column) -> list[Column]:
+    """Parity of the words on each of 128 bits: those with one bit of their number set, and all together."""
+    place = lambda x: x.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    one = F.lit(1).cast("long")
+    half = lambda x: F.shiftright(x, 6).bitwiseAND(one)
+    none = F.lit(0).cast("long")
+    return [
+        F.aggregate(numbers, none, lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", half(x), place(x)))).alias("bits"),
+        F.aggregate(numbers, none, lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, place(x)))).alias("both"),
+    ]
 
 
 def _share(t: int) -> tuple[int, int]:
@@ -100,6 +110,11 @@ def _least(m: Column, n: Column, t: int) -> Column:
     return F.floor((a * (m + n) + (b - 1)) / b).cast("int")
 
 
+def _need(n: Column, t: int) -> Column:
+    """Words that a set of this size shares with any set that is like it, at least."""
+    return F.floor((t * n + 99) / 100).cast("int")
+
+
 def equal_lines(docs: DataFrame) -> DataFrame:
     """(doc, line, first_doc, first_line) of lines that repeat an earlier one word for word."""
     lines = lines_of(docs).select(
@@ -108,7 +123,8 @@ def equal_lines(docs: DataFrame) -> DataFrame:
     at = F.col("doc").cast("decimal(38,0)") * (1 << 31) + F.col("line")
     firsts = lines.groupBy("h1", "h2").agg(F.min(at.cast("decimal(38,0)")).alias("first"), F.count(F.lit(1)).alias("n"))
     doc = F.floor(F.col("first") / (1 << 31)).cast("long")
-    return lines.join(firsts.where("n > 1"), ["h1", "h2"]).where(at.cast("decimal(38,0)") != F.col("first")).select(
+    joined = spread_join(lines, firsts.where("n > 1"), ["h1", "h2"], "n", "inner", HOT_LINE)
+    return joined.where(at.cast("decimal(38,0)") != F.col("first")).select(
         "doc", "line", doc.alias("first_doc"),
         (F.col("first") - F.floor(F.col("first") / (1 << 31)) * (1 << 31)).cast("int").alias("first_line"),
     )
@@ -120,36 +136,67 @@ def _marked(docs: DataFrame, lines: DataFrame, how: str) -> DataFrame:
     return docs.join(numbers, F.col("doc") == F.col("_doc"), how).drop("_doc")
 
 
-def index(docs: DataFrame, repeated: DataFrame, ranks: list[int], t: int) -> DataFrame:
-    """(tok, pos, n, bits, doc, line): the prefixes of all lines that are the first of their text."""
+def line_sets(docs: DataFrame, repeated: DataFrame, ranks: list[int], t: int) -> DataFrame:
+    """(doc, line, n, bits, bits2, whole, pre) of all lines that are the first of their text.
+
+    ``whole`` is a hash of the word set, ``pre`` the prefix for keys of ``DEPTH`` words.
+    """
     none = F.array().cast("array<int>")
     firsts = _marked(docs, repeated, "left").select(
         "doc", F.coalesce("numbers", none).alias("numbers"), F.posexplode(F.split("text", "\n")).alias("line", "text")
     ).where(~F.array_contains("numbers", F.col("line")) & _has_word(F.col("text")))
     sets = firsts.select("doc", "line", _ordered(F.col("text"), ranks).alias("toks"))
     n = F.size("toks")
-    prefix = (n - F.floor((t * n + 99) / 100) + 1).cast("int")
     return sets.select(
-        "doc", "line", n.alias("n"), _bitmap(F.col("toks")).alias("bits"),
-        F.posexplode(F.slice("toks", F.lit(1), prefix)).alias("pos", "tok"),
-    )
+        "doc", "line", n.alias("n"), *_bitmaps(F.col("toks")), F.xxhash64("toks").alias("whole"),
+        F.slice("toks", F.lit(1), n - _need(n, t) + DEPTH).alias("pre"),
+    ).withColumn("bits2", F.col("both").bitwiseXOR(F.col("bits"))).drop("both")
+
+
+def entries_of(lines: DataFrame, t: int) -> DataFrame:
+    """(tok, pos, n, bits, bits2, doc, line): the words by which lines meet first."""
+    prefix = F.slice("pre", F.lit(1), F.col("n") - _need(F.col("n"), t) + 1)
+    return lines.select("doc", "line", "n", "bits", "bits2", F.posexplode(prefix).alias("pos", "tok"))
+
+
+def index(docs: DataFrame, repeated: DataFrame, ranks: list[int], t: int) -> DataFrame:
+    """(tok, pos, n, bits, bits2, doc, line): the prefixes of all lines that are the first of their text."""
+    return entries_of(line_sets(docs, repeated, ranks, t), t)
+
+
+def longer(crowded: DataFrame, lines: DataFrame, k: int, t: int) -> DataFrame:
+    """Entries on keys of ``k`` + 1 words, from those on keys of ``k``."""
+    held = crowded.join(lines.select("doc", "line", "pre"), ["doc", "line"])
+    end = F.col("n") - _need(F.col("n"), t) + k + 1  # words in the prefix for the longer keys
+    rest = F.slice("pre", F.col("pos") + 2, F.greatest(end - F.col("pos") - 1, F.lit(0)))
+    return held.select(*crowded.columns, F.posexplode(rest).alias("_i", "_next")).select(*[
+        {"tok": F.xxhash64("tok", "_next"), "pos": (F.col("pos") + 1 + F.col("_i")).cast("int")}.get(c, F.col(c)).alias(c)
+        for c in crowded.columns
+    ])
 
 
-def _passes(a, b, t: int) -> Column:
-    """Length, positional and bitmap filters for two index rows that share a word."""
+def _apart(a, b, maps: list[str]) -> Column:
+    """Bits in which the bitmaps of two entries differ."""
+    return sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in maps[1:]), F.bit_count(a(maps[0]).bitwiseXOR(b(maps[0]))))
+
+
+def _maps(entries: DataFrame) -> list[str]:
+    return [c for c in entries.columns if c.startswith("bits")]
+
+
+def _passes(a, b, t: int, maps: list[str], k: int = 1) -> Column:
+    """Length, positional and bitmap filters for two entries that share a key of ``k`` words."""
     least = _least(a("n"), b("n"), t)
     return (
         (100 * F.least(a("n"), b("n")) >= t * F.greatest(a("n"), b("n")))
-        & (F.least(a("n") - a("pos"), b("n") - b("pos")) >= least)
-        & (F.bit_count(a("bits").bitwiseXOR(b("bits"))) <= a("n") + b("n") - 2 * least)
+        & (_apart(a, b, maps) <= a("n") + b("n") - 2 * least)
+        & (F.least(a("n") - a("pos"), b("n") - b("pos")) + (k - 1) >= least)
     )
 
 
-def _slack(a, b, t: int) -> Column:
+def _slack(a, b, t: int, maps: list[str]) -> Column:
     """How far a pair is above what the bitmaps ask for; true pairs are far above."""
-    return (
-        a("n") + b("n") - 2 * _least(a("n"), b("n"), t) - F.bit_count(a("bits").bitwiseXOR(b("bits")))
-    ).cast("int").alias("slack")
+    return (a("n") + b("n") - 2 * _least(a("n"), b("n"), t) - _apart(a, b, maps)).cast("int").alias("slack")
 
 
 def _before(a, b) -> Column:
@@ -161,34 +208,46 @@ def word_sizes(entries: DataFrame) -> DataFrame:
     return entries.groupBy("tok").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
 
 
-def in_pairs(entries: DataFrame, sizes: DataFrame, t: int, crowd: int = CROWD) -> DataFrame:
-    """Pairs (doc, line, by_doc, by_line) of a line and an earlier one on a word of few lines, if they may match."""
+def in_pairs(
+    entries: DataFrame, sizes: DataFrame, t: int, crowd: int = CROWD, k: int = 1, settled: DataFrame | None = None
+) -> DataFrame:
+    """Pairs (doc, line, by_doc, by_line) of a line, not settled, and an earlier one on a key of few lines, if they may match."""
     few = entries.join(sizes.where(F.col("lines") <= crowd).select("tok"), "tok")
-    return _joined(few, few, t)
+    return _joined(few, few if settled is None else _open(few, settled), t, k)
 
 
-def _joined(earlier: DataFrame, later: DataFrame, t: int) -> DataFrame:
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+def _open(entries: DataFrame, settled: DataFrame) -> DataFrame:
+    return entries.join(settled.select("doc", "line").distinct(), ["doc", "line"], "left_anti")
+
+
+def _joined(earlier: DataFrame, later: DataFrame, t: int, k: int = 1) -> DataFrame:
+    a, b, maps = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}")), _maps(earlier)
     return earlier.alias("a").join(
-        later.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _before(a, b) & _passes(a, b, t)
+        later.alias("b"), (F.col("a.tok") == F.col("b.tok")) & _before(a, b) & _passes(a, b, t, maps, k)
     ).select(
-        b("doc").alias("doc"), b("line").alias("line"), a("doc").alias("by_doc"), a("line").alias("by_line"), _slack(a, b, t)
+        b("doc").alias("doc"), b("line").alias("line"), a("doc").alias("by_doc"), a("line").alias("by_line"),
+        _slack(a, b, t, maps),
     ).distinct()
 
 
-def with_leaders(crowded: DataFrame, t: int) -> DataFrame:
-    """Pairs of a line and the first line on one of its words, if they may match."""
-    leaders = crowded.groupBy("tok").agg(F.min(F.struct("doc", "line", "n", "pos", "bits")).alias("a"))
+def with_leaders(crowded: DataFrame, t: int, k: int = 1) -> DataFrame:
+    """Pairs of a line and the first line on one of its keys, if they may match."""
+    maps = _maps(crowded)
+    leaders = crowded.groupBy("tok").agg(F.min(F.struct("doc", "line", "n", "pos", *maps)).alias("a"))
     a, b = (lambda c: F.col("a")[c]), F.col
-    return crowded.join(leaders, "tok").where(_before(a, b) & _passes(a, b, t)).select(
-        "doc", "line", a("doc").alias("by_doc"), a("line").alias("by_line"), _slack(a, b, t)
+    return crowded.join(leaders, "tok").where(_before(a, b) & _passes(a, b, t, maps, k)).select(
+        "doc", "line", a("doc").alias("by_doc"), a("line").alias("by_line"), _slack(a, b, t, maps)
     ).distinct()
 
 
-def with_earlier(crowded: DataFrame, settled: DataFrame, t: int) -> DataFrame:
-    """Pairs of a line that is not settled and any earlier one on a word of many lines, if they may match."""
-    open_ = crowded.join(settled.select("doc", "line").distinct(), ["doc", "line"], "left_anti")
-    return _joined(crowded, open_, t)
+def with_earlier(crowded: DataFrame, settled: DataFrame, t: int, k: int = 1) -> DataFrame:
+    """Pairs of a line that is not settled and any earlier one on a key of many lines, if they may match."""
+    return _joined(crowded, _open(crowded, settled), t, k)
+
+
+def still_open(crowded: DataFrame, settled: DataFrame) -> DataFrame:
+    """The entries on keys that have a line which is not settled."""
+    return crowded.join(_open(crowded, settled).select("tok").distinct(), "tok", "left_semi").select(*crowded.columns)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, t: int) -> DataFrame:
@@ -206,20 +265,15 @@ def verified(docs: DataFrame, pairs: DataFrame, t: int) -> DataFrame:
     return sets.where(shared * (100 + t) >= t * (F.size("a") + F.size("b"))).select("doc", "line", "by_doc", "by_line")
 
 
-def settled(docs: DataFrame, pairs: DataFrame, t: int, at_once: int = SLICE) -> DataFrame:
+def settled(docs: DataFrame, pairs: DataFrame, t: int) -> DataFrame:
     """For every line that has one, a verified pair.
 
-    The likeliest partner of each line is verified first.  Lines that it does not settle go
-    through all their partners, a slice of the lines at a time, so what is shuffled at once is bounded.
+    The likeliest partner of each line is verified first; lines that it does not settle go through all their partners.
     """
     best = pairs.groupBy("doc", "line").agg(F.max(F.struct("slack", "by_doc", "by_line")).alias("b"))
     found = stored(verified(docs, best.select("doc", "line", "b.by_doc", "b.by_line"), t))
     open_ = stored(pairs.join(found.select("doc", "line"), ["doc", "line"], "left_anti"))
-    n = -(-open_.count() // at_once)
-    for i in range(n):
-        some = open_.where(F.pmod(F.xxhash64("doc", "line"), F.lit(n)) == i)
-        found = found.unionByName(stored(verified(docs, some, t)))
-    return found
+    return found if open_.isEmpty() else found.unionByName(stored(verified(docs, open_, t)))
 
 
 def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -270,15 +324,36 @@ def repeated_lines(
 
 def _repeated(rows: DataFrame, t: int, crowd: int = CROWD) -> DataFrame:
     equal = stored(equal_lines(rows))
-    entries = stored(index(rows, equal.select("doc", "line"), rarity(rows), t))
-    sizes = stored(word_sizes(entries))
-    crowded = stored(entries.join(sizes.where(F.col("lines") > crowd).select("tok"), "tok"))
-    some = stored(in_pairs(entries, sizes, t, crowd).unionByName(with_leaders(crowded, t)).distinct())
-    found = settled(rows, some, t)
-    more = settled(rows, stored(with_earlier(crowded, found, t)), t)
+    lines = stored(line_sets(rows, equal.select("doc", "line"), rarity(rows), t))
+    entries, found = entries_of(lines, t), None
+    for k in range(1, DEPTH + 1):
+        sizes = stored(word_sizes(entries))
+        crowded = stored(entries.join(sizes.where(F.col("lines") > crowd).select("tok"), "tok").select(*entries.columns))
+        pairs = in_pairs(entries, sizes, t, crowd, k, found).unionByName(
+            with_leaders(crowded, t, k) if found is None else _open(with_leaders(crowded, t, k), found)
+        )
+        if k == 1:
+            # sets of few words cannot have longer keys in common; those that are equal meet here
+            small = lines.where(_need(F.col("n"), t) <= DEPTH)
+            pairs = pairs.unionByName(with_leaders(small.withColumn("tok", F.col("whole")).withColumn("pos", F.lit(0)), t))
+        found = _added(rows, found, stored(pairs.distinct()), t)
+        crowded = stored(still_open(crowded, found))
+        if crowded.isEmpty():
+            break
+        last = crowded if k == DEPTH else crowded.where(_need(F.col("n"), t) <= k)
+        found = _added(rows, found, stored(with_earlier(last, found, t, k)), t)
+        if k < DEPTH:
+            entries = stored(longer(crowded, lines, k, t))
     return stored(equal.select(
         "doc", "line", F.col("first_doc").alias("by_doc"), F.col("first_line").alias("by_line")
-    ).unionByName(found).unionByName(more))
+    ).unionByName(found))
+
+
+def _added(rows: DataFrame, found: DataFrame | None, pairs: DataFrame, t: int) -> DataFrame:
+    """``found`` and what of ``pairs`` proves right."""
+    if found is None:
+        return settled(rows, pairs, t)
+    return found if pairs.isEmpty() else found.unionByName(settled(rows, pairs, t))
 
 
 def _rest(text: Column, numbers: Column) -> Column:
