@@ -35,8 +35,8 @@ from strandloom.llm.store import stored
 from strandloom.llm.text import BLANK
 from strandloom.operators.skew import global_rank, spread_join
 
-BUCKETS = 1 << 16
-CROWD = 128  # lines on a key that may meet in pairs
+BUCKETS = 1 << 18
+CROWD = 512  # lines on a key that may meet in pairs
 DEPTH = 3  # words of a key at most
 HOT_LINE = 2_000  # repeats of a line from which on its rows are spread
 SPACES = " \t\n\x0b\x0c\r"
