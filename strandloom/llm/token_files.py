@@ -34,7 +34,8 @@ from strandloom.llm.text import Recent
 END = 2
 PIECE = 200  # documents counted at once
 BLOCK = 1 << 18  # ids to a block; one document is never split
-MEMO = 220_000
+STRETCHES, PRETOKENS = 600_000, 300_000  # kept, and at most twice as many
+LONGEST = 64  # characters of a key that is kept
 
 #: Bytes of the four numbers that a control byte describes, and their sum.
 LENGTHS = np.array([[1 + ((c >> (2 * i)) & 3) for i in range(4)] for c in range(256)], dtype=np.int64)
@@ -44,9 +45,9 @@ class ByteBpe:
     """The library behind a memo of stretches of text.
 
     Between two characters that are not white space, a single space always
-    begins a new pre-token, so the stretches between such spaces are encoded alone.  In
-    most of them the pre-tokens are plain, letters with ASCII marks behind, and go to the library's
-    model directly.  All else goes to the whole library.
+    begins a new pre-token, and a single line break is one, so the stretches between these are
+    encoded alone.  In most of them the pre-tokens are plain, letters with ASCII marks behind, and go to the
+    library's model directly.  All else goes to the whole library.
     """
 
     def __init__(self, path: str):
@@ -58,7 +59,8 @@ class ByteBpe:
         self.model = self.whole.model
         self.symbols = byte_symbols()
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
-        self.memo, self.pretokens = Recent(self._stretch, MEMO), Recent(self._pretoken, MEMO)
+        self.line_break = self._ids("\n")
+        self.memo, self.pretokens = Recent(self._stretch, STRETCHES, LONGEST), Recent(self._pretoken, PRETOKENS, LONGEST)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -78,27 +80,25 @@ class ByteBpe:
         return self.pretokens[lead + word] + (self.pretokens[marks] if marks else b"")
 
     def _stretch(self, stretch: str) -> bytes | None:
-        """Ids of a space and a stretch; None for one that does not stand alone."""
-        if not stretch or stretch[0].isspace() or stretch[-1].isspace():
+        """Ids of a stretch and the space or line break before it; None for one that does not stand alone."""
+        lead, part = (self.line_break, stretch[1:]) if stretch[:1] == "\n" else (None, stretch)
+        if not part or part[0].isspace() or part[-1].isspace():
             return None
-        first, *lines = stretch.split("\n")
-        ids = self._simple(self.symbols[32], first)
-        for line in lines:  # a line break between two other characters is a pre-token
-            next_ids = self._simple("", line)
-            if ids is None or next_ids is None:
-                return self._ids(" " + stretch)
-            ids += self.pretokens[self.symbols[10]] + next_ids
-        return self._ids(" " + stretch) if ids is None else ids
+        if lead is None:
+            ids = self._simple(self.symbols[32], part)
+            return self._ids(" " + part) if ids is None else ids
+        ids = self._simple("", part)
+        return lead + (self._ids(part) if ids is None else ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        first, *rest = text.split(" ")
+        first, *rest = text.replace("\n", " \n").split(" ")
         try:
             if first and not first[-1].isspace():
                 return self._ids(first) + b"".join(map(self.memo.__getitem__, rest))
-        except TypeError:  # white space beside a space
+        except TypeError:  # white space beside a space or a line break
             pass
         return b"".join([self._ids(s if i == 0 else " " + s) for i, s in enumerate(self.cut(text))])
 
@@ -133,11 +133,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _narrow(ids: np.ndarray) -> bytes:
-    """Ids in 16 bits where all fit, else in 32; the first byte tells."""
-    if not len(ids) or ids.max() < 1 << 16:
-        return b"\x02" + ids.astype("<u2").tobytes()
-    return b"\x04" + ids.astype("<u4").tobytes()
+def _narrow(ids: np.ndarray, lengths: list[int]) -> list[bytes]:
+    """Ids of documents, one behind the other, in 16 bits where all fit, else in 32; the first byte tells."""
+    size = 2 if ids.max() < 1 << 16 else 4
+    raw, ends = ids.astype(f"<u{size}").tobytes(), np.cumsum(lengths) * size
+    return [bytes([size]) + raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
 def _wide(raw: bytes) -> np.ndarray:
@@ -148,18 +148,18 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """Rows (id, ids) of all documents, and per task rows (token, n) of what it has counted."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, counts = byte_bpe(path).encode, np.zeros(1 << 16, dtype=np.int64)
+        one, counts, last = byte_bpe(path).encode, np.zeros(1 << 16, dtype=np.int64), np.uint32(end).tobytes()
         for batch in batches:
-            packed, last = [], np.uint32(end)
+            packed = []
             for start in range(0, len(batch), PIECE):
-                some = [np.append(np.frombuffer(one(t), dtype="<u4"), last) for t in batch["text"][start:start + PIECE]]
-                found = np.bincount(np.concatenate(some))
+                some = [one(t) + last for t in batch["text"][start:start + PIECE]]
+                ids = np.frombuffer(b"".join(some), dtype="<u4")
+                found = np.bincount(ids)
                 if len(found) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(found), dtype=np.int64)])
                 counts[:len(found)] += found
-                packed.extend(map(_narrow, some))
-            yield pd.DataFrame({"id": batch["id"], "ids": packed, "token": pd.NA, "n": pd.NA}).astype(
-                {"token": "Int64", "n": "Int64"})
+                packed.extend(_narrow(ids, [len(x) // 4 for x in some]))
+            yield pd.DataFrame({"id": batch["id"], "ids": packed, "token": None, "n": None})
         seen = np.flatnonzero(counts)
         yield pd.DataFrame({"id": pd.NA, "ids": None, "token": seen, "n": counts[seen]}).astype({"id": "Int64"})
 
