@@ -116,13 +116,16 @@ def kmer_tokens_padded(spark, sf):
 
 @query(
     "kmer_decode",
-    """SELECT row_id, substr(upper(sequence), 1, 122) AS decoded FROM legacy
-       WHERE regexp_full_match(upper(sequence), '[ACGT]{3,}')""",
+    """SELECT row_id, CASE WHEN len(ws) = 0 THEN '' ELSE
+           array_to_string(list_transform(ws[1:len(ws) - 1], lambda w: substr(w, 1, 1)), '') || ws[len(ws)] END AS decoded
+       FROM (SELECT row_id, list_transform(range(1, least(greatest(length(s) - 2, 0), 120) + 1), lambda i:
+               CASE WHEN regexp_full_match(substr(s, i, 3), '[ACGT]{3}') THEN substr(s, i, 3) ELSE '[UNK]' END) AS ws
+             FROM (SELECT row_id, upper(trim(coalesce(sequence, ''))) AS s FROM legacy) x) y""",
 )
 def kmer_decode(spark, sf):
-    df = derived(spark, sf, "legacy").where(F.upper("sequence").rlike("^[ACGT]{3,}$"))
+    """All rows, those with unknown bases, too few of them or none too."""
     ids = sequence.kmer_tokens_padded(F.col("sequence"))
-    return df.select("row_id", sequence.kmer_decode(ids).alias("decoded"))
+    return derived(spark, sf, "legacy").select("row_id", sequence.kmer_decode(ids).alias("decoded"))
 
 
 @query(

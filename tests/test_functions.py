@@ -42,6 +42,12 @@ def test_tokens_round_trip(spark):
     assert values(spark, [seq], sequence.kmer_decode(sequence.kmer_tokens_padded(F.col("x")))) == [seq]
 
 
+def test_decoding_of_unknown_short_and_long_rows(spark):
+    decoded = sequence.kmer_decode(sequence.kmer_tokens_padded(F.col("x")))
+    rows = ["ACGNACG", "ACN", "AC", "", None, "ACGT" * 40]
+    assert values(spark, rows, decoded) == ["A[[[ACG", "[UNK]", "", "", "", ("ACGT" * 40)[:122]]
+
+
 def test_scramble_keeps_composition(spark):
     seq = "AACCGGTTACGTACGTAAAA"
     got = values(spark, [(seq, 7)], sequence.scramble(F.col("x"), F.col("k")), "x string, k int")[0]
