@@ -124,7 +124,7 @@ def near_dupe_sequences(
         left = index.select("bkey", F.col("seq").alias("x"))
         right = probe.select("bkey", F.col("seq").alias("y"))
         last = tier == len(tiers) - 1
-        met = skew.block_join(left, right, ["bkey"], max(1, int(bucket_pairs ** 0.5))) if last else left.join(right, "bkey")
+        met = skew.block_join(left, right, ["bkey"], max(1, int(bucket_pairs ** 0.5))) if last else _meet(left, right)
         near = (
             met.where((F.col("x") != F.col("y"))
                    & F.levenshtein(F.col("x"), F.col("y"), distance).between(1, distance))
@@ -139,6 +139,11 @@ def near_dupe_sequences(
     )
 
 
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join on the key, with a shuffle: keys are exploded from a small table, whose size Spark would take for theirs and broadcast them."""
+    return left.join(right.hint("merge"), "bkey")
+
+
 def _hot_keys(index: DataFrame, probe: DataFrame, bucket_pairs: int) -> DataFrame:
     """Keys whose candidate product is too large, with their row counts."""
     sizes = (

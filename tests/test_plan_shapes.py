@@ -1,0 +1,32 @@
+"""Joins whose sides are exploded must not be gathered in the driver for a broadcast."""
+
+from pyspark.sql import functions as F
+
+from strandloom.operators import neardupe
+from strandloom.session import durable
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_duplicate_keys_are_not_broadcast(spark):
+    pool = durable(spark.range(200).select(F.md5(F.col("id").cast("string")).alias("seq")))
+    left = neardupe._index_keys(pool, 4).select("bkey", F.col("seq").alias("x"))
+    right = neardupe._probe_keys(pool, 4).select("bkey", F.col("seq").alias("y"))
+    plan = _plan(neardupe._meet(left, right))
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_near_duplicates_of_a_small_pool_are_found_without_broadcast(spark, monkeypatch):
+    df = spark.sql("SELECT explode(array('ACGTACGTACGTACGTACGT', 'ACGTACGTACGTACGTACGA', 'TTTTTTTTTTCCCCCCCCCC')) AS aptamer_sequence")
+    plans = []
+
+    def watched(frame):
+        plans.append(_plan(frame))
+        return durable(frame)
+
+    monkeypatch.setattr(neardupe, "durable", watched)
+    found = neardupe.near_dupe_sequences(df).collect()
+    assert [tuple(r) for r in found] == [("ACGTACGTACGTACGTACGA", "ACGTACGTACGTACGTACGT", 1)]
+    assert "BroadcastHashJoin" not in plans[-1]
