@@ -267,6 +267,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows over one partition per core, at least; only the columns that are used are moved."""
+    return df.repartition(max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism))
+
+
+def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The SQL of a derived table; the shared tables, single files here, are dealt out before the wide columns are made."""
+    text = with_clause(f"SELECT * FROM {name}", SHARED)
+    tables = {t: _dealt(table(spark, sf_dir, t)) for t in TABLES if f"@{t}@" in text}
+    return spark.sql(re.sub(r"@(\w+)@", r"{\1}", text), **tables)
+
+
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
@@ -280,12 +292,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _WRITTEN:
-        text = with_clause(f"SELECT * FROM {name}", SHARED)
-        tables = {t: table(spark, sf_dir, t) for t in TABLES if f"@{t}@" in text}
         path = scratch(spark)
-        made = spark.sql(re.sub(r"@(\w+)@", r"{\1}", text), **tables)
-        # the shared tables are single files here; land one file per core
-        width = max(made.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-        made.repartition(width).write.parquet(path)
+        _made(spark, sf_dir, name).write.parquet(path)
         _WRITTEN[at] = path
     return spark.read.parquet(_WRITTEN[at])

@@ -1,8 +1,9 @@
-"""Joins whose sides are exploded must not be gathered in the driver for a broadcast."""
+"""Plans: exploded sides are not gathered in the driver, wide rows not shuffled without need."""
 
 from pyspark.sql import functions as F
 
 from strandloom.operators import neardupe
+from strandloom.queries import derived
 from strandloom.session import durable
 
 
@@ -30,3 +31,12 @@ def test_near_duplicates_of_a_small_pool_are_found_without_broadcast(spark, monk
     found = neardupe.near_dupe_sequences(df).collect()
     assert [tuple(r) for r in found] == [("ACGTACGTACGTACGTACGA", "ACGTACGTACGTACGTACGT", 1)]
     assert "BroadcastHashJoin" not in plans[-1]
+
+
+def test_derived_tables_shuffle_the_narrow_columns(spark, tmp_path):
+    spark.range(40).selectExpr("id AS o_orderkey", "id AS o_custkey", "CAST(id AS DOUBLE) AS o_totalprice", "repeat('x', 50) AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    made = derived._made(spark, str(tmp_path), "legacy")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and plan.index("md5(") < plan.index("Repartition")
+    assert "o_orderpriority" not in plan[plan.index("Repartition"):].split("Relation")[0]
+    assert made.count() == 40
