@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandloom.operators import neardupe
-from strandloom.queries import derived
+from strandloom.queries import derived, docs
 from strandloom.session import durable
 
 
@@ -40,3 +40,13 @@ def test_derived_tables_shuffle_the_narrow_columns(spark, tmp_path):
     assert plan.count("Repartition") == 1 and plan.index("md5(") < plan.index("Repartition")
     assert "o_orderpriority" not in plan[plan.index("Repartition"):].split("Relation")[0]
     assert made.count() == 40
+
+
+def test_a_stream_lands_in_as_many_files_as_its_rows_have_partitions(spark, tmp_path):
+    rows = spark.range(0, 6000, 1, 12).withColumnRenamed("id", "row_id")
+    docs._two_triggers(rows, "row_id", f"{tmp_path}/in")
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert len(files) == 24
+    spans = [spark.read.parquet(str(f)).selectExpr("min(row_id)", "max(row_id)", "count(*)").first() for f in files]
+    assert sum(s[2] for s in spans) == 6000 and max(s[2] for s in spans) < 600
+    assert max(s[1] for s in spans[:12]) < min(s[0] for s in spans[12:])
