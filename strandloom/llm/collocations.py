@@ -35,7 +35,9 @@ LEAST = 30
 TOP = 2000
 BUDGET = 1 << 21  # suffixes in a group
 BUCKETS = 1 << 16
-HELD = 1 << 20  # suffixes, or different words, that a task holds before it passes them on
+HELD = 1 << 19  # suffixes that a task holds before it passes them on
+HELD_WORDS = 1 << 18  # different words that a task holds before it passes them on
+SLICE = 1 << 20  # bytes of neighbouring texts that are looked at together; arrays take some 40 bytes for each
 
 #: Where texts are cut into pieces, and what separates words besides.
 CUTS = runs.byte_set(lambda b: chr(b) in ".,;:!?\n\x0b\x0c\r")
@@ -54,7 +56,7 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
     """Slices of the texts of a batch (lang, text), one language at a time."""
     for lang in pc.unique(batch.column(0)).to_pylist():
         texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
-        for lo, hi in runs.slices(texts):
+        for lo, hi in runs.slices(texts, SLICE):
             yield lang, texts.slice(lo, hi - lo)
 
 
@@ -75,29 +77,30 @@ def _cut(texts: pa.Array, seed: int):
 
 def _count_words(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int], int] = {}
+        counts: dict[str, dict[int, int]] = {}
         words: dict[int, str] = {}
 
-        def out() -> pa.RecordBatch:
-            keys = list(zip(*counts)) or [[], []]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()),
-                 pa.array([words[h] for h in keys[1]], pa.string()), pa.array(list(counts.values()), pa.int64())],
-                names=["lang", "h", "word", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.int64(), size=len(own)),
+                     pa.array(map(words.__getitem__, own), pa.string(), size=len(own)), pa.array(own.values(), pa.int64(), size=len(own))],
+                    names=["lang", "h", "word", "n"])
+            counts.clear()
+            words.clear()
 
         for batch in batches:
             for lang, texts in _by_language(batch):
                 data, starts, ends, hashed, _ = _cut(texts, seed)
                 found, at, n = np.unique(runs.signed(hashed), return_index=True, return_counts=True)
+                own = counts.setdefault(lang, {})
                 for h, i, k in zip(found.tolist(), at.tolist(), n.tolist()):
                     if h not in words:
                         words[h] = runs.FOLD[data[starts[i]:ends[i]]].tobytes().decode("utf-8", "replace")
-                    counts[lang, h] = counts.get((lang, h), 0) + k
-                if len(counts) > HELD:
-                    yield out()
-                    counts.clear()
-                    words.clear()
-        yield out()
+                    own[h] = own.get(h, 0) + k
+                if sum(map(len, counts.values())) > HELD_WORDS:
+                    yield from out()
+        yield from out()
 
     return run
 

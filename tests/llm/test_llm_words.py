@@ -272,3 +272,33 @@ def test_windows_without_rows(spark):
     assert decontam.decontaminate(cases.empty(spark), some).collect() == []
     rows = decontam.decontaminate(cases.frame(spark, ["a b c", None]), none).collect()
     assert [(r.n_words, r.n_hit, r.spans, r["items"]) for r in sorted(rows, key=lambda r: r.doc_id)] == [(3, 0, [], []), (0, 0, [], [])]
+
+
+def test_phrase_tasks_hold_little_memory():
+    """A task's arrays follow from its slices and the suffixes it holds, not from its batch."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(50_000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 500)) for _ in range(3_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+
+    class Shared:
+        value = collocations.Plan(np.full(1 << 13, 255, np.uint8), 16, np.arange(1, 64, dtype=np.uint64) << np.uint64(10), 0)
+
+    def peak(run):
+        total = 0
+        tracemalloc.start()
+        try:
+            for out in run(iter([batch])):
+                column = "n"
+                n = out.column(column)
+                total += int(np.frombuffer(n[0].as_py(), np.uint32).sum()) if pa.types.is_binary(n.type) else sum(n.to_pylist())
+            return total, tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    total, mb = peak(collocations._deal(Shared))
+    assert total == 3_000 * 499 and mb < 130, (total, mb)
+    total, mb = peak(collocations._count_words(0))
+    assert total == 3_000 * 500 and mb < 90, (total, mb)
