@@ -50,3 +50,33 @@ def test_a_stream_lands_in_as_many_files_as_its_rows_have_partitions(spark, tmp_
     spans = [spark.read.parquet(str(f)).selectExpr("min(row_id)", "max(row_id)", "count(*)").first() for f in files]
     assert sum(s[2] for s in spans) == 6000 and max(s[2] for s in spans) < 600
     assert max(s[1] for s in spans[:12]) < min(s[0] for s in spans[12:])
+
+
+def test_plain_words_come_before_patterns(spark):
+    """Assays and buffers are looked for by plain words first, and found as by the patterns alone."""
+    from strandloom import fixed_values as fv
+    from strandloom.functions import extract
+
+    said = [
+        "by CE-SELEX", "capillary  electrophoresis selection", "micro-fluidic aptamer", "whole-cell SELEX", "Cell-Systematic", "capture SELEX",
+        "TOGGLE selex", "magnetic particle selection", "bead-based SELEX", "MACS-SELEX", "SPR", "surface\tplasmon resonance", "biacore", "itc",
+        "isothermal titration calorimetry", "emsa", "electrophoretic mobility shift", "Gel shift assay", "band shift assay", "MST",
+        "microscale thermophoresis", "BLI", "biolayer interferometry", "bio-layer interferometry", "Octet", "nitrocellulose filter",
+        "filter binding assay", "membrane filter assay", "fluorescence polarization", "FA assay", "flow cytometry", "FACS screening", "SELEX",
+        "systematic evolution of ligands", "ſelex", "ſPR and Biacore", "band ſhift assay", "PBſ", "buﬀer", "µ and flow cytometry",
+        "PBS", "phosphate-buffered saline", "HEPES", "Tris-HCl", "selection buffer. Then Tris", "sodium phosphate", "any buffer", "none", "", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in said], "text string")
+    c = F.col("text")
+
+    def plain(patterns):
+        out = None
+        for name, pattern in patterns:
+            out = F.when(c.rlike("(?iU)" + pattern), name) if out is None else out.when(c.rlike("(?iU)" + pattern), name)
+        return out
+
+    got = df.select("text", extract.extract_assay(c).alias("a"), extract._buffer_of(c).alias("b"))
+    want = df.select("text", F.coalesce(plain(fv.ASSAY_PATTERNS), F.lit("")), plain(fv.BUFFER_PATTERNS))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert set(extract.ASSAY_WORDS) == {n for n, _ in fv.ASSAY_PATTERNS} and set(extract.BUFFER_WORDS) == {n for n, _ in fv.BUFFER_PATTERNS}
+    assert "Contains(" in _plan(df.select(extract.extract_assay(c)))
