@@ -80,3 +80,36 @@ def test_plain_words_come_before_patterns(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
     assert set(extract.ASSAY_WORDS) == {n for n, _ in fv.ASSAY_PATTERNS} and set(extract.BUFFER_WORDS) == {n for n, _ in fv.BUFFER_PATTERNS}
     assert "Contains(" in _plan(df.select(extract.extract_assay(c)))
+
+
+def test_table_cells_are_parsed_once(spark):
+    """The pattern of affinities is tried twice for a cell, for its value and its unit, and once where no header names a column."""
+    from strandloom.plans import harvest
+
+    docs_ = spark.sql("SELECT 1 AS doc_id, '' AS fallback_target, array(struct('' AS label, '' AS caption, array(array('a')) AS rows)) AS tables FROM range(3)")
+    plan = harvest.table_hits(docs_)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(pM|nM|[µu]M|mM)\\b") == 3
+
+
+def test_sequences_of_cells_are_those_of_the_text(spark):
+    from strandloom.functions import extract
+
+    good, poor = "ACGTTGCAAGCTTGCATCGA", "A" * 24
+    cells = ["", None, good, good.lower(), f"5'-{good}-3'", f"{good} {good}", f"{poor} {good}", f"{good} {good.replace('T', 'U')}",
+             " ".join(good[i:i + 5] for i in range(0, 20, 5)), good[:19], good.replace("T", "U"), f"x{good}", f"{good}, {good[::-1]}"]
+    df = spark.createDataFrame(list(enumerate(cells)), "id int, s string")
+    got = extract.sequence_rows(df, "s").orderBy("id", "hit_no").select("id", "sequence").collect()
+    want = df.select("id", F.posexplode(extract.extract_sequences(F.col("s"))).alias("i", "h")).orderBy("id", "i").select("id", "h.sequence").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(want) >= 9
+
+
+def test_columns_without_headers_are_still_found_by_their_cells(spark):
+    from strandloom.plans import harvest
+
+    good = "ACGTTGCAAGCTTGCATCGA"
+    tables = [([["a", "b", "c"], [" ", "5 nM", good], ["y", "x", good]], (2, 1, None)),
+              ([["sequence", "oligo", "Kd"], ["x", good, "1"], [good, good, "2"]], (1, 2, None)),
+              ([["sequence", "oligo", "target"], [good, good, "1"]], (0, None, 2)), ([["a", "b"], ["1", "2"], [None, "4"]], (None, None, None))]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(tables)], "id int, rows array<array<string>>")
+    got = harvest.detect_columns(df).orderBy("id").select("seq_col", "kd_col", "target_col").collect()
+    assert [tuple(r) for r in got] == [w for _, w in tables]
