@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom import fixed_values as fv
 from strandloom import schemas
 from strandloom.functions import extract, text
+from strandloom.functions.bind import bind, once
 from strandloom.operators import audit, dedup, enrich, validate
 from strandloom.plans import clean as cleaning
 from strandloom.plans import harvest
@@ -237,16 +238,31 @@ def parse_article_xml(spark, sf):
 
 def _twice(df, key):
     """Every document lands twice; the later copy must not win."""
-    again = df.withColumn("ord", F.col("ord") + 10_000_000_000).withColumn(
-        "value", F.replace("value", F.lit("An aptamer"), F.lit("An aptamer again"))
+    again = F.struct(
+        (F.col("ord") + 10_000_000_000).alias("ord"), F.replace("value", F.lit("An aptamer"), F.lit("An aptamer again")).alias("value")
     )
-    return df.unionByName(again)
+    made = once(df.withColumnRenamed("value", "_made"), "value", F.col("_made"))  # once for both copies
+    return made.select(F.explode(F.array(F.struct(F.col("ord").cast("bigint").alias("ord"), "value"), again)).alias("d")).select("d.*")
 
 
 def _json(*columns):
     return F.to_json(F.struct(*columns))
 
 
+def _inverted(df, words):
+    """Add ``m``, {word: [positions]} of an array of words, made in the row itself: words are sorted and cut where they change."""
+    placed = F.sort_array(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("at"))))
+    a, last = F.col("_a"), F.size("_a")
+    change = lambda i: (i == 0) | (F.get(a, i)["w"] != F.get(a, i - 1)["w"])
+    starts = F.filter(F.sequence(F.lit(0), last - 1), change)
+    entries = bind(starts, lambda s: F.transform(s, lambda b, k: F.struct(
+        F.get(a, b)["w"].alias("key"),
+        F.transform(F.sequence(b, F.coalesce(F.get(s, k + 1), last) - 1), lambda j: F.get(a, j)["at"]).alias("value"),
+    )))
+    x = once(df, "_w", words).where(F.size("_w") > 0).transform(once, "_a", placed)
+    return once(x, "m", F.map_from_entries(entries)).select(*df.columns, "m")
+
+
 _TITLE = "CASE {0} % 3 WHEN 0 THEN 'An aptamer' WHEN 1 THEN 'A SELEX' ELSE 'Other' END"
 
 
@@ -261,13 +277,8 @@ def _title(key):
          CASE doc_id % 4 WHEN 0 THEN concat('W', doc_id) ELSE concat('https://doi.org/10.1/', doc_id) END AS url FROM documents WHERE doc_id % 3 <> 2""",
 )
 def normalise_inverted_index(spark, sf):
-    words = table(spark, sf, "documents").select(
-        "doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "word")
-    )
-    index = (
-        words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
-        .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("m"))
-    )
+    words = F.array_remove(F.split("text", r"\s+"), "")
+    index = _inverted(table(spark, sf, "documents").select("doc_id", "text"), words)
     doi = F.expr(
         "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('10.1/', doc_id) ELSE concat('https://doi.org/10.1/', doc_id) END"
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
-from strandloom.functions.bind import bind
+from strandloom.functions.bind import bind, once
 from strandloom.functions.text import keyword_gate
 from strandloom.functions.space import strip
 from strandloom.operators.skew import keep_first
@@ -32,9 +32,9 @@ def _finish(df: DataFrame, first: bool = True) -> DataFrame:
     return keep_first(out, [F.col("source_id")], order=("ord",)) if first else out
 
 
-def rebuild_abstract(index: Column) -> Column:
-    """Text from {word: [positions]}; a later word wins a shared position."""
-    placed = F.array_sort(
+def placed_words(index: Column) -> Column:
+    """The words of {word: [positions]} by position, as array<struct<p, i, w>>; i is the word's place in the map."""
+    return F.sort_array(
         F.flatten(
             F.transform(
                 F.map_entries(index),
@@ -45,6 +45,10 @@ def rebuild_abstract(index: Column) -> Column:
             )
         )
     )
+
+
+def joined_words(placed: Column) -> Column:
+    """Text of placed words; a later word wins a shared position."""
     kept = bind(
         placed,
         lambda a: F.filter(
@@ -54,23 +58,37 @@ def rebuild_abstract(index: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(kept, lambda x: x["w"]), " "), F.lit(""))
 
 
+def rebuild_abstract(index: Column) -> Column:
+    """Text from {word: [positions]}; a later word wins a shared position."""
+    return joined_words(placed_words(index))
+
+
+def _first_values(df: DataFrame, source_id: Column) -> DataFrame:
+    """(ord, value) of the first arrival of every id, before more of a document is parsed than its id."""
+    x = df.select(source_id.alias("_id"), F.struct("ord", "value").alias("_d"))
+    return x.groupBy("_id").agg(F.min("_d").alias("_d")).select("_d.*")
+
+
 def from_openalex(df: DataFrame) -> DataFrame:
+    first = _first_values(df, F.from_json("value", "id string")["id"])
     w = F.from_json(
         "value",
         "id string, title string, doi string, abstract_inverted_index map<string,array<int>>",
     )
-    x = df.withColumn("w", w)
+    # sorted words are a column of their own, as sorting inside a larger expression is several times slower
+    x = once(first, "w", w).select("ord", "w").transform(
+        once, "_placed", placed_words(F.col("w.abstract_inverted_index"))
+    ).transform(once, "text", _text(F.col("w.title"), joined_words(F.col("_placed"))))
     doi = F.coalesce("w.doi", F.lit(""))
     x = x.select(
-        "ord", F.col("w.id").alias("source_id"),
-        _text(F.col("w.title"), rebuild_abstract(F.col("w.abstract_inverted_index"))).alias("text"),
+        "ord", F.col("w.id").alias("source_id"), "text",
         doi.alias("doi"),
         F.when(doi.startswith("http"), doi)
         .when(doi != "", F.concat(F.lit("https://doi.org/"), doi))
         .otherwise(F.col("w.id")).alias("url"),
         F.lit("paper").alias("source_type"),
     )
-    return _finish(x).where(keyword_gate(F.col("text"), fv.GATE_WORKS))
+    return _finish(x, first=False).where(keyword_gate(F.col("text"), fv.GATE_WORKS))
 
 
 def from_paper_search(df: DataFrame) -> DataFrame:

@@ -113,3 +113,12 @@ def test_columns_without_headers_are_still_found_by_their_cells(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(tables)], "id int, rows array<array<string>>")
     got = harvest.detect_columns(df).orderBy("id").select("seq_col", "kd_col", "target_col").collect()
     assert [tuple(r) for r in got] == [w for _, w in tables]
+
+
+def test_works_landed_twice_are_parsed_and_rebuilt_once(spark, tmp_path):
+    """The index is made in the row, without a shuffle of words; of two arrivals only the first is rebuilt."""
+    spark.sql("SELECT id AS doc_id, CASE id WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 3 THEN 'b a  b\\nc' ELSE 'a' END AS text FROM range(5)").write.parquet(f"{tmp_path}/documents.parquet")
+    out = docs.normalise_inverted_index(spark, str(tmp_path))
+    assert [tuple(r) for r in out.select("source_id", "text").orderBy("source_id").collect()] == [("W3", "An aptamer\nb a b c"), ("W4", "A SELEX\na")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Union" not in plan
