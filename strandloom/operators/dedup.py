@@ -91,13 +91,16 @@ def rc_dedup(
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, audit) of ``rc_marked``; who reads both should take the flag, or write it first."""
     flagged = rc_marked(df, seq, mode, "_gone")
-    kept = flagged.where(~F.col("_gone")).select(*df.columns)
-    audit = flagged.where("_gone").select(
+    return flagged.where(~F.col("_gone")).select(*df.columns), rc_audit(flagged, "_gone")
+
+
+def rc_audit(marked: DataFrame, flag: str = "rc_gone") -> DataFrame:
+    """The rows that ``rc_marked`` takes out, with phase and reason."""
+    return marked.where(flag).select(
         F.lit("1_rc_pair").alias("phase"),
         F.lit("reverse_complement_pair_deduplicated").alias("reason"),
-        *df.columns,
+        *[c for c in marked.columns if c != flag],
     )
-    return kept, audit
 
 
 def mark_against(

@@ -180,7 +180,7 @@ def assign_existing(
     )
     keyed = df.withColumn("_s", F.upper(F.col(seq))).withColumn("_t", F.lower(F.col(target)))
     names_by_rank = F.get(F.array(*[F.lit(s) for s in fv.SPLITS]), F.col("_rank"))
-    joined = skew.attach(keyed, table, ["_s", "_t"])
+    joined = keyed.join(table, ["_s", "_t"], "left")  # the table has one row per key
     return joined.select(
         *[c for c in df.columns if c != "split"],
         F.coalesce(names_by_rank, F.lit("unassigned")).alias("split"),
@@ -319,15 +319,18 @@ def resolve_compounds(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFra
         .withColumn("target_id_source", F.when(hit, "PubChem").otherwise(F.col("target_id_source")))
         .select(*df.columns)
     )
-    misses = (
-        df.where(small & F.col("target_name").isNotNull()).select("target_name").distinct()
-        .join(table.select(F.col("_name").alias("target_name")), "target_name", "left_anti")
-        .select(
-            F.lit("5_pubchem").alias("phase"), F.lit("pubchem_lookup_failed").alias("reason"),
-            "target_name", F.lit("small_molecule").alias("target_type"),
-        )
+    return filled, unresolved_compounds(df, ids)
+
+
+def unresolved_compounds(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Distinct names of small molecules without an id."""
+    named = df.where((F.col("target_type") == "small_molecule") & F.col("target_name").isNotNull())
+    return named.select("target_name").distinct().join(
+        ids.select(F.col("name").alias("target_name")), "target_name", "left_anti"
+    ).select(
+        F.lit("5_pubchem").alias("phase"), F.lit("pubchem_lookup_failed").alias("reason"),
+        "target_name", F.lit("small_molecule").alias("target_type"),
     )
-    return filled, misses
 
 
 def top_targets(df: DataFrame, n: int | None) -> DataFrame:

@@ -38,6 +38,44 @@ def review_queue(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def _narrow(legacy: DataFrame) -> DataFrame:
+    """The columns on which the phases decide."""
+    return legacy.select(
+        "row_id", "sequence", "target_protein", "uniprot_id", "Kd_nM",
+        F.length("protein_sequence").alias("protein_size"),
+        names.classify_clean(F.col("target_protein"), F.col("protein_sequence")).alias("target_type"),
+    )
+
+
+def _flagged(complements: DataFrame, moved: DataFrame, misses: DataFrame | None) -> DataFrame:
+    parts = [
+        complements.select("phase", "reason", "row_id", F.col("sequence"), F.col("target_protein").alias("target_name")),
+        moved.select("phase", "reason", "row_id", F.col("aptamer_sequence").alias("sequence"), "target_name"),
+    ]
+    if misses is not None:
+        parts.append(misses.select("phase", "reason", "target_name"))
+    return review_queue(*parts)
+
+
+def review(legacy: DataFrame, splits: DataFrame, compounds: DataFrame | None = None) -> DataFrame:
+    """The review queue of ``clean`` alone, without what only the cleaned rows need.
+
+    The legacy rows are not written in buckets and phases 3 to 6 write nothing.  Phase 3 changes splits only, so the
+    names of phase 5 are those of the rows of phase 1 that phase 4 keeps.
+    """
+    narrow = _narrow(legacy).select("row_id", "sequence", "target_protein", "target_type")
+    marked = durable(dedup.rc_marked(durable(dedup.exact_dedup(narrow)), flag="_gone"))
+    kept = marked.where(~F.col("_gone")).drop("_gone")
+    rows = durable(enrich.assign_existing(kept.drop("target_type"), splits))
+    named = rows.withColumnsRenamed({"sequence": "aptamer_sequence", "target_protein": "target_name"})
+    misses = None
+    if compounds is not None:
+        misses = enrich.unresolved_compounds(
+            validate.quarantine(kept)[0].withColumnRenamed("target_protein", "target_name"), compounds
+        )
+    return _flagged(dedup.rc_audit(marked, "_gone"), audit.leakage_moves(named)[1], misses)
+
+
 def _donors(decided: DataFrame, base: DataFrame) -> DataFrame:
     """(target_id, _found, _rows): the protein of the first row of an id that has one, and how many rows lack it."""
     gap, usable = F.coalesce("protein_size", F.lit(0)) == 0, F.col("protein_size") > 10
@@ -64,13 +102,8 @@ def clean(
     keep = (lambda df, n: phase_snapshot(df, snapshots, n)) if snapshots else (lambda df, n: durable(df))
 
     base = bucketed(legacy)
-    narrow = base.select(
-        "row_id", "sequence", "target_protein", "uniprot_id", "Kd_nM",
-        F.length("protein_sequence").alias("protein_size"),
-        names.classify_clean(F.col("target_protein"), F.col("protein_sequence")).alias("target_type"),
-    )
     # 1: exact and complement copies; 2: audit of the older splits
-    unique = durable(dedup.exact_dedup(narrow))
+    unique = durable(dedup.exact_dedup(_narrow(base)))
     rows, complements = dedup.rc_dedup(unique)
     rows = keep(enrich.assign_existing(rows, splits), 1)
     named = rows.withColumnsRenamed({"sequence": "aptamer_sequence", "target_protein": "target_name"})
@@ -104,10 +137,6 @@ def clean(
     # 7: audit of the result
     out = validate.downgrade_bad_sequences(out)
 
-    parts = [
-        complements.select("phase", "reason", "row_id", F.col("sequence"), F.col("target_protein").alias("target_name")),
-        moved.select("phase", "reason", "row_id", F.col("aptamer_sequence").alias("sequence"), "target_name"),
-    ]
-    if misses is not None:
-        parts.append(misses.select("phase", "reason", "target_name"))
-    return Cleaned(out, review_queue(*parts), removed, coverage, leak_targets, validate.export_audit(out))
+    return Cleaned(
+        out, _flagged(complements, moved, misses), removed, coverage, leak_targets, validate.export_audit(out)
+    )

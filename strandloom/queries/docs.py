@@ -864,7 +864,8 @@ def clean_removed(spark, sf):
        UNION ALL SELECT '5_pubchem', NULL, n FROM (SELECT DISTINCT target_protein AS n FROM full_typed WHERE target_type = 'small_molecule' AND target_protein NOT IN (SELECT name FROM compound_ids)) x""",
 )
 def review_queue(spark, sf):
-    return _cleaned(spark, sf).review.select(
+    found = cleaning.review(derived(spark, sf, "legacy"), derived(spark, sf, "old_splits"), derived(spark, sf, "compound_ids"))
+    return found.select(
         "phase", "row_id", F.when(F.col("phase") == "5_pubchem", F.col("target_name")).alias("target_name")
     )
 

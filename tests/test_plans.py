@@ -28,6 +28,21 @@ def test_cleaned_rows_are_put_together_without_a_shuffle(spark):
     assert len(rows) == len({r.row_id for r in rows}) > 500
 
 
+def test_review_queue_writes_no_cleaned_rows(spark, monkeypatch):
+    tables = [derived(spark, SF, n) for n in ("legacy", "old_splits", "compound_ids")]
+    whole = clean.clean(*tables).review
+    monkeypatch.setattr(clean, "bucketed", None)  # a call fails
+    alone = clean.review(*tables)
+    assert alone.columns == whole.columns and alone.count() == whole.count() > 20
+    assert alone.exceptAll(whole).isEmpty()
+    assert clean.review(*tables[:2]).where("phase = '5_pubchem'").isEmpty()
+    monkeypatch.undo()
+    from strandloom.queries import docs
+
+    monkeypatch.setattr(docs.cleaning, "clean", None)
+    assert docs.review_queue(spark, SF).count() == alone.count()
+
+
 def test_curated_rows_take_proteins_by_id(spark):
     kept, gone = "ACGT" * 8, "ACGTT" * 5
     legacy = derived(spark, SF, "legacy").limit(0)
