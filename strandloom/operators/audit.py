@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from strandloom import fixed_values as fv
 from strandloom.functions import names, sequence
-from strandloom.operators import skew
+from strandloom.operators import dedup, skew, validate
 from strandloom.operators.validate import split_membership
+from strandloom.session import durable
 
 
 def label_conflicts(df: DataFrame) -> DataFrame:
@@ -168,6 +169,12 @@ def merge_stats(df: DataFrame, valid: str = "valid", new: str = "is_new", in_bat
     ).withColumn("source_type", F.coalesce("source_type", F.lit("total")))
 
 
+def batch_stats(df: DataFrame, *known: DataFrame) -> DataFrame:
+    """``merge_stats`` of a batch of records; what the record contract says is written narrow, so it is checked once."""
+    checked = durable(validate.validate_record(df).select("row_id", "source_type", "aptamer_sequence", "target_name", "valid"))
+    return merge_stats(dedup.merge_decisions(checked, *known))
+
+
 def homopolymer_audit(df: DataFrame, k: int, seq: str = "aptamer_sequence") -> DataFrame:
     """The k rows with the longest runs of at least 3 (a top-k report)."""
     run = sequence.longest_run_base(F.col(seq))

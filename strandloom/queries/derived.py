@@ -282,12 +282,8 @@ def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table, built by Spark from the shared tables.
-
-    It is written once per session and then read like any landed table, so
-    filters and column pruning stop at its scan.
-    """
+def path_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The folder of a derived table, written once per session."""
     from strandloom.queries.registry import scratch
 
     at = (spark.sparkContext.applicationId, sf_dir, name)
@@ -295,4 +291,13 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         path = scratch(spark)
         _made(spark, sf_dir, name).write.parquet(path)
         _WRITTEN[at] = path
-    return spark.read.parquet(_WRITTEN[at])
+    return _WRITTEN[at]
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table, built by Spark from the shared tables.
+
+    It is written once per session and then read like any landed table, so
+    filters and column pruning stop at its scan.
+    """
+    return spark.read.parquet(path_of(spark, sf_dir, name))

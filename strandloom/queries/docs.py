@@ -11,7 +11,7 @@ from strandloom.functions.bind import bind, once
 from strandloom.operators import audit, dedup, enrich, validate
 from strandloom.plans import clean as cleaning
 from strandloom.plans import harvest
-from strandloom.queries.derived import derived, table
+from strandloom.queries.derived import derived, path_of, table
 from strandloom.queries.registry import CHECKS, query, scratch
 from strandloom.queries.groups import _PRIORITY_COUNTS
 from strandloom.queries.rows import _CLEAN_KIND, _CONFIDENCE, _SOURCE_ID, _SOURCE_TYPE
@@ -79,10 +79,9 @@ def write_provenance(spark, sf):
 )
 def append_unique_sink(spark, sf):
     folder = scratch(spark)
-    derived(spark, sf, "master").write.parquet(f"{folder}/master")
     batch = derived(spark, sf, "text_records")
     for _ in range(2):  # the second run must add nothing
-        sinks.append_unique(batch, f"{folder}/master", f"{folder}/out")
+        sinks.append_unique(batch, path_of(spark, sf, "master"), f"{folder}/out")
     return spark.read.schema(schemas.RECORD).parquet(f"{folder}/out").select(
         "aptamer_sequence", "target_name", "kd_value"
     )
@@ -116,9 +115,8 @@ _STATS = ("incoming", "valid", "invalid", "known_duplicates", "batch_duplicates"
 )
 def coverage_report(spark, sf):
     """One line of the report each; the time of the run is masked."""
-    checked = validate.validate_record(derived(spark, sf, "text_records"))
-    decided = dedup.merge_decisions(checked, derived(spark, sf, "master"))
-    total = audit.merge_stats(decided).where("source_type = 'total'").first()
+    stats = audit.batch_stats(derived(spark, sf, "text_records"), derived(spark, sf, "master"))
+    total = stats.where("source_type = 'total'").first()
     path = scratch(spark)
     sinks.write_report(spark, total.asDict(), path)
     lines = spark.read.text(path).where("value <> ''")

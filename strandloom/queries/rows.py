@@ -411,8 +411,7 @@ def dedup_against_master(spark, sf):
          count(*) FILTER (n_errors = 0 AND NOT known AND rn = 1) AS new_rows FROM batch_fate GROUP BY ROLLUP (source_type)""",
 )
 def merge_stats(spark, sf):
-    checked = validate.validate_record(derived(spark, sf, "text_records"))
-    return audit.merge_stats(dedup.merge_decisions(checked, _master(spark, sf)))
+    return audit.batch_stats(derived(spark, sf, "text_records"), _master(spark, sf))
 
 
 @query(

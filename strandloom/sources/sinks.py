@@ -26,9 +26,9 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
 def append_unique(df: DataFrame, master_path: str, out_path: str) -> dict:
     """Append valid records neither master nor output has; never touch the master.
 
-    ``df`` holds record columns and ``row_id``.  The statistics are observed
-    while the rows are written, so there is no second pass.  Without new rows an
-    empty table with the record schema is left behind.
+    ``df`` holds record columns and a unique ``row_id``.  The record contract is checked once, on the way to
+    one verdict per key; the statistics come from there, and new rows are fetched by the ids in it.  Without
+    new rows an empty table with the record schema is left behind.
     """
     if out_path.rstrip("/") == master_path.rstrip("/"):
         raise ValueError("the output must not be the master")
@@ -37,19 +37,20 @@ def append_unique(df: DataFrame, master_path: str, out_path: str) -> dict:
     before = _existing(spark, out_path)
     if before is not None:
         known.append(before)
-    decided = dedup.merge_decisions(validate.validate_record(df), *known)
     seen = Observation("append_unique")
-    watched = decided.observe(
-        seen,
-        F.count(F.lit(1)).alias("incoming"),
-        F.count_if("valid").alias("valid"),
-        F.count_if(~F.col("valid")).alias("invalid"),
-        F.count_if(F.col("valid") & ~F.col("is_new") & ~F.col("in_batch")).alias("known_duplicates"),
-        F.count_if(F.col("valid") & ~F.col("is_new") & F.col("in_batch")).alias("batch_duplicates"),
-        F.count_if("is_new").alias("new_rows"),
+    checked = validate.validate_record(df).observe(
+        seen, F.count(F.lit(1)).alias("incoming"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"),
     )
-    validate.to_records(watched.where("is_new")).write.mode("append").parquet(out_path)
-    return dict(seen.get)
+    verdicts = dedup.merge_verdicts(checked, *known)
+    new = verdicts.where(~F.col("_known"))
+    added = df.join(new.select(F.col("_lead").alias("row_id")), "row_id", "left_semi")
+    validate.to_records(added).write.mode("append").parquet(out_path)
+    sums = verdicts.agg(
+        F.coalesce(F.sum(F.when(F.col("_known"), F.col("_n"))), F.lit(0)).alias("known_duplicates"),
+        F.coalesce(F.sum(F.when(~F.col("_known"), F.col("_n") - 1)), F.lit(0)).alias("batch_duplicates"),
+        F.count_if(~F.col("_known")).alias("new_rows"),
+    ).first()
+    return {**seen.get, **sums.asDict()}
 
 
 def provenance_rows(records: DataFrame) -> DataFrame:

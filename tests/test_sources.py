@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom import schemas
-from strandloom.operators import canonical, enrich, features, mapping, validate
+from strandloom.operators import audit, canonical, enrich, features, mapping, validate
 from strandloom.plans import harvest
 from strandloom.sources import documents, landed, sinks, tables
 from strandloom.streaming import ingest
@@ -158,6 +158,33 @@ def test_append_unique(spark, tmp_path):
     assert "new_rows" in sinks.report_text(first)
 
 
+def test_contract_of_a_batch_is_checked_once(spark, tmp_path, monkeypatch):
+    master, out = str(tmp_path / "m"), str(tmp_path / "o")
+    known = spark.createDataFrame([(DNA[0], "VEGF"), (DNA[0], "vegf"), (None, None)], "sequence string, target_protein string")
+    known.write.parquet(master)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(row):
+        read.add(1)
+        return row != 5
+
+    def checked(df):
+        return df.withColumn("valid", counted.asNondeterministic()(F.col("row_id")))
+
+    monkeypatch.setattr(validate, "validate_record", checked)
+    batch = records(spark, [
+        record(1, DNA[0], "VEGF"), record(2, DNA[1], "VEGF"), record(3, DNA[1], "vegf "), record(4, DNA[2], "IgE"), record(5, "", "IgE"),
+    ])
+    first = sinks.append_unique(batch, master, out)
+    assert read.value == 5
+    assert first == {"incoming": 5, "valid": 4, "invalid": 1, "known_duplicates": 1, "batch_duplicates": 1, "new_rows": 2}
+    assert sorted(r.aptamer_sequence for r in spark.read.parquet(out).collect()) == sorted(DNA[1:3])
+    total = audit.batch_stats(batch, known).where("source_type = 'total'").first()
+    assert read.value == 10
+    assert {k: v for k, v in total.asDict().items() if k != "source_type"} == first
+
+
 def test_read_table_variants(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text(",".join(f.name for f in schemas.LEGACY) + "\n" + "ACGT,VEGF,,,5.5,7.4,,,0,,1,,1,false,,true,utexas\n")
