@@ -23,15 +23,19 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.llm.text import Recent
 
 MEMO = 250_000
+STEP = 512  # rows whose results a Python worker holds
 LONGEST = 64  # characters of a word that is kept
 #: What stands before and behind a code point where the two ways are compared: letters, digits, other signs, marks
 #: of the least and the greatest combining class, an accent.
@@ -205,16 +209,24 @@ def unpack(ids: Column) -> Column:
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids, decoded) of every document; ids are packed, see ``unpack``.
 
-    Both ways run in one pass, so a task needs one Python worker.
+    Both ways run in one pass, so a task needs one Python worker, which holds the results of ``STEP`` rows at a time
+    and not those of a whole Arrow batch.
     """
+    schema = T.StructType([
+        T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType()),
+    ])
 
-    @F.pandas_udf("ids binary, decoded string")
-    def both(texts: pd.Series) -> pd.DataFrame:
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = word_bpe(path)
-        ids = [one.encode(t) for t in texts]
-        return pd.DataFrame({"ids": ids, "decoded": [one.decode(i) for i in ids]}, dtype=object)
-
-    coded = docs.select(F.col(id_col).alias("_id"), both(F.coalesce(F.col(text_col), F.lit(""))).alias("_b"))
-    return coded.select(
-        F.col("_id").alias(id_col), (F.octet_length("_b.ids") / 4).cast("long").alias("n_tokens"), "_b.ids", "_b.decoded"
-    )
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                ids = [one.encode(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()),
+                    pa.array([one.decode(i) for i in ids], pa.string()),
+                ], names=schema.names)
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(both, schema).withColumnRenamed("id", id_col)

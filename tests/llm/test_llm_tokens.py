@@ -63,6 +63,16 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_decode(cases.empty(spark), path).count() == 0
 
 
+def test_bpe_holds_few_rows_of_a_batch(spark, monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    one, some = bpe.word_bpe(path), ["Hello", None, "", "two words", "a\nb", "é", "Hello"]
+    monkeypatch.setattr(bpe, "STEP", 2)
+    df = bpe.encode_decode(cases.frame(spark, some).coalesce(1), path)
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: (r.n_tokens, bytes(r.ids), r.decoded) for r in df.collect()}
+    assert got == {i: (len(x := one.encode(t)) // 4, x, one.decode(x)) for i, t in enumerate(some)}
+
+
 def test_merge_takes_the_least_rank_and_skips_stale_pairs():
     own = bpe.WordBpe.__new__(bpe.WordBpe)
     own.merges = {(1, 2): (0, 4), (2, 3): (1, 5), (4, 3): (2, 6), (6, 6): (3, 7)}
