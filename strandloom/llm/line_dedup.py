@@ -166,8 +166,9 @@ def index(docs: DataFrame, repeated: DataFrame, ranks: list[int], t: int) -> Dat
 
 
 def longer(crowded: DataFrame, lines: DataFrame, k: int, t: int) -> DataFrame:
-    """Entries on keys of ``k`` + 1 words, from those on keys of ``k``."""
-    held = crowded.join(lines.select("doc", "line", "pre"), ["doc", "line"])
+    """Entries on keys of ``k`` + 1 words, from those on keys of ``k``; a line fetches its prefix once for all its keys."""
+    keys = crowded.groupBy("doc", "line").agg(F.collect_list(F.struct("tok", "pos")).alias("_keys"))
+    held = lines.join(keys, ["doc", "line"]).select(*lines.columns, F.explode("_keys").alias("_key")).select("*", "_key.*")
     end = F.col("n") - _need(F.col("n"), t) + k + 1  # words in the prefix for the longer keys
     rest = F.slice("pre", F.col("pos") + 2, F.greatest(end - F.col("pos") - 1, F.lit(0)))
     return held.select(*crowded.columns, F.posexplode(rest).alias("_i", "_next")).select(*[

@@ -294,3 +294,21 @@ def test_leaders_of_hot_words_need_no_sorted_group(spark):
     led = line_dedup.with_leaders(entries, 80)
     assert "Window" not in led._jdf.queryExecution().toString()
     assert sorted((r.doc, r.by_doc) for r in led.collect()) == [(3, 2), (4, 2)]
+
+
+def test_longer_keys_fetch_a_prefix_once_for_each_line(spark):
+    shape = "tok long, pos int, n int, bits long, bits2 long, doc long, line int"
+    lines = spark.createDataFrame(
+        [(d, 0, 20, 0, 0, 0, list(range(1, 8))) for d in (1, 2)], "doc long, line int, n int, bits long, bits2 long, whole long, pre array<long>"
+    )
+    crowded = spark.createDataFrame([(p + 1, p, 20, 0, 0, d, 0) for d in (1, 2) for p in range(5)], shape)
+    df = line_dedup.longer(crowded, lines, 1, 80)
+    assert df.columns == crowded.columns
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join Inner"):]
+    assert "collect_list" in joined and "collect_list" not in plan[:plan.index("Join Inner")]
+    hashed = dict(spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(a * 10 + b).alias("k"), F.xxhash64(F.lit(a).cast("long"), F.lit(b).cast("long")).alias("h"))
+        for a in range(1, 8) for b in range(a + 1, 8)])).alias("s")).select("s.*").collect())
+    want = sorted((d, hashed[a * 10 + b], b - 1) for d in (1, 2) for a in range(1, 6) for b in range(a + 1, 7))
+    assert sorted((r.doc, r.tok, r.pos) for r in df.collect()) == want
