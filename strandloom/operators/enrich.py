@@ -19,25 +19,32 @@ def interaction_pairs(aptamers: DataFrame, interactions: DataFrame, block: int =
     interactions: int, has_participant, participant_label, dissociation_constant_value
 
     An interaction pairs each of its aptamers with each of its targets.  Equal rows are collapsed before they meet and
-    repeated afterwards, and an interaction of very many rows is cut in blocks (``skew.block_join``).
+    repeated afterwards, and an interaction of very many rows is cut in blocks (``skew.block_join``).  Rows are dealt over
+    partitions by their number before they are collapsed and where they meet, so a task's memory does not grow with the tables.
     """
     ids = aptamers.select(F.col("id").alias("has_participant")).distinct()
-    left = interactions.join(ids, "has_participant", "left_semi").groupBy(
-        "int", F.col("has_participant").alias("aptamer_uri"),
+    parts = skew.parts_for(interactions)
+
+    def counted(df: DataFrame, count: str, *columns: Column) -> DataFrame:
+        rows = df.select(*columns)
+        return rows.repartition(parts, *rows.columns).groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(count))
+
+    left = counted(
+        interactions.join(ids, "has_participant", "left_semi"), "_na", F.col("int"), F.col("has_participant").alias("aptamer_uri"),
         F.col("dissociation_constant_value").alias("kd_molar"),
-    ).agg(F.count(F.lit(1)).alias("_na"))
-    right = interactions.join(ids, "has_participant", "left_anti").groupBy(
-        "int", F.col("participant_label").alias("target_name")
-    ).agg(F.count(F.lit(1)).alias("_nb"))
+    )
+    right = counted(
+        interactions.join(ids, "has_participant", "left_anti"), "_nb", F.col("int"), F.col("participant_label").alias("target_name")
+    )
     described = aptamers.withColumnRenamed("id", "aptamer_uri").withColumn(
         "sequence_clean", sequence.clean_sequence(F.col("sequence"))
     ).where(F.col("sequence_clean").isNotNull()).drop("sequence")
-    met = skew.block_join(left, right, ["int"], block)
+    met = skew.block_join(left.join(described, "aptamer_uri"), right, ["int"], block, parts=parts)
     copies = F.when(F.col("_na") * F.col("_nb") > 1, F.sequence(F.lit(1), F.col("_na") * F.col("_nb"))).otherwise(F.array(F.lit(1)))
-    out = met.withColumn("_copy", F.explode(copies)).drop("_copy", "_na", "_nb")
-    return out.select("aptamer_uri", "int", "kd_molar", "target_name").join(described, "aptamer_uri").withColumn(
-        "pmid", names.pmid_prefix(F.col("label"))
-    )
+    out = met.withColumn("_copy", F.explode(copies))
+    return out.select(
+        "aptamer_uri", "int", "kd_molar", "target_name", *[c for c in described.columns if c != "aptamer_uri"]
+    ).withColumn("pmid", names.pmid_prefix(F.col("label")))
 
 
 def label_lookup(pairs: DataFrame, order) -> DataFrame:

@@ -24,6 +24,12 @@ from strandloom.session import durable
 HOT_ROWS = 1_000_000
 MAX_HOT = 10_000
 BLOCK_ROWS = 100_000
+TASK_ROWS = 1_000_000
+
+
+def parts_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Partitions that hold about ``rows`` rows of ``df`` each, at least as many as the session has; counts the rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
 
 
 def keep_first(
@@ -136,7 +142,7 @@ def spread_join(
 
 
 def block_join(
-    a: DataFrame, b: DataFrame, on: Sequence[str], block: int = BLOCK_ROWS, max_hot: int = MAX_HOT
+    a: DataFrame, b: DataFrame, on: Sequence[str], block: int = BLOCK_ROWS, max_hot: int = MAX_HOT, parts: int | None = None
 ) -> DataFrame:
     """Inner join in which a key may hold very many rows on both sides.
 
@@ -144,6 +150,7 @@ def block_join(
     own side, by a hash of all its columns, and is repeated for the blocks of the other side, so a cell joins about ``block``
     with ``block`` rows and cells are spread over the shuffle.  Keys of up to ``block`` rows on both sides are one cell: their
     rows are not repeated.  Equal rows share a block; collapse them first if there may be very many.  NULL keys meet nothing.
+    With ``parts`` the cells are dealt over so many partitions, so a task's memory does not grow with the tables.
     """
     on = list(on)
     mine = [c for c in a.columns if c not in on]
@@ -159,14 +166,22 @@ def block_join(
         F.ceil(F.col("_m") / block).cast("int").alias("_ga"), F.ceil(F.col("_n") / block).cast("int").alias("_gb"),
     ))
 
+    few = cuts.limit(max_hot + 1).count() <= max_hot
+
     def cells(df: DataFrame, own: str, other: str, first: bool) -> DataFrame:
-        cut = spread_join(df, cuts, on, "_size", hot_rows=block, max_hot=max_hot)
+        if few:  # no row moves to learn its cuts
+            cut = df.join(F.broadcast(cuts.drop("_size")), on, "left")
+        else:
+            cut = spread_join(df, cuts, on, "_size", hot_rows=block, max_hot=max_hot)
         at = F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1))).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
         pick = [at.alias("_i"), every.alias("_j")] if first else [at.alias("_j"), every.alias("_i")]
         return cut.select(*df.columns, *pick)
 
-    return cells(a, "_ga", "_gb", True).join(cells(b, "_gb", "_ga", False), [*on, "_i", "_j"]).select(*on, *mine, *theirs)
+    at, one, two = [*on, "_i", "_j"], cells(a, "_ga", "_gb", True), cells(b, "_gb", "_ga", False)
+    if parts is not None:
+        one, two = one.repartition(parts, *at), two.repartition(parts, *at)
+    return one.join(two, at).select(*on, *mine, *theirs)
 
 
 def attach(

@@ -1,8 +1,11 @@
 """Plans: exploded sides are not gathered in the driver, wide rows not shuffled without need."""
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from strandloom.operators import neardupe
+from strandloom.operators import enrich, neardupe, skew
 from strandloom.queries import derived, docs
 from strandloom.session import durable
 
@@ -122,3 +125,20 @@ def test_works_landed_twice_are_parsed_and_rebuilt_once(spark, tmp_path):
     assert [tuple(r) for r in out.select("source_id", "text").orderBy("source_id").collect()] == [("W3", "An aptamer\nb a b c"), ("W4", "A SELEX\na")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1 and "Union" not in plan
+
+
+def test_interactions_are_dealt_by_their_number(spark, monkeypatch):
+    aptamers = spark.createDataFrame(
+        [("a1", "12-x", "acgt", None), ("a2", "y", "ggcc", "m"), ("a3", "z", None, None)], "id string, label string, sequence string, has_modification_details string")
+    rows = [(i, f"a{k}", None, 1.0 * k) for i in range(40) for k in (1, 2, 2, 3)] + [(i, f"t{k}", f"T{k}", None) for i in range(40) for k in (1, 1, 2)] + [(None, "a1", None, 1.0), (None, "t1", "T1", None)]
+    interactions = spark.createDataFrame(rows, "int int, has_participant string, participant_label string, dissociation_constant_value double")
+    assert skew.parts_for(interactions) == 4 and skew.parts_for(interactions, 10) == 29
+    monkeypatch.setattr(skew, "parts_for", lambda df: 7)
+    want = {(i, a, t): n for i in range(40) for a, t, n in (("a1", "T1", 2), ("a1", "T2", 1), ("a2", "T1", 4), ("a2", "T2", 2))}
+    for block in (100, 2):
+        df = enrich.interaction_pairs(aptamers, interactions, block)
+        assert df.columns == ["aptamer_uri", "int", "kd_molar", "target_name", "label", "has_modification_details", "sequence_clean", "pmid"]
+        assert dict(Counter((r.int, r.aptamer_uri, r.target_name) for r in df.collect())) == want
+    plan = _plan(df)
+    dealt = re.findall(r"hashpartitioning\([^)]*, 7\), REPARTITION_BY_NUM", plan.split("Initial Plan")[0])
+    assert len(dealt) >= 4, plan
