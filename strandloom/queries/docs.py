@@ -275,7 +275,7 @@ def _title(key):
          CASE doc_id % 4 WHEN 0 THEN concat('W', doc_id) ELSE concat('https://doi.org/10.1/', doc_id) END AS url FROM documents WHERE doc_id % 3 <> 2""",
 )
 def normalise_inverted_index(spark, sf):
-    words = F.array_remove(F.split("text", r"\s+"), "")
+    words = F.array_remove(F.split("text", r"[ \t\n\f\r]+"), "")  # the blanks of the SQL's \s, without \v
     index = _inverted(table(spark, sf, "documents").select("doc_id", "text"), words)
     doi = F.expr(
         "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('10.1/', doc_id) ELSE concat('https://doi.org/10.1/', doc_id) END"

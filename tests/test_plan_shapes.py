@@ -3,10 +3,12 @@
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from strandloom.operators import enrich, neardupe, skew
 from strandloom.queries import derived, docs
+from strandloom.queries.registry import ORACLES
 from strandloom.session import durable
 
 
@@ -127,6 +129,18 @@ def test_works_landed_twice_are_parsed_and_rebuilt_once(spark, tmp_path):
     assert plan.count("Aggregate [") == 1 and "Union" not in plan
 
 
+def test_works_are_cut_at_the_blanks_of_the_sql(spark, tmp_path):
+    """A vertical tab is part of a word there."""
+    texts = ["a\x0bb c", "\x0b", " one\ttwo\r\ntwo\fone\x0b ", "x\u0085y \x1c \u00a0 z", '"q\\" {w}: [1]']
+    docs_ = spark.createDataFrame([(3 * i, s) for i, s in enumerate(texts)], "doc_id bigint, text string")
+    docs_.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = docs.normalise_inverted_index(spark, str(tmp_path)).select("source_id", "text", "doi", "url").collect()
+    want = con.execute(ORACLES["normalise_inverted_index"]).fetchall()
+    assert len(want) == len(texts) and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_interactions_are_dealt_by_their_number(spark, monkeypatch):
     aptamers = spark.createDataFrame(
         [("a1", "12-x", "acgt", None), ("a2", "y", "ggcc", "m"), ("a3", "z", None, None)], "id string, label string, sequence string, has_modification_details string")
