@@ -17,7 +17,8 @@ lines they do not, as those may all be alike: there the first line is compared w
 does not settle go on to keys of two words, and of three where many lines share two: sets with k words in common
 share the first k of them in prefixes that are k - 1 words longer.  So few lines meet on a key, however frequent its
 words are.  Only lines that share three prefix words with very many others, and are like none of the first on
-these keys, meet all earlier lines there.
+these keys, meet all earlier lines there.  Keys of several words can be many times the words of the corpus: they are
+worked off in parts, each with all lines of its keys, so that disk holds the entries of one part at a time.
 
 Null and empty texts have no lines with words.  Lines without words always stay.  A document of
 which no line stays keeps its row with an empty text, a null text stays null.  Rows with the same
@@ -27,6 +28,8 @@ and differ in their texts are documents of their own, in the order of two digest
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -38,6 +41,8 @@ from strandloom.operators.skew import global_rank, spread_join
 BUCKETS = 1 << 18
 CROWD = 512  # lines on a key that may meet in pairs
 DEPTH = 3  # words of a key at most
+FEW_LINES = 100_000  # lines whose places, two numbers each, are broadcast
+LEAST_PART = 4_000_000  # entries that are not divided, some 200 MB where they are shuffled
 HOT_LINE = 2_000  # repeats of a line from which on its rows are spread
 SPACES = " \t\n\x0b\x0c\r"
 HASH_BITS = 52
@@ -165,18 +170,55 @@ def index(docs: DataFrame, repeated: DataFrame, ranks: list[int], t: int) -> Dat
     return entries_of(line_sets(docs, repeated, ranks, t), t)
 
 
-def longer(crowded: DataFrame, lines: DataFrame, k: int, t: int) -> DataFrame:
-    """Entries on keys of ``k`` + 1 words, from those on keys of ``k``; a line fetches its prefix once for all its keys."""
+def held(crowded: DataFrame, lines: DataFrame) -> DataFrame:
+    """``lines`` that have keys in ``crowded``, with these as ``_keys``; a line fetches its prefix once for all its keys."""
     keys = crowded.groupBy("doc", "line").agg(F.collect_list(F.struct("tok", "pos")).alias("_keys"))
-    held = lines.join(keys, ["doc", "line"]).select(*lines.columns, F.explode("_keys").alias("_key")).select("*", "_key.*")
-    end = F.col("n") - _need(F.col("n"), t) + k + 1  # words in the prefix for the longer keys
-    rest = F.slice("pre", F.col("pos") + 2, F.greatest(end - F.col("pos") - 1, F.lit(0)))
-    return held.select(*crowded.columns, F.posexplode(rest).alias("_i", "_next")).select(*[
+    return lines.drop("whole").join(keys, ["doc", "line"])
+
+
+def _in_part(key: Column, part: int, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)) == part
+
+
+def _part(entries: DataFrame, part: int, parts: int) -> DataFrame:
+    return entries.where(_in_part(F.col("tok"), part, parts)) if parts > 1 else entries
+
+
+def extended(lines: DataFrame, columns: list[str], k: int, t: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """Entries on keys of ``k`` + 1 words of lines as ``held`` gives them; all entries on a key are in the same part."""
+    keys = F.filter("_keys", lambda x: _in_part(x["tok"], part, parts)) if parts > 1 else F.col("_keys")
+    rows = lines.select("*", F.explode(keys).alias("_key")).select("*", "_key.*")
+    rest = F.slice("pre", F.col("pos") + 2, F.greatest(_nexts(k, t), F.lit(0)))
+    return rows.select(*columns, F.posexplode(rest).alias("_i", "_next")).select(*[
         {"tok": F.xxhash64("tok", "_next"), "pos": (F.col("pos") + 1 + F.col("_i")).cast("int")}.get(c, F.col(c)).alias(c)
-        for c in crowded.columns
+        for c in columns
     ])
 
 
+def _nexts(k: int, t: int) -> Column:
+    """Words after a key of ``k`` words in the prefix for keys of one word more."""
+    return F.col("n") - _need(F.col("n"), t) + k - F.col("pos")
+
+
+def longer(crowded: DataFrame, lines: DataFrame, k: int, t: int) -> DataFrame:
+    """Entries on keys of ``k`` + 1 words, from those on keys of ``k``."""
+    return extended(held(crowded, lines), crowded.columns, k, t)
+
+
+def longer_parts(crowded: DataFrame, lines: DataFrame, k: int, t: int, most: int) -> list[DataFrame]:
+    """``longer`` in as many parts as leave each some ``most`` entries; a part has all lines of its keys.
+
+    Only the lines with their keys are written, so that disk is needed for the entries of one part at a time.
+    """
+    few = crowded.select("doc", "line").distinct()
+    if few.limit(FEW_LINES + 1).count() <= FEW_LINES:  # else nearly all lines would be shuffled for them
+        lines = lines.join(F.broadcast(few), ["doc", "line"], "left_semi")
+    entries = crowded.agg(F.sum(F.greatest(_nexts(k, t), F.lit(0)))).first()[0] or 0
+    parts = max(1, -(-entries // most))
+    kept = stored(held(crowded, lines))
+    return [extended(kept, crowded.columns, k, t, i, parts) for i in range(parts)]
+
+
 def _apart(a, b, maps: list[str]) -> Column:
     """Bits in which the bitmaps of two entries differ."""
     return sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in maps[1:]), F.bit_count(a(maps[0]).bitwiseXOR(b(maps[0]))))
@@ -247,9 +289,9 @@ def with_earlier(crowded: DataFrame, settled: DataFrame, t: int, k: int = 1) ->
     return _joined(crowded, _open(crowded, settled), t, k)
 
 
-def still_open(crowded: DataFrame, settled: DataFrame) -> DataFrame:
-    """The entries on keys that have a line which is not settled."""
-    return crowded.join(_open(crowded, settled).select("tok").distinct(), "tok", "left_semi").select(*crowded.columns)
+def open_keys(crowded: DataFrame, settled: DataFrame) -> DataFrame:
+    """The keys that have a line which is not settled."""
+    return _open(crowded, settled).select("tok").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, t: int) -> DataFrame:
@@ -324,33 +366,49 @@ def repeated_lines(
     return _repeated(documents(docs, id_col, text_col)[0], t, crowd)
 
 
-def _repeated(rows: DataFrame, t: int, crowd: int = CROWD) -> DataFrame:
+def _repeated(rows: DataFrame, t: int, crowd: int = CROWD, most: int | None = None) -> DataFrame:
+    """Longer keys are worked off in parts of ``most`` entries, by default half of those on single words or ``LEAST_PART``."""
     equal = stored(equal_lines(rows))
     lines = stored(line_sets(rows, equal.select("doc", "line"), rarity(rows), t))
-    entries, found = entries_of(lines, t), None
+    if most is None:
+        most = max(LEAST_PART, (lines.agg(F.sum(F.col("n") - _need(F.col("n"), t) + 1)).first()[0] or 0) // 2)
+    parts, found = [entries_of(lines, t)], None
     for k in range(1, DEPTH + 1):
-        sizes = stored(word_sizes(entries))
-        crowded = stored(entries.join(sizes.where(F.col("lines") > crowd).select("tok"), "tok").select(*entries.columns))
-        pairs = in_pairs(entries, sizes, t, crowd, k, found).unionByName(
-            with_leaders(crowded, t, k) if found is None else _open(with_leaders(crowded, t, k), found)
-        )
-        if k == 1:
-            # sets of few words cannot have longer keys in common; those that are equal meet here
-            small = lines.where(_need(F.col("n"), t) <= DEPTH)
-            pairs = pairs.unionByName(with_leaders(small.withColumn("tok", F.col("whole")).withColumn("pos", F.lit(0)), t))
-        found = _added(rows, found, stored(pairs.distinct()), t)
-        crowded = stored(still_open(crowded, found))
-        if crowded.isEmpty():
+        done = [_on_keys(entries, lines, found, t, crowd, k) for entries in parts]
+        pairs, crowded = (reduce(DataFrame.unionByName, some) for some in zip(*done))
+        found = _added(rows, found, pairs if len(parts) == 1 else stored(pairs.distinct()), t)
+        live = stored(open_keys(crowded, found))
+        if live.isEmpty():
             break
+        n = max(1, -(-crowded.count() // most))
+        crowded = crowded.join(live, "tok", "left_semi").select(*crowded.columns)
         last = crowded if k == DEPTH else crowded.where(_need(F.col("n"), t) <= k)
-        found = _added(rows, found, stored(with_earlier(last, found, t, k)), t)
+        pairs = [stored(with_earlier(_part(last, i, n), found, t, k)) for i in range(n)]
+        found = _added(rows, found, pairs[0] if n == 1 else stored(reduce(DataFrame.unionByName, pairs).distinct()), t)
         if k < DEPTH:
-            entries = stored(longer(crowded, lines, k, t))
+            parts = longer_parts(crowded, lines, k, t, most)
     return stored(equal.select(
         "doc", "line", F.col("first_doc").alias("by_doc"), F.col("first_line").alias("by_line")
     ).unionByName(found))
 
 
+def _on_keys(
+    entries: DataFrame, lines: DataFrame, found: DataFrame | None, t: int, crowd: int, k: int
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs of lines that meet on keys of ``k`` words, and the entries on keys of many lines."""
+    sizes = stored(word_sizes(entries))
+    hot = stored(sizes.where(F.col("lines") > crowd).select("tok"))  # a table of its own tells Spark how small it is
+    crowded = stored(entries.join(hot, "tok").select(*entries.columns))
+    pairs = in_pairs(entries, sizes, t, crowd, k, found).unionByName(
+        with_leaders(crowded, t, k) if found is None else _open(with_leaders(crowded, t, k), found)
+    )
+    if k == 1:
+        # sets of few words cannot have longer keys in common; those that are equal meet here
+        small = lines.where(_need(F.col("n"), t) <= DEPTH)
+        pairs = pairs.unionByName(with_leaders(small.withColumn("tok", F.col("whole")).withColumn("pos", F.lit(0)), t))
+    return stored(pairs.distinct()), crowded
+
+
 def _added(rows: DataFrame, found: DataFrame | None, pairs: DataFrame, t: int) -> DataFrame:
     """``found`` and what of ``pairs`` proves right."""
     if found is None:

@@ -312,3 +312,22 @@ def test_longer_keys_fetch_a_prefix_once_for_each_line(spark):
         for a in range(1, 8) for b in range(a + 1, 8)])).alias("s")).select("s.*").collect())
     want = sorted((d, hashed[a * 10 + b], b - 1) for d in (1, 2) for a in range(1, 6) for b in range(a + 1, 7))
     assert sorted((r.doc, r.tok, r.pos) for r in df.collect()) == want
+
+
+def test_longer_keys_are_worked_off_in_parts(spark, monkeypatch):
+    """Entries on keys of several words are many times those on single words; they do not meet all at once."""
+    kept, written = line_dedup.stored, []
+
+    def counted(df):
+        out = kept(df)
+        if out.columns == ["tok", "lines"]:
+            written.append(out.agg(F.sum("lines")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    monkeypatch.setattr(line_dedup, "LEAST_PART", 1, raising=False)
+    some = similar_lines(1)
+    rows = line_dedup.plain(cases.frame(spark, some), "doc_id", "text")
+    found = line_dedup._repeated(rows, 80, 2).collect()
+    assert {(r.doc, r.line) for r in found} == lines_that_go(list(enumerate(some)))
+    assert len(written) > 2 and max(written) <= written[0] * 1.1, written
